@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import slices, staged, text_bytes
 
-#: 2 ** 8 registers; a register holds the leading-zero count and 10 mantissa bits of the least hash of its bucket.
-BUCKET_BITS, MANTISSA_BITS = 8, 10
+#: 2 ** 8 registers of one byte: the leading-zero count (15 at most) and 4 mantissa bits of the least hash of a bucket.
+BUCKET_BITS, MANTISSA_BITS, MOST_ZEROS = 8, 4, 15
 REGISTERS = 1 << BUCKET_BITS
 #: Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 48 < 5e-7.
 BANDS, BAND_ROWS = 48, 6
@@ -30,7 +30,7 @@ _K1, _K2, _K3, _K4 = _u(0x9E3779B97F4A7C15), _u(0xC2B2AE3D27D4EB4F), _u(0x165667
 
 SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("set_id", T.LongType()), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+    T.StructField("set_id", T.LongType()), T.StructField("registers", T.BinaryType()),
 ])
 
 
@@ -112,7 +112,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[
 def registers_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """HyperMinHash registers, one row a set. Empty buckets of a set borrow from its others by a fixed random order."""
     n = len(at) - 1
-    regs, full = np.zeros((n, REGISTERS), np.uint16), np.zeros((n, REGISTERS), bool)
+    regs, full = np.zeros((n, REGISTERS), np.uint8), np.zeros((n, REGISTERS), bool)
     if not len(hashes):
         return regs
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -121,7 +121,7 @@ def registers_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     least = np.concatenate([[True], key[1:] != key[:-1]])  # hashes are sorted, so the first of a bucket is the least
     rest = ((hashes[least] << _u(BUCKET_BITS)) >> _u(11)).astype(np.float64)  # 53 bits: exact
     mantissa, exponent = np.frexp(rest)
-    zeros = 53 - exponent
+    zeros = np.minimum(53 - exponent, MOST_ZEROS)
     regs.reshape(-1)[key[least]] = (zeros << MANTISSA_BITS) | np.maximum(0, (mantissa * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.int64)
     full.reshape(-1)[key[least]] = True
     own, had = regs.copy(), full.copy()
@@ -141,10 +141,10 @@ def registers_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return regs
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each row."""
-    order = _tables()[2]
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_u) * _K1, (len(regs), BANDS)).copy()
+def band_keys(regs: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A 64-bit key for each of the first bands of each row."""
+    order = _tables()[2][:bands]
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=_u) * _K1, (len(regs), bands)).copy()
     for k in range(BAND_ROWS):
         key = _mix(key ^ (regs[:, order[:, k]].astype(_u) + _u(1)) * _K2)
     return key.view(np.int64)
@@ -154,8 +154,8 @@ def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The chance that registers of disjoint sets of these sizes are equal: both least hashes in one (zeros, mantissa) cell."""
     load_a, load_b = np.maximum(1.0, n_a / REGISTERS), np.maximum(1.0, n_b / REGISTERS)
     total = np.zeros(len(load_a))
-    for z in range(24):
-        lo, hi = 2.0 ** -(z + 1), 2.0**-z
+    for z in range(MOST_ZEROS + 1):
+        lo, hi = 2.0 ** -(z + 1) if z < MOST_ZEROS else 0.0, 2.0**-z
         total += ((1 - lo) ** load_a - (1 - hi) ** load_a) * ((1 - lo) ** load_b - (1 - hi) ** load_b)
     return total / (1 << MANTISSA_BITS)
 
@@ -176,13 +176,41 @@ def _sign(width: int):
                 regs = registers_of(hashes, at)
                 total = np.concatenate([[_u(0)], np.cumsum(_mix(hashes ^ _K3), dtype=_u)])
                 set_id = _mix((total[at[1:]] - total[at[:-1]]) ^ (sizes.astype(_u) * _K2)).view(np.int64)
-                keys = band_keys(regs)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)), pa.array(keys[sizes > 0].reshape(-1)))
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes, pa.int64()), pa.array(set_id), pa.array([r.tobytes() for r in regs], pa.binary()), bands], names=SIGNATURE.fieldNames())
+                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes, pa.int64()), pa.array(set_id), _rows(regs)], names=SIGNATURE.fieldNames())
 
     return run
 
 
+def _rows(regs: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in regs], pa.binary())
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def _buckets(bands: int):
+    """(set_id, component, registers) to a row (key, set_id, component) for each of the first bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                ids, comps = (np.repeat(part.column(k).to_numpy(), bands) for k in (0, 1))
+                yield pa.record_batch([pa.array(band_keys(_registers(part.column(2)), bands).reshape(-1)), pa.array(ids), pa.array(comps)], names=["key", "set_id", "component"])
+
+    return run
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All keys of a set, in order of bands."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(band_keys(_registers(part.column(2))).reshape(-1)))
+            yield pa.record_batch([part.column(0), part.column(1), keys], names=["set_id", "n", "bands"])
+
+
 def _likely(threshold: int):
     """Pairs whose registers allow the threshold."""
 
@@ -190,9 +218,10 @@ def _likely(threshold: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
+                a, b = _registers(part.column(2)), _registers(part.column(3))
                 n_a, n_b = (part.column(k).to_numpy() for k in (4, 5))
-                keep = pa.array((estimate(a, b, n_a, n_b) >= threshold / 100 - MARGIN) | (np.minimum(n_a, n_b) <= SMALL))
+                sizes = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * threshold
+                keep = pa.array(sizes & ((estimate(a, b, n_a, n_b) >= threshold / 100 - MARGIN) | (np.minimum(n_a, n_b) <= SMALL)))
                 yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).filter(keep)
 
     return run
@@ -284,72 +313,71 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     signed = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(width), SIGNATURE), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = staged(linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("n_shingles").alias("n")).select("set_id", "d.*", "n"), "sets")
-    # of the rows that share a set one keeps its registers and bands
-    chosen = linked.join(sets.select("set_id", "doc_id", "text_hash"), ["set_id", "doc_id", "text_hash"], "left_semi").select("set_id", F.col("n_shingles").alias("n"), "registers", "bands")
+    # of the rows that share a set one keeps its registers
+    chosen = linked.join(sets.select("set_id", "doc_id", "text_hash"), ["set_id", "doc_id", "text_hash"], "left_semi").select("set_id", F.col("n_shingles").alias("n"), "registers")
     chosen = staged(chosen.dropDuplicates(["set_id"]), "chosen")
-    registers = chosen.select("set_id", "n", "registers")
 
-    def entries(bands: str) -> DataFrame:
-        return chosen.select("set_id", "n", F.explode(F.expr(bands)).alias("key"))
+    def entries(labels: DataFrame | None, bands: int) -> DataFrame:
+        """(key, set_id, component) for the first bands of each set."""
+        of = chosen.select("set_id", "registers")
+        own = of.withColumn("component", F.col("set_id")) if labels is None else of.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        return own.select("set_id", "component", "registers").mapInArrow(_buckets(bands), "key long, set_id long, component long")
 
-    def near_size(a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+    def whole_texts(ids: DataFrame) -> DataFrame:
+        """(set_id, text), one text a set."""
+        found = docs.join(sets.join(ids, "set_id", "left_semi").select("set_id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
+        return found.select("set_id", "text").dropDuplicates(["set_id"])
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        """Of (a, b, na, nb) with a < b, the pairs that reach the threshold."""
-        pairs = pairs.filter(near_size(F.col("na"), F.col("nb"))).distinct()
-        side = lambda x: registers.select(F.col("set_id").alias(x), F.col("registers").alias(f"r{x}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
+        """Of (a, b) with a < b, the pairs that reach the threshold."""
+        side = lambda x: chosen.select(F.col("set_id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
         likely = staged(pairs.mapInArrow(_likely(threshold), "a long, b long"), f"{label}-likely")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        whole = docs.join(sets.join(wanted, "set_id", "left_semi").select("set_id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("set_id", "text")
-        whole = staged(whole.dropDuplicates(["set_id"]).mapInArrow(_hash_sets(width), "set_id long, full binary"), f"{label}-sets")
+        whole = staged(whole_texts(wanted).mapInArrow(_hash_sets(width), "set_id long, full binary"), f"{label}-sets")
         full = lambda x: whole.select(F.col("set_id").alias(x), F.col("full").alias(f"f{x}"))
         pairs = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "fa", "fb")
         return staged(pairs.mapInArrow(_confirm(threshold), "a long, b long"), f"{label}-links")
 
-    def pair(x: str, nx: str, y: str, ny: str) -> list[Column]:
-        """In order of set_id."""
-        swap = F.col(x) > F.col(y)
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(swap, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(swap, F.col(nx)).otherwise(F.col(ny)).alias("nb")]
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    # first bands: each set against its bucket's centre, the set whose buckets are the fullest. Among copies of one
+    # First bands: each set against its bucket's centre, the set whose buckets are the fullest. Among copies of one
     # text that is the text itself or what is nearest to it, so most of the group links to it at once.
-    some = entries(f"slice(bands, 1, {FIRST_BANDS})")
+    some = entries(None, FIRST_BANDS).select("key", "set_id")
     crowd = staged(some.join(some.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "crowd")
     score = staged(crowd.groupBy("set_id").agg(F.sum("c").alias("score")), "scores")
     crowd = crowd.join(score, "set_id")
-    centre = crowd.groupBy("key").agg(F.max_by(F.struct("set_id", "n"), F.struct("score", "set_id")).alias("p")).select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pn"))
-    found = confirmed(crowd.join(centre, "key").filter("set_id <> pivot").select(*pair("pivot", "pn", "set_id", "n")), "first")
+    centre = crowd.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
+    found = confirmed(crowd.join(centre, "key").filter("set_id <> pivot").select(*pair("pivot", "set_id")), "first")
     labels = components(found)
 
-    # all bands: in buckets that hold several components, the centre of each against the centre of all
-    own = chosen.select("set_id", "n", "bands").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(score, "set_id", "left")
-    own = own.select("set_id", "n", F.coalesce("component", "set_id").alias("component"), F.coalesce("score", F.lit(0)).alias("score"), "bands", F.posexplode("bands").alias("band", "key"))
-    several = own.drop("bands").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("score", "set_id")).alias("main")).filter("lo < hi").select("key", "main")
-    todo = staged(own.join(several, "key"), "mixed")
-    heads = todo.groupBy("key", "component", "main").agg(F.max_by(F.struct("set_id", "n"), F.struct("score", "set_id")).alias("p")).select("key", "component", "main", "p.*")
-    pivots = heads.filter("component = main").select("key", F.col("set_id").alias("pivot"), F.col("n").alias("pn"))
-    more = confirmed(heads.filter("component <> main").join(pivots, "key").select(*pair("pivot", "pn", "set_id", "n")), "heads")
+    # All bands: in buckets that hold several components, the centre of each against the centre of all.
+    several = entries(labels, BANDS).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    todo = staged(entries(labels, BANDS).join(several, "key").join(score, "set_id", "left").withColumn("score", F.coalesce("score", F.lit(0))), "mixed")
+    heads = todo.groupBy("key", "component").agg(F.max(F.struct("score", "set_id")).alias("p")).select("key", F.col("p.set_id").alias("set_id"), F.col("p.score").alias("score"))
+    pivots = heads.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
+    more = confirmed(heads.join(pivots, "key").filter("set_id <> pivot").select(*pair("pivot", "set_id")), "heads")
     found = staged(found.union(more), "links")
     labels = components(found)
 
-    todo = todo.drop("component", "main", "score").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    # What is left in buckets of three and more: all pairs of different components, each in the first bucket it shares.
+    todo = todo.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     still = todo.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi AND c > 2").select("key")
     todo = staged(todo.join(still, "key"), "mixed")
+    ids = todo.select("set_id").distinct()
     # A shingle that no other of these sets has can't be shared, which bounds the similarity of a pair from above.
-    # Without it, near copies just under the threshold would be compared with the whole group.
-    whole = docs.join(sets.join(todo.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("set_id", "text").dropDuplicates(["set_id"])
-    only = whole.mapInArrow(_shingle_rows(width), "set_id long, shingle long").groupBy("shingle").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c")).filter("c = 1")
+    only = whole_texts(ids).mapInArrow(_shingle_rows(width), "set_id long, shingle long").groupBy("shingle").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c")).filter("c = 1")
     only = only.groupBy("set_id").agg(F.count("*").alias("only"))
-    todo = todo.join(only, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("only", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * threshold)
-    todo = staged(todo.select("key", "band", "bands", "set_id", "n", "component", "most"), "mixed")
+    about = chosen.join(ids, "set_id", "left_semi").select("set_id", "n", "registers").mapInArrow(_bands, "set_id long, n long, bands array<long>")
+    about = about.join(only, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("only", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * threshold).drop("only")
+    todo = staged(todo.join(about, "set_id"), "mixed")
     other = todo.select("key", *(F.col(c).alias(f"o_{c}") for c in ("bands", "set_id", "n", "component", "most")))
     most = F.least("most", "o_most")
-    may = most * 100 >= (F.col("n") + F.col("o_n") - most) * threshold
-    first = F.expr("array_position(zip_with(bands, o_bands, (x, y) -> x = y), true) = band + 1")  # a pair counts in the first bucket it shares
+    may = (most * 100 >= (F.col("n") + F.col("o_n") - most) * threshold) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * threshold)
+    first = F.expr("get(bands, array_position(zip_with(bands, o_bands, (x, y) -> x = y), true) - 1) = key")
     across = todo.join(other, "key").filter((F.col("component") < F.col("o_component")) & may & first)
-    links = confirmed(across.select(*pair("set_id", "n", "o_set_id", "o_n")), "across")
+    links = confirmed(across.select(*pair("set_id", "o_set_id")), "across")
     labels = components(found.union(links))
 
     grouped = sets.select("set_id", "doc_id").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
