@@ -107,6 +107,7 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secrets", allow
     and a letter: the part that windows with the class's entropy cover, unless the candidate is on the allow-list
     or the part lies in a base span. All is done row by row on built-in expressions: no shuffle, no Python.
 
+    Write the result before filtering on ``into``: Spark would copy its large expression into the filter.
     Null or empty text: an empty array. Equal rows: equal arrays. Other columns stay as they are.
     """
     kinds = [k for k, *_ in BASE_PATTERNS]
