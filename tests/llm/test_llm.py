@@ -54,7 +54,8 @@ def test_secrets(spark, docs):
     assert secrets.secret_report(docs.limit(0)).count() == 0
 
 
-def test_near_duplicates(spark, docs):
+def test_near_duplicates(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWDED", 4)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     base = [words[i] for i in rng.integers(0, 400, 120)]
@@ -74,6 +75,20 @@ def test_near_duplicates(spark, docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_overlap_bound_holds(spark):
+    rng = np.random.default_rng(5)
+    ref = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    few = rng.integers(0, 2**63, 900, dtype=np.uint64)  # what the sets have besides, often the same and often on one bit
+    sets = [np.unique(np.concatenate([rng.choice(ref, int(rng.integers(0, 300))), rng.choice(few, int(rng.integers(1, 500)))])) for _ in range(40)]
+    rows = spark.createDataFrame([(i, -1, bytearray(x.tobytes()), bytearray(ref.tobytes())) for i, x in enumerate(sets)], "set_id long, ref long, full binary, ref_full binary")
+    met = rows.mapInArrow(near_dedup._against_reference, "set_id long, ref long, inside long, spare long, mask array<long>")
+    pairs = met.join(met.select(*(met[c].alias(f"o_{c}") for c in ("set_id", "inside", "spare", "mask"))), on=None, how="cross")
+    for r in pairs.select("set_id", "o_set_id", near_dedup._shared_at_most().alias("most")).collect():
+        assert r.most >= len(np.intersect1d(sets[r.set_id], sets[r.o_set_id]))
+    far = np.setdiff1d(sets[0], few)
+    assert met.filter("set_id = 0").first().inside == len(far)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)).astype(np.float32)

@@ -23,6 +23,10 @@ FIRST_BANDS = 8
 #: Candidates whose estimate is this far below the threshold aren't confirmed: 5 standard errors at 0.8.
 #: Smaller sets are always confirmed: hashes that meet in a bucket may weigh more there than chance does.
 MARGIN, SMALL = 0.125, 64
+#: Buckets with more sets than this are compared by way of a reference set, in whose terms most pairs can be ruled out.
+CROWDED = 32
+#: 64-bit words of a bitmap of the shingles that the reference set doesn't have.
+MASK_WORDS = 8
 _PROBES = 48
 
 _u = np.uint64
@@ -257,6 +261,29 @@ def _confirm(threshold: int):
     return run
 
 
+def _against_reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set: how many shingles its reference has; a bitmap of the others; how many of those share a bit with one before."""
+    for batch in batches:
+        n = batch.num_rows
+        inside, spare, masks = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, MASK_WORDS), _u)
+        for k in range(n):
+            x, r = (np.frombuffer(batch.column(c)[k].as_buffer(), _u) for c in (2, 3))
+            shared = r[np.minimum(np.searchsorted(r, x), len(r) - 1)] == x
+            inside[k] = shared.sum()
+            bits = np.unique(x[~shared] % _u(64 * MASK_WORDS))
+            spare[k] = len(x) - inside[k] - len(bits)
+            np.bitwise_or.at(masks[k], (bits // _u(64)).astype(np.int64), _u(1) << (bits % _u(64)))
+        mask = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * MASK_WORDS), pa.array(masks.reshape(-1).view(np.int64)))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inside), pa.array(spare), mask], names=["set_id", "ref", "inside", "spare", "mask"])
+
+
+def _shared_at_most() -> Column:
+    """The most shingles that two sets with one reference can share: within it what the smaller part holds, outside it the
+    bits of both, and once for each further shingle on a bit. Null where there is no reference."""
+    both = sum((F.bit_count(F.get("mask", F.lit(i)).bitwiseAND(F.get("o_mask", F.lit(i)))) for i in range(MASK_WORDS)), F.lit(0))
+    return F.when(F.col("mask").isNotNull() & F.col("o_mask").isNotNull(), F.least("inside", "o_inside") + both + F.least("spare", "o_spare"))
+
+
 def _shingle_rows(width: int):
     """(set, shingle) rows."""
 
@@ -303,7 +330,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     2. The first bands link each set to the centre of its bucket; most groups of copies become one component here.
     3. All bands look for buckets that still hold several components, link the components' centres to the bucket's
        centre, and at last compare all sets of different components in a bucket. A large group of copies is one
-       component by then, so its pairs are never listed.
+       component by then, so its pairs are never listed. In a crowded bucket each set is first put in terms of one
+       reference, the bucket's fullest: shingles shared with it, and a bitmap of the rest. That bounds the overlap of
+       any two from above, so that sets just short of the threshold aren't paired with all of a group.
     4. Each candidate pair passes the corrected estimate, then the count of shingles on both whole texts.
 
     Null or blank text: an empty set, linked with nothing. Null doc_id: linked with nothing, component_id null and
@@ -371,9 +400,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     only = only.groupBy("set_id").agg(F.count("*").alias("only"))
     about = chosen.join(ids, "set_id", "left_semi").select("set_id", "n", "registers").mapInArrow(_bands, "set_id long, n long, bands array<long>")
     about = about.join(only, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("only", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * threshold).drop("only")
-    todo = staged(todo.join(about, "set_id"), "mixed")
-    other = todo.select("key", *(F.col(c).alias(f"o_{c}") for c in ("bands", "set_id", "n", "component", "most")))
-    most = F.least("most", "o_most")
+    todo = staged(todo.join(about, "set_id").join(score, "set_id", "left"), "mixed")
+    refs = todo.groupBy("key").agg(F.max_by("set_id", F.struct(F.coalesce("score", F.lit(0)), "set_id")).alias("ref"), F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("key", "ref")
+    crowded = staged(todo.select("key", "set_id").join(refs, "key"), "crowded")
+    of_ref = crowded.select("set_id", "ref").distinct()
+    whole = staged(whole_texts(of_ref.select(F.explode(F.array("set_id", "ref")).alias("set_id")).distinct()).mapInArrow(_hash_sets(width), "set_id long, full binary"), "crowded-sets")
+    met = of_ref.join(whole, "set_id").join(whole.select(F.col("set_id").alias("ref"), F.col("full").alias("ref_full")), "ref").select("set_id", "ref", "full", "ref_full")
+    met = met.mapInArrow(_against_reference, "set_id long, ref long, inside long, spare long, mask array<long>")
+    todo = staged(todo.drop("score").join(crowded.join(met, ["set_id", "ref"]).drop("ref"), ["key", "set_id"], "left"), "mixed")
+    other = todo.select("key", *(F.col(c).alias(f"o_{c}") for c in ("bands", "set_id", "n", "component", "most", "inside", "spare", "mask")))
+    most = F.least("most", "o_most", _shared_at_most())
     may = (most * 100 >= (F.col("n") + F.col("o_n") - most) * threshold) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * threshold)
     first = F.expr("get(bands, array_position(zip_with(bands, o_bands, (x, y) -> x = y), true) - 1) = key")
     across = todo.join(other, "key").filter((F.col("component") < F.col("o_component")) & may & first)
