@@ -15,7 +15,7 @@ def plain(rows):
     return sorted(tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a14_cluster_ids", "w4_canonical_pick", "a4_gutenberg_richter", "s1_usgs_feed", "s2_met_feed", "g6_points_in_units", "g13_event_impact"])
+@pytest.mark.parametrize("name", ["a14_cluster_ids", "w4_canonical_pick", "a4_gutenberg_richter", "s1_usgs_feed", "s2_met_feed", "g6_points_in_units", "g13_event_impact", "g3_isolines", "g7_touched_cells", "g9_simplified_rings", "s12_boundary_features"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
@@ -54,6 +54,31 @@ def test_regions_and_pruning(spark):
     assert intensity.prune_regions(r, 1.0, 1.0, 2.0).count() == 3
 
 
+def test_band_regions_by_flood_fill(spark):
+    least = 0.05 / fixtures.STEP**2
+    cells = {(r.event_id, r.mmi_lower, r.row, r.col) for r in queries._bands(spark, SF).select("event_id", "mmi_lower", "row", "col").collect()}
+    want = []
+    while cells:
+        todo, found = [cells.pop()], []
+        while todo:
+            e, m, r, c = todo.pop()
+            found.append((e, m, r, c))
+            near = {(e, m, r + 1, c), (e, m, r - 1, c), (e, m, r, c + 1), (e, m, r, c - 1)} & cells
+            cells -= near
+            todo += near
+        if len(found) >= least:
+            rows, cols = [f[2] for f in found], [f[3] for f in found]
+            want.append((*found[0][:2], len(found), min(rows), max(rows), min(cols), max(cols)))
+    got = queries.g4_band_regions(spark, SF).drop("region_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_crossed_cells(spark):
+    edges = spark.createDataFrame([(1, 0, 0, 0, 0.5, 2.5, 2.5, 0.5), (2, 0, 0, 0, -5.0, 1.5, 9.0, 1.5)], "unit_id long, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    got = {tuple(r) for r in zonal.crossed_cells(edges, 0.0, 3.0, 1.0, 3, 3).collect()}
+    assert {(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 1, 0), (2, 1, 1), (2, 1, 2)} <= got and not {(1, 0, 2), (1, 2, 0), (2, 0, 0), (2, 2, 2)} & got
+
+
 def test_holes_and_simplification(spark):
     ring = [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
     hole = [(1, 1, 1, 3), (1, 3, 3, 3), (3, 3, 3, 1), (3, 1, 1, 1)]

@@ -18,14 +18,15 @@ LEVEL_FIELDS = {
 }
 
 
-def map_features(raw: DataFrame, level: str) -> DataFrame:
-    """(level, name, parent, division, population, reject_reason) from (props map<string,string>); rows without a name are rejected."""
+def map_features(raw: DataFrame, level: str, *keep: str) -> DataFrame:
+    """(level, name, parent, division, population, reject_reason) from (props map<string,string>), after the columns
+    to ``keep``; rows without a name are rejected."""
     if level not in LEVEL_FIELDS:
         raise ValueError(f"unknown level: {level!r}")
     get = lambda c: F.try_element_at("props", F.lit(LEVEL_FIELDS[level][c])) if c in LEVEL_FIELDS[level] else F.lit(None).cast("string")
     name = get("name")
     return raw.select(
-        F.lit(level).alias("level"), name.alias("name"), get("parent").alias("parent"), get("division").alias("division"),
+        *keep, F.lit(level).alias("level"), name.alias("name"), get("parent").alias("parent"), get("division").alias("division"),
         F.when(get("population") != "", get("population")).try_cast("double").alias("population"), F.when(name.isNull() | (name == ""), "name").alias("reject_reason"),
     )
 
@@ -95,9 +96,27 @@ def representative_points(edges: DataFrame) -> DataFrame:
     return best.select("unit_id", ((F.col("s.x") + F.col("s.to")) / 2).alias("lon"), F.col("y").alias("lat"))
 
 
-def touched_cells(inside: DataFrame, points: DataFrame, grid: tuple) -> DataFrame:
-    """Cells inside, and the cell of the representative point, so that a unit smaller than a cell has one."""
-    return inside.unionByName(cell_of(points, *grid).select("unit_id", "row", "col")).distinct()
+def crossed_cells(edges: DataFrame, x0: float, y0: float, step: float, width: int, height: int) -> DataFrame:
+    """(unit_id, row, col): raster cells that an edge runs through. An edge is cut by the rows that it spans, and each
+    piece unfolds to its columns."""
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first, last = F.greatest(F.floor((F.lit(y0) - hi) / step), F.lit(0)), F.least(F.floor((F.lit(y0) - lo) / step), F.lit(height - 1))
+    e = edges.withColumns({"r0": first.cast("int"), "r1": last.cast("int")}).filter("r0 <= r1").withColumn("row", F.explode(F.sequence("r0", "r1")))
+    top = F.lit(y0) - F.col("row") * step
+    at = lambda y: F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    flat = F.col("y1") == F.col("y2")
+    a = F.when(flat, F.col("x1")).otherwise(at(F.least(hi, top)))
+    b = F.when(flat, F.col("x2")).otherwise(at(F.greatest(lo, top - step)))
+    e = e.withColumns({"a": a, "b": b})
+    c0, c1 = F.floor((F.least("a", "b") - x0) / step), F.floor((F.greatest("a", "b") - x0) / step)
+    e = e.withColumns({"c0": F.greatest(c0, F.lit(0)).cast("int"), "c1": F.least(c1, F.lit(width - 1)).cast("int")}).filter("c0 <= c1")
+    return e.select("unit_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+
+
+def touched_cells(inside: DataFrame, points: DataFrame, grid: tuple, crossed: DataFrame | None = None) -> DataFrame:
+    """Cells inside, those of the representative points, so that a unit smaller than a cell has one, and the ``crossed`` ones."""
+    cells = inside.unionByName(cell_of(points, *grid).select("unit_id", "row", "col"))
+    return (cells.unionByName(crossed) if crossed is not None else cells).distinct()
 
 
 def impact(events: DataFrame, cells: DataFrame, units: DataFrame, mapping: DataFrame, points: DataFrame, grid: tuple) -> DataFrame:

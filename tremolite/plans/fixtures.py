@@ -56,3 +56,12 @@ def units(spark: SparkSession, levels: tuple[str, ...] = ("province", "district"
             )
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def footprint_edges(reports: DataFrame) -> DataFrame:
+    """An L-shaped polygon at each report, as edges: a box whose upper right is cut out above a quarter of its height."""
+    w, h = F.col("id") % 7 * 0.1 + 0.13, F.col("id") % 5 * 0.1 + 0.17
+    r = reports.select(F.col("id").alias("unit_id"), F.col("lon").alias("l"), F.col("lat").alias("b"), (F.col("lon") + w).alias("r"), (F.col("lat") + h).alias("t"), (F.col("lon") + w / 2).alias("m"), (F.col("lat") + h / 4).alias("q"))
+    path = ("lb", "rb", "rq", "mq", "mt", "lt")
+    sides = F.array(*[F.struct(F.lit(i).alias("seq"), F.col(p[0]).alias("x1"), F.col(p[1]).alias("y1"), F.col(n[0]).alias("x2"), F.col(n[1]).alias("y2")) for i, (p, n) in enumerate(zip(path, path[1:] + path[:1], strict=True))])
+    return r.select("unit_id", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(sides))

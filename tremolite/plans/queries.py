@@ -10,7 +10,7 @@ from ..operators import catalog as C
 from ..operators import dedup, intensity, stats, zonal
 from ..sources import feeds, rasters
 from . import fixtures as X
-from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, PAIRS_SQL, REPORTS_SQL, STRONG_SQL, SURFACE_SQL, query, units_sql
+from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, PAIRS_SQL, REPORTS_SQL, STRONG_SQL, SURFACE_SQL, query, units_sql
 
 GRID = (X.X0, X.Y0, X.STEP, X.STEP, X.WIDTH, X.HEIGHT)
 #: 1 January 2024, and ten and twenty days later, in microseconds.
@@ -394,10 +394,102 @@ def k4_band_levels(spark, d):
     return _bands(spark, d).filter(F.col("mmi_lower").isin(4, 5, 6)).groupBy("event_id", F.col("mmi_lower").alias("mmi_low")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _side(p: str, r: str) -> str:
+    cut = f"(level - {p}_m) / ({r}_m - {p}_m)"
+    return f"CASE WHEN ({p}_m >= level) <> ({r}_m >= level) THEN [{{'x': {p}_x + ({r}_x - {p}_x) * {cut}, 'y': {p}_y + ({r}_y - {p}_y) * {cut}}}] ELSE [] END"
+
+
+@query(f"""WITH {SURFACE_SQL}, top AS (SELECT * FROM surface WHERE event_id = (SELECT id FROM strong ORDER BY magnitude DESC, depth_km, id LIMIT 1)), quads AS (
+  SELECT a.event_id, a.lon AS a_x, a.lat AS a_y, a.mmi AS a_m, b.lon AS b_x, b.lat AS b_y, b.mmi AS b_m, c.lon AS c_x, c.lat AS c_y, c.mmi AS c_m, d.lon AS d_x, d.lat AS d_y, d.mmi AS d_m
+  FROM top a JOIN top b ON b.row = a.row AND b.col = a.col + 1 JOIN top c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN top d ON d.row = a.row + 1 AND d.col = a.col
+), cut AS (
+  SELECT *, list_concat(list_concat({_side("a", "b")}, {_side("b", "c")}), list_concat({_side("c", "d")}, {_side("d", "a")})) AS k
+  FROM quads, (SELECT CAST(range AS INTEGER) AS level FROM range(2, 11)) WHERE level > least(a_m, b_m, c_m, d_m) AND level <= greatest(a_m, b_m, c_m, d_m)
+), joined AS (
+  SELECT event_id, level, k, unnest(CASE WHEN len(k) = 2 THEN [[1, 2]] WHEN len(k) = 4 AND (a_m >= level) = ((a_m + b_m + c_m + d_m) / 4 >= level) THEN [[1, 2], [3, 4]] WHEN len(k) = 4 THEN [[4, 1], [2, 3]] ELSE [] END) AS p FROM cut)
+  SELECT event_id, level, round(k[p[1]].x, 4) AS x1, round(k[p[1]].y, 4) AS y1, round(k[p[2]].x, 4) AS x2, round(k[p[2]].y, 4) AS y2 FROM joined""")
 def g3_isolines(spark, d):
     """Segments of isolines of the strongest event."""
-    return intensity.isolines(intensity.surfaces(sites(spark), strongest(spark, d, 1)))
+    lines = intensity.isolines(intensity.surfaces(sites(spark), strongest(spark, d, 1)))
+    return lines.select("event_id", "level", *(F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(f"WITH {SURFACE_SQL} SELECT event_id, round(max(mmi), 4) AS top, count(*) AS n_cells FROM surface GROUP BY event_id")
+def a19_surface_maximum(spark, d):
+    return intensity.surfaces(sites(spark), strongest(spark, d)).groupBy("event_id").agg(F.round(F.max("mmi"), 4).alias("top"), F.count("*").alias("n_cells"))
+
+
+@query()
+def g4_band_regions(spark, d):
+    """Connected regions of each band of the strongest events, those under the least area pruned."""
+    r = intensity.prune_regions(intensity.regions(_bands(spark, d)), X.STEP, X.STEP, 0.05)
+    return r.groupBy("event_id", "mmi_lower", "region_id").agg(F.count("*").alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+
+
+# --- polygons: a footprint at each report
+
+
+@query(f"WITH {FOOTPRINTS_SQL} SELECT unit_id, round((r - l) * (t - b) - (r - m) * (t - q), 8) AS area FROM feet")
+def g11_polygon_areas(spark, d):
+    return zonal.areas(X.footprint_edges(X.reports(spark, d))).select("unit_id", F.round("area", 8).alias("area"))
+
+
+@query(f"WITH {FOOTPRINTS_SQL} SELECT unit_id, round((l + m) / 2, 6) AS lon, round((b + t) / 2, 6) AS lat FROM feet")
+def g8_representative_points(spark, d):
+    p = zonal.representative_points(X.footprint_edges(X.reports(spark, d)))
+    return p.select("unit_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"WITH {FOOTPRINTS_SQL} SELECT unit_id, 6 AS n_vertices, round((r - l) * (t - b) - (r - m) * (t - q), 8) AS area FROM feet")
+def g9_simplified_rings(spark, d):
+    """Rings whose sides were halved by further vertices: simplification takes those off and leaves the shape."""
+    e = X.footprint_edges(X.reports(spark, d))
+    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    first, second = e.withColumns({"seq": F.col("seq") * 2, "x2": mx, "y2": my}), e.withColumns({"seq": F.col("seq") * 2 + 1, "x1": mx, "y1": my})
+    thin = zonal.simplify(first.unionByName(second), 1e-6)
+    counts = thin.groupBy("unit_id").agg(F.count("*").cast("int").alias("n_vertices"))
+    return counts.join(zonal.areas(thin), "unit_id").select("unit_id", "n_vertices", F.round("area", 8).alias("area"))
+
+
+@query(f"""WITH {FOOTPRINTS_SQL}, {CELLS_SQL}, s AS (
+  SELECT *, unnest(range(greatest(0, CAST(floor((56.0::DOUBLE - greatest(y1, y2)) / 0.1::DOUBLE) AS BIGINT)), 1 + least(479, CAST(floor((56.0::DOUBLE - least(y1, y2)) / 0.1::DOUBLE) AS BIGINT)))) AS row FROM edges
+), x AS (
+  SELECT unit_id, row, CASE WHEN y1 = y2 THEN x1 ELSE x1 + (least(greatest(y1, y2), 56.0::DOUBLE - row * 0.1::DOUBLE) - y1) / (y2 - y1) * (x2 - x1) END AS a,
+    CASE WHEN y1 = y2 THEN x2 ELSE x1 + (greatest(least(y1, y2), 56.0::DOUBLE - row * 0.1::DOUBLE - 0.1::DOUBLE) - y1) / (y2 - y1) * (x2 - x1) END AS b FROM s
+), crossed AS (
+  SELECT unit_id, CAST(row AS INTEGER) AS row, CAST(unnest(range(greatest(0, CAST(floor((least(a, b) - 44.0::DOUBLE) / 0.1::DOUBLE) AS BIGINT)), 1 + least(609, CAST(floor((greatest(a, b) - 44.0::DOUBLE) / 0.1::DOUBLE) AS BIGINT)))) AS INTEGER) AS col FROM x
+), near AS (SELECT unit_id, l, b, r, t, m, q, unnest(range(CAST(floor((56.0::DOUBLE - t) / 0.1::DOUBLE) AS BIGINT) - 1, CAST(floor((56.0::DOUBLE - b) / 0.1::DOUBLE) AS BIGINT) + 2)) AS row, range(CAST(floor((l - 44.0::DOUBLE) / 0.1::DOUBLE) AS BIGINT) - 1, CAST(floor((r - 44.0::DOUBLE) / 0.1::DOUBLE) AS BIGINT) + 2) AS cs FROM feet
+), inside AS (
+  SELECT n.unit_id, c.row, c.col FROM (SELECT *, unnest(cs) AS col FROM near) n JOIN cells c ON c.row = n.row AND c.col = n.col
+  WHERE c.lat >= n.b AND c.lat < n.t AND c.lon >= n.l AND c.lon < CASE WHEN c.lat < n.q THEN n.r ELSE n.m END)
+  SELECT unit_id, row, col FROM (SELECT * FROM inside UNION SELECT * FROM crossed
+    UNION SELECT unit_id, CAST(least(greatest(floor((56.0::DOUBLE - (b + t) / 2) / 0.1::DOUBLE), 0), 479) AS INTEGER), CAST(least(greatest(floor(((l + m) / 2 - 44.0::DOUBLE) / 0.1::DOUBLE), 0), 609) AS INTEGER) FROM feet)""")
+def g7_touched_cells(spark, d):
+    """Raster cells that each footprint touches: centres inside, cells that an edge crosses, the representative cell."""
+    e, grid = X.footprint_edges(X.reports(spark, d)), (X.X0, X.Y0, X.STEP, X.WIDTH, X.HEIGHT)
+    return zonal.touched_cells(zonal.cells_in_units(e, *grid), zonal.representative_points(e), GRID, zonal.crossed_cells(e, *grid))
+
+
+_PROPS = "map('Districts', if(id % 17 = 0, '', place), 'province', source, 'division', mag_type, 'Population', if(id % 5 = 0, '', CAST(sig AS string))) AS props"
+
+
+@query(f"WITH {REPORTS_SQL} SELECT id, 'district' AS level, CASE WHEN id % 17 = 0 THEN '' ELSE place END AS name, source AS parent, mag_type AS division, CASE WHEN id % 5 <> 0 THEN CAST(sig AS DOUBLE) END AS population, CASE WHEN id % 17 = 0 OR place IS NULL THEN 'name' END AS reject_reason FROM reports")
+def s12_boundary_features(spark, d):
+    """Properties of features to columns by level; rows without a name are marked."""
+    rows = X.reports(spark, d).selectExpr("id", _PROPS)
+    return zonal.map_features(rows, "district", "id")
+
+
+@query(f"WITH {REPORTS_SQL}, n AS (SELECT source AS level, count(*) AS n FROM reports GROUP BY 1), w AS (SELECT unnest(['USGS', 'MET', 'OTHER']) AS level, unnest([9000, 3334, 0]) AS expected) SELECT w.level, coalesce(n.n, 0) AS n, w.expected, coalesce(n.n, 0) = w.expected AS ok FROM w LEFT JOIN n USING (level)")
+def s13_level_counts(spark, d):
+    """The check after a load: rows of each level against what is expected."""
+    return zonal.level_counts(X.reports(spark, d).withColumnRenamed("source", "level"), {"USGS": 9000, "MET": 3334, "OTHER": 0})
+
+
+@query(f"WITH {REPORTS_SQL} SELECT id, source, updated_us FROM reports WHERE updated_us >= {T20} AND lon BETWEEN 44 AND 105 AND lat BETWEEN 8 AND 56")
+def s5_incremental_fetch(spark, d):
+    """Rows that the provider changed since the last sync."""
+    return C.fetch_query(X.reports(spark, d), updated_after_us=T20).select("id", "source", "updated_us")
 
 
 def _mapping(spark, units):

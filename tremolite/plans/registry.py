@@ -62,6 +62,13 @@ SURFACE_SQL = f"""{CATALOG_SQL}, {CELLS_SQL}, {STRONG_SQL}, near AS (
 BANDS_SQL = f"""{SURFACE_SQL}, tops AS (SELECT event_id, max(mmi) AS top FROM surface GROUP BY event_id), bands AS (
   SELECT s.*, (SELECT max(l) FROM (SELECT unnest(range(2, 11)) AS l) WHERE l <= s.mmi AND l < t.top)::INTEGER AS mmi_lower FROM surface s JOIN tops t USING (event_id))"""
 
+#: The edges of ``fixtures.footprint_edges``.
+FOOTPRINTS_SQL = f"""{REPORTS_SQL}, feet AS (
+  SELECT id AS unit_id, lon AS l, lat AS b, lon + (id % 7 * 0.1::DOUBLE + 0.13::DOUBLE) AS r, lat + (id % 5 * 0.1::DOUBLE + 0.17::DOUBLE) AS t,
+    lon + (id % 7 * 0.1::DOUBLE + 0.13::DOUBLE) / 2 AS m, lat + (id % 5 * 0.1::DOUBLE + 0.17::DOUBLE) / 4 AS q FROM reports
+), edges AS (SELECT unit_id, unnest([{{'x1': l, 'y1': b, 'x2': r, 'y2': b}}, {{'x1': r, 'y1': b, 'x2': r, 'y2': q}}, {{'x1': r, 'y1': q, 'x2': m, 'y2': q}},
+  {{'x1': m, 'y1': q, 'x2': m, 'y2': t}}, {{'x1': m, 'y1': t, 'x2': l, 'y2': t}}, {{'x1': l, 'y1': t, 'x2': l, 'y2': b}}], recursive := true) FROM feet)"""
+
 
 def units_sql(levels: tuple[str, ...] = ("province", "district")) -> str:
     tiles = {"province": (0, 6, 4, "CAST(NULL AS VARCHAR)"), "district": (100000, 24, 16, "concat('province ', (i % 24) // 4, '-', (i // 24) // 4)"), "tehsil": (200000, 96, 64, "concat('district ', (i % 96) // 4, '-', (i // 96) // 4)")}
