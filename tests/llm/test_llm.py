@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremolite.llm import bpe, chat, langid, licenses, media, mixing, near_dedup, secrets, sharding, topk
@@ -177,6 +178,25 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.prototypes(df.limit(0))).collect()} == {"und"}
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    copy = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [
+        (1, copy, "en", "a", 1), (1, copy, "en", "a", 1), (1, copy + " lambda mu nu xi omicron pi rho sigma tau", "en", "a", 1),  # one id, one text twice, another text
+        (2, copy.upper(), "en", "b", 1), (None, copy, "en", None, 1), (None, copy, "en", None, 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "one two", "en", "a", 0),
+    ]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("x"), "__hash": F.lit(1), "size": F.lit(2)})
+    known = corpus_pipeline.language_id(spark, odd, "")
+    assert known.columns == corpus_pipeline.COLUMNS and sorted(str(r.doc_id) for r in known.collect()) == ["1", "1", "1", "2", "5", "None", "None"]
+    one = corpus_pipeline.near_duplicates(spark, odd, "").collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in one) == sorted([("1", len(copy)), ("1", len(rows[2][1])), ("None", len(copy)), ("None", len(copy)), ("3", 0), ("4", 0), ("5", 7)])
+    assert corpus_pipeline.secret_scan(spark, odd, "").count() == len(rows)
+    sizes = mixing.mix_sources(odd.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))), carry=("__hash",)).collect()
+    mixed = corpus_pipeline.mix_sources(spark, odd, "")
+    assert mixed.columns == corpus_pipeline.COLUMNS and all(r.text for r in mixed.collect()) and all(r.taken <= 3 * r["size"] for r in sizes)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), "").count() == 0, name
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("kept")
     start = {r.doc_id: r.text for r in docs.collect()}

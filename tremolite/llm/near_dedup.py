@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged, text_bytes
+from .common import WORD, slices, staged, text_bytes
 
 #: 2 ** 8 registers of one byte: the leading-zero count (15 at most) and 4 mantissa bits of the least hash of a bucket.
 BUCKET_BITS, MANTISSA_BITS, MOST_ZEROS = 8, 4, 15
@@ -94,7 +94,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[
     count = np.bincount(doc, minlength=n)
     at = np.concatenate([[0], np.cumsum(count)])
     rolled = np.zeros(len(words), _u)
-    for k in range(width):
+    for k in range(min(width, len(words))):  # fewer words than that hold no whole shingle
         rolled[: len(words) - k] = rolled[: len(words) - k] * _K4 + words[k:]
     whole = np.arange(len(words)) + width <= at[doc + 1]
     hashes = _mix(rolled)
@@ -318,6 +318,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``df`` that stay if each group of near duplicates keeps one document: all its columns.
+
+    A group keeps the document of the least doc_id; of several texts under that doc_id, the one with the least hash,
+    once. Rows without words or doc_id are linked with nothing, so all of them stay.
+    """
+    rows = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    alone = F.col(doc_id).isNull() | ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    first = grouped_rows(df, doc_id, text, width, threshold).filter("doc_id = component_id AND text_hash = first_hash").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias("__hash"))
+    kept = rows.filter(~alone).join(first, [doc_id, "__hash"], "left_semi").dropDuplicates([doc_id, "__hash"])
+    return rows.filter(alone).unionByName(kept.select(*rows.columns)).select(*df.columns)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_shingles, component_id, kept.
 
@@ -338,6 +351,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Null or blank text: an empty set, linked with nothing. Null doc_id: linked with nothing, component_id null and
     kept true. Rows that repeat a doc_id are each linked by their own text. An empty table gives an empty table.
     """
+    return grouped_rows(df, doc_id, text, width, threshold).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped_rows(df: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
+    """``near_duplicates`` without kept, with each row's text_hash and its group's first_hash: the least hash among the texts of component_id."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     signed = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(width), SIGNATURE), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -416,10 +434,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     links = confirmed(across.select(*pair("set_id", "o_set_id")), "across")
     labels = components(found.union(links))
 
-    grouped = sets.select("set_id", "doc_id").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least_id = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = grouped.select("set_id", "component").join(least_id, "component").select("set_id", "component_id")
+    grouped = sets.select("set_id", "doc_id", "text_hash").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).select("component", F.col("d.doc_id").alias("component_id"), F.col("d.text_hash").alias("first_hash"))
+    of_set = grouped.select("set_id", "component").join(least, "component").select("set_id", "component_id", "first_hash")
     alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(of_set, "set_id", "left")
     rows = rows.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", "text_hash", "first_hash")
