@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_bytes
 
@@ -101,10 +102,13 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang") -> D
     return parts.select("lang", F.posexplode("bundle").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("prototype"))
 
 
-def _predict(langs: list[str], protos: np.ndarray):
+def _predict(langs: list[str], protos: np.ndarray, text: int, keep: list[int]):
+    """The columns ``keep`` of each row, then its language and score; ``text``: the number of the text column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, texts in _batches(batch, 1):
+            names = [batch.schema.names[k] for k in keep] + ["lang_pred", "score"]
+            for i, j, texts in _batches(batch, text):
                 vectors, letters = document_vectors(texts)
                 norms = np.linalg.norm(vectors, axis=1)
                 pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -113,7 +117,7 @@ def _predict(langs: list[str], protos: np.ndarray):
                     best = cos.argmax(1)
                     for k in np.flatnonzero(letters > 0):
                         pred[k], score[k] = langs[best[k]], float(np.clip(cos[k, best[k]], 0, 1))
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(pred), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.record_batch([*(batch.column(k)[i:j] for k in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return run
 
@@ -124,10 +128,22 @@ def predict(df: DataFrame, protos: DataFrame, doc_id: str = "doc_id", text: str
     The model is one vector of ``DIMS`` numbers a language, whatever the corpus; the driver holds it. Null text or
     one without letters, or no languages learned: ``und`` and 0.
     """
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_predict(*_model(protos), 1, [0]), "doc_id long, lang_pred string, score double")
+
+
+def add_language(df: DataFrame, protos: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` with lang_pred and score as in ``predict``; columns of these names give way. No shuffle."""
+    rows = df.drop("lang_pred", "score")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(*_model(protos), rows.columns.index(text), list(range(len(rows.columns)))), schema)
+
+
+def _model(protos: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their prototypes, of length 1."""
     model = sorted((r["lang"], r["prototype"]) for r in protos.collect())
     m = np.array([p for _, p in model], np.float64).reshape(len(model), DIMS)
-    m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_predict([name for name, _ in model], m), "doc_id long, lang_pred string, score double")
+    return [name for name, _ in model], (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

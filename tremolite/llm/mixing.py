@@ -55,8 +55,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
-def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row: the words of each document that the mix takes.
+def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns ``carry`` for each row: the words of each document that the mix takes.
 
     1. Sizes are words; targets as in ``source_targets``.
     2. All blocks (total size / ``block``) go to sources by Sainte-Laguë, targets as votes; a source's blocks go to
@@ -67,7 +67,7 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     Null text or no words: size 0, taken 0. Null source: a source of its own, the last. Rows that repeat a doc_id
     are documents of their own, in order of size. Reruns agree. An empty table gives an empty table.
     """
-    sized = staged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes")
+    sized = staged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *carry), "sizes")
     known = sized.withColumn("key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")))  # "n" < "s...": a null source has a key too
     sources = staged(source_targets(known.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).drop("n_docs")), "targets")
     counts = known.groupBy("key").agg(F.count("*").alias("n_docs"))
@@ -85,9 +85,9 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     shards = shards.withColumn("line", F.greatest(line, F.lit(1))).select("key", "shard", "line", F.least(F.col("quota"), F.col("line") * REPEAT).alias("quota"), start.alias("start"))
     shards = staged(shards.selectExpr("key AS s_key", "shard AS s_shard", "quota div line AS whole", f"(start % line) * {block} AS first_at", f"(start % line + quota % line) * {block} AS last_at", f"line * {block} AS line_words"), "shards")
 
-    at = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("at", F.coalesce(F.sum("size").over(at), F.lit(0)))
     docs = docs.join(shards, (F.col("key") == F.col("s_key")) & (F.col("shard") == F.col("s_shard")))
     part = lambda lo, hi: f"greatest(least(at + size, {hi}) - greatest(at, {lo}), 0)"
     taken = F.expr(f"CAST(whole * size + {part('first_at', 'last_at')} + {part('0', 'last_at - line_words')} AS long)")
-    return docs.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return docs.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
