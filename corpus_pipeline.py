@@ -18,15 +18,13 @@ LEAST_COSINE = 0.05
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the corpus has: not ``und``, and near enough to the language's prototype."""
     protos = langid.prototypes(docs.filter(~langid.held_out()))
-    found = langid.predict(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), protos).dropDuplicates(["doc_id"])
-    good = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(F.col("doc_id").alias("__row"))
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(good, "__row", "left_semi").select(*COLUMNS)
+    found = langid.add_language(docs.select(*COLUMNS), protos)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 0.8), the one with the least doc_id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return near_dedup.representatives(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +34,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes its words, to the nearest whole number; some are left out."""
-    copies = mixing.mix_sources(docs).filter("size > 0").select("doc_id", F.expr("CAST(round(taken / size) AS int)").alias("copies"))
-    taken = docs.join(copies.filter("copies > 0"), "doc_id")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Repeats each document as often as the mix takes its words, to the nearest whole number; some are left out.
+
+    Rows equal in doc_id and text are each repeated as often as the one of them taken most. Documents without words are left out.
+    """
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    copies = mixing.mix_sources(keyed, carry=("__id", "__hash")).withColumn("copies", F.expr("if(size > 0, CAST(round(taken / size) AS int), 0)"))
+    copies = copies.groupBy("__id", "__hash").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    return keyed.join(copies, ["__id", "__hash"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
