@@ -24,6 +24,64 @@ def test_oracle(spark, name):
     assert plain(df.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
 
 
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """A folder of nine events, more than the three of the reports."""
+    d = str(tmp_path_factory.mktemp("few"))
+    spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 111 = 7 AND event_id < 1000").coalesce(1).write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def unlimited(d, name):
+    """Columns and rows of the SQL of ``name`` without its limit of events."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    sql = ORACLES[name].replace(" WHERE event_id = (SELECT id FROM strong ORDER BY magnitude DESC, depth_km, id LIMIT 1)", "").replace(", id LIMIT 3)", ", id)")
+    for t in "bcd":
+        sql = sql.replace(f"JOIN top {t} ON", f"JOIN top {t} ON {t}.event_id = a.event_id AND")
+    assert sql != ORACLES[name]
+    r = con.sql(sql)
+    return sorted(r.columns), con.sql(f"SELECT {', '.join(sorted(r.columns))} FROM ({sql})").fetchall()
+
+
+EVERY = ["g1_intensity_surfaces", "h9_pga_classes", "g2_filled_bands", "h8_band_attributes", "k4_band_levels", "g3_isolines", "a19_surface_maximum", "g7_zonal_maximum", "g13_event_impact", "t6_top_units"]
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_every_event(spark, few, name):
+    cols, want = unlimited(few, name)
+    got = QUERIES[f"{name}_every_event"](spark, few).select(*cols).collect()
+    assert plain(got) == plain(want)
+    if "event_id" in cols and name == "g13_event_impact":
+        assert len({r.event_id for r in got}) == queries.canonical(spark, few).count() > 3
+
+
+def test_every_event_compared_with_the_next(spark, few):
+    events = [r.id for r in queries.canonical(spark, few).orderBy("occurred_us", "id").collect()]
+    cells = {i: {} for i in events}
+    for r in queries.intensity.surfaces(queries.sites(spark), queries.canonical(spark, few)).select("event_id", "row", "col", "mmi").collect():
+        cells[r.event_id][r.row, r.col] = r.mmi
+    want = {(a, b, *k): cells[b].get(k, 0.0) - cells[a].get(k, 0.0) for a, b in zip(events, events[1:], strict=False) for k in cells[a].keys() | cells[b].keys()}
+    got = {(r.first_id, r.second_id, r.row, r.col): r.delta for r in QUERIES["j10_compare_events_every_event"](spark, few).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_every_event_regions(spark, few):
+    cells = {tuple(r) for r in QUERIES["g2_filled_bands_every_event"](spark, few).select("event_id", "mmi_lower", "row", "col").collect()}
+    want = {}
+    while cells:
+        todo, found = [cells.pop()], []
+        while todo:
+            e, m, r, c = todo.pop()
+            found.append((r, c))
+            near = {(e, m, r + 1, c), (e, m, r - 1, c), (e, m, r, c + 1), (e, m, r, c - 1)} & cells
+            cells -= near
+            todo += near
+        want[e, m, min(found)] = len(found)
+    got = {(r.event_id, r.mmi_lower, divmod(r.region_id, 1000000)): r.n_cells for r in QUERIES["g4_band_regions_every_event"](spark, few).collect()}
+    assert got == want
+
+
 def test_formulas(spark):
     one = spark.range(1)
     d = one.select(motion.haversine_m(F.lit(70.0), F.lit(30.0), F.lit(70.0), F.lit(31.0))).first()[0]

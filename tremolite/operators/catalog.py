@@ -33,6 +33,15 @@ def ordered(df: DataFrame, by: str = "time") -> DataFrame:
     return df.orderBy(first, "id")
 
 
+def next_events(df: DataFrame) -> DataFrame:
+    """(first_id, second_id): each event and the one after it in time, ties by id. The last event of a day takes the
+    first one of the next day that has any, so that only days are put in order in one task."""
+    at = df.select(F.floor(F.col("occurred_us") / 86_400_000_000).alias("day"), F.struct("occurred_us", "id").alias("at"))
+    days = at.groupBy("day").agg(F.min("at").alias("first")).select("day", F.lead("first.id").over(Window.orderBy("day")).alias("next_day"))
+    inside = at.select("day", F.col("at.id").alias("first_id"), F.lead("at.id").over(Window.partitionBy("day").orderBy("at")).alias("later"))
+    return inside.join(days, "day").select("first_id", F.coalesce("later", "next_day").alias("second_id")).filter("second_id IS NOT NULL")
+
+
 def page(df: DataFrame, limit: int | None = 100, offset: int = 0) -> DataFrame:
     """Rows of a page; without a limit everything, whatever the offset."""
     return df if limit is None else df.offset(offset).limit(limit)

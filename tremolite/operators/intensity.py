@@ -94,6 +94,12 @@ def compare_surfaces(surface: DataFrame, first: int, second: int) -> DataFrame:
     return one(first, "first_mmi").join(one(second, "second_mmi"), ["row", "col"], "full").withColumn("delta", F.coalesce("second_mmi", F.lit(0.0)) - F.coalesce("first_mmi", F.lit(0.0)))
 
 
+def compare_pairs(surface: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first_id, second_id, row, col, delta) for many pairs of events (first_id, second_id), cells of either; absent counts as 0."""
+    one = lambda i, sign: surface.join(pairs.withColumn("event_id", F.col(i)), "event_id").select("first_id", "second_id", "row", "col", (F.col("mmi") * sign).alias("m"))
+    return one("first_id", -1.0).unionByName(one("second_id", 1.0)).groupBy("first_id", "second_id", "row", "col").agg(F.sum("m").alias("delta"))
+
+
 def regions(bands: DataFrame, rounds: int = 60) -> DataFrame:
     """Adds region_id: connected cells of one band (four neighbours), named by their least cell.
 

@@ -127,7 +127,7 @@ def impact(events: DataFrame, cells: DataFrame, units: DataFrame, mapping: DataF
     worst = bands.join(mapping, ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
     here = cell_of(points, *grid).select("unit_id", "row", "col").join(cells, ["row", "col"])
     e = events.select(F.col("id").alias("event_id"), "magnitude", "depth_km", F.col("lon").alias("epi_lon"), F.col("lat").alias("epi_lat"))
-    at = intensity._surface(e.withColumn("one", F.lit(1)).join(here.withColumn("one", F.lit(1)), "one").withColumnRenamed("unit_id", "u").withColumn("row", F.col("u"))).select("event_id", F.col("row").alias("unit_id"), F.round("mmi", 1).alias("mmi_repr"))
+    at = intensity._surface(e.crossJoin(F.broadcast(here)).withColumnRenamed("unit_id", "u").withColumn("row", F.col("u"))).select("event_id", F.col("row").alias("unit_id"), F.round("mmi", 1).alias("mmi_repr"))
     out = at.join(worst, ["event_id", "unit_id"], "left").join(units.select("unit_id", "level", "name", "parent"), "unit_id")
     return out.select("event_id", "level", "unit_id", "name", "parent", F.coalesce("mmi_max", F.lit(0)).alias("mmi_max"), "mmi_repr")
 

@@ -22,9 +22,13 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
     return dedup.cluster(X.reports(spark, d))
 
 
+def canonical(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).filter("is_canonical")
+
+
 def strongest(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
-    """The feature is the few strongest events, the shallowest first."""
-    return catalog(spark, d).filter("is_canonical").orderBy(F.desc("magnitude"), "depth_km", "id").limit(n)
+    """The few strongest events, the shallowest first: the report of the queries whose SQL has that limit."""
+    return canonical(spark, d).orderBy(F.desc("magnitude"), "depth_km", "id").limit(n)
 
 
 def sites(spark: SparkSession) -> DataFrame:
@@ -364,34 +368,58 @@ def h1_distance(spark, d):
 @query(f"WITH {SURFACE_SQL} SELECT event_id, row, col, round(mmi, 4) AS mmi FROM surface")
 def g1_intensity_surfaces(spark, d):
     """Cells of intensity 2 and more of the strongest events."""
-    return intensity.surfaces(sites(spark), strongest(spark, d)).select("event_id", "row", "col", F.round("mmi", 4).alias("mmi"))
+    return _intensities(spark, strongest(spark, d))
+
+
+def _intensities(spark, events):
+    return intensity.surfaces(sites(spark), events).select("event_id", "row", "col", F.round("mmi", 4).alias("mmi"))
 
 
 @query(f"WITH {SURFACE_SQL} SELECT event_id, CASE WHEN pga / 0.980665 BETWEEN 3.000001 AND 14 THEN 3 WHEN pga / 0.980665 BETWEEN 14.000001 AND 39 THEN 4 WHEN pga / 0.980665 BETWEEN 39.000001 AND 92 THEN 5 WHEN pga / 0.980665 BETWEEN 92.000001 AND 180 THEN 6 WHEN pga / 0.980665 BETWEEN 180.000001 AND 340 THEN 7 WHEN pga / 0.980665 BETWEEN 340.000001 AND 650 THEN 8 WHEN pga / 0.980665 BETWEEN 650.000001 AND 1240 THEN 9 WHEN pga / 0.980665 BETWEEN 1240.000001 AND 4000 THEN 10 WHEN pga / 0.980665 BETWEEN 0.500001 AND 3 THEN 2 END AS class, count(*) AS n FROM surface GROUP BY 1, 2")
 def h9_pga_classes(spark, d):
-    return intensity.surfaces(sites(spark), strongest(spark, d)).groupBy("event_id", motion.pga_class(F.col("pga")).alias("class")).agg(F.count("*").alias("n"))
+    return _classes(spark, strongest(spark, d))
+
+
+def _classes(spark, events):
+    return intensity.surfaces(sites(spark), events).groupBy("event_id", motion.pga_class(F.col("pga")).alias("class")).agg(F.count("*").alias("n"))
+
+
+def _bands_of(spark, events):
+    return intensity.banded(intensity.surfaces(sites(spark), events))
 
 
 def _bands(spark, d):
-    return intensity.banded(intensity.surfaces(sites(spark), strongest(spark, d)))
+    return _bands_of(spark, strongest(spark, d))
 
 
 @query(f"WITH {BANDS_SQL} SELECT event_id, row, col, mmi_lower, CAST(least(mmi_lower + 1, 10) AS INTEGER) AS mmi_upper FROM bands WHERE mmi_lower IS NOT NULL")
 def g2_filled_bands(spark, d):
     """Band of each cell."""
-    return _bands(spark, d).select("event_id", "row", "col", "mmi_lower", "mmi_upper")
+    return _filled(_bands(spark, d))
+
+
+def _filled(bands):
+    return bands.select("event_id", "row", "col", "mmi_lower", "mmi_upper")
 
 
 @query(f"WITH {BANDS_SQL} SELECT DISTINCT event_id, mmi_lower, ['#bfccff', '#a0e6ff', '#80ffff', '#7aff93', '#ffff00', '#ffc800', '#ff9100', '#ff0000', '#c80000'][mmi_lower - 1] AS color, ['II (Weak)', 'III (Weak)', 'IV (Light)', 'V (Moderate)', 'VI (Strong)', 'VII (Very Strong)', 'VIII (Severe)', 'IX (Violent)', 'X (Extreme)'][mmi_lower - 1] AS label FROM bands WHERE mmi_lower IS NOT NULL")
 def h8_band_attributes(spark, d):
     """Levels present with colour and label."""
-    return _bands(spark, d).select("event_id", "mmi_lower", "color", "label").distinct()
+    return _attributes(_bands(spark, d))
+
+
+def _attributes(bands):
+    return bands.select("event_id", "mmi_lower", "color", "label").distinct()
 
 
 @query(f"WITH {BANDS_SQL} SELECT event_id, mmi_lower AS mmi_low, count(*) AS n FROM bands WHERE mmi_lower IN (4, 5, 6) GROUP BY 1, 2")
 def k4_band_levels(spark, d):
     """Bands of chosen levels, as exported (also K3)."""
-    return _bands(spark, d).filter(F.col("mmi_lower").isin(4, 5, 6)).groupBy("event_id", F.col("mmi_lower").alias("mmi_low")).agg(F.count("*").alias("n"))
+    return _levels(_bands(spark, d))
+
+
+def _levels(bands):
+    return bands.filter(F.col("mmi_lower").isin(4, 5, 6)).groupBy("event_id", F.col("mmi_lower").alias("mmi_low")).agg(F.count("*").alias("n"))
 
 
 def _side(p: str, r: str) -> str:
@@ -410,19 +438,30 @@ def _side(p: str, r: str) -> str:
   SELECT event_id, level, round(k[p[1]].x, 4) AS x1, round(k[p[1]].y, 4) AS y1, round(k[p[2]].x, 4) AS x2, round(k[p[2]].y, 4) AS y2 FROM joined""")
 def g3_isolines(spark, d):
     """Segments of isolines of the strongest event."""
-    lines = intensity.isolines(intensity.surfaces(sites(spark), strongest(spark, d, 1)))
+    return _lines(spark, strongest(spark, d, 1))
+
+
+def _lines(spark, events):
+    lines = intensity.isolines(intensity.surfaces(sites(spark), events))
     return lines.select("event_id", "level", *(F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query(f"WITH {SURFACE_SQL} SELECT event_id, round(max(mmi), 4) AS top, count(*) AS n_cells FROM surface GROUP BY event_id")
 def a19_surface_maximum(spark, d):
-    return intensity.surfaces(sites(spark), strongest(spark, d)).groupBy("event_id").agg(F.round(F.max("mmi"), 4).alias("top"), F.count("*").alias("n_cells"))
+    return _maxima(spark, strongest(spark, d))
+
+
+def _maxima(spark, events):
+    return intensity.surfaces(sites(spark), events).groupBy("event_id").agg(F.round(F.max("mmi"), 4).alias("top"), F.count("*").alias("n_cells"))
 
 
 @query()
 def g4_band_regions(spark, d):
     """Connected regions of each band of the strongest events, those under the least area pruned."""
-    r = intensity.prune_regions(intensity.regions(_bands(spark, d)), X.STEP, X.STEP, 0.05)
+    return _regions(intensity.prune_regions(intensity.regions(_bands(spark, d)), X.STEP, X.STEP, 0.05))
+
+
+def _regions(r):
     return r.groupBy("event_id", "mmi_lower", "region_id").agg(F.count("*").alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
 
 
@@ -502,7 +541,11 @@ _MAP = units_sql() + ", mapping AS (SELECT u.unit_id, c.row, c.col FROM units u
 @query(f"WITH {BANDS_SQL}, {_MAP} SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE b.mmi_lower IS NOT NULL GROUP BY 1, 2")
 def g7_zonal_maximum(spark, d):
     """Worst band of each unit that an event's bands reach."""
-    return _bands(spark, d).join(_mapping(spark, X.units(spark)), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
+    return _zonal(spark, strongest(spark, d))
+
+
+def _zonal(spark, events):
+    return _bands_of(spark, events).join(_mapping(spark, X.units(spark)), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
 
 
 @query(f"WITH {REPORTS_SQL}, {units_sql()} SELECT r.id AS point_id, u.unit_id FROM reports r JOIN units u ON r.lon >= u.minx AND r.lon < u.maxx AND r.lat >= u.miny AND r.lat < u.maxy")
@@ -516,22 +559,26 @@ def j11_parent_units(spark, d):
     return zonal.with_parent(X.units(spark)).join(n, "unit_id").select("unit_id", "parent_id", "n")
 
 
-def _impact(spark, d):
+def _impact(spark, events):
     units = X.units(spark)
     edges = zonal.envelope_edges(units)
-    return zonal.impact(strongest(spark, d), sites(spark), units, _mapping(spark, units), zonal.representative_points(edges), GRID)
+    return zonal.impact(events, sites(spark), units, _mapping(spark, units), zonal.representative_points(edges), GRID)
 
 
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) GROUP BY 1, 2) SELECT s.id AS event_id, u.level, u.unit_id, u.name, u.parent, coalesce(w.mmi_max, 0) AS mmi_max FROM strong s CROSS JOIN units u LEFT JOIN w ON w.event_id = s.id AND w.unit_id = u.unit_id")
 def g13_event_impact(spark, d):
     """Worst band of every unit for the strongest events."""
-    return _impact(spark, d).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
+    return _impact(spark, strongest(spark, d)).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
 
 
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE mmi_lower IS NOT NULL GROUP BY 1, 2) SELECT w.event_id, u.level, u.name, w.mmi_max FROM w JOIN units u USING (unit_id) QUALIFY row_number() OVER (PARTITION BY w.event_id, u.level ORDER BY w.mmi_max DESC, u.name) <= 12")
 def t6_top_units(spark, d):
     """The twelve worst affected units of an event and level."""
-    return zonal.top_units(_impact(spark, d)).select("event_id", "level", "name", "mmi_max")
+    return _top_units(spark, strongest(spark, d))
+
+
+def _top_units(spark, events):
+    return zonal.top_units(_impact(spark, events)).select("event_id", "level", "name", "mmi_max")
 
 
 @query(f"WITH {SURFACE_SQL}, e AS (SELECT min(id) AS a, max(id) AS b FROM strong), x AS (SELECT row, col, mmi FROM surface, e WHERE event_id = a), y AS (SELECT row, col, mmi FROM surface, e WHERE event_id = b) SELECT coalesce(x.row, y.row) AS row, coalesce(x.col, y.col) AS col, round(coalesce(y.mmi, 0) - coalesce(x.mmi, 0), 4) AS delta FROM x FULL JOIN y ON x.row = y.row AND x.col = y.col")
@@ -543,3 +590,70 @@ def j10_compare_events(spark, d):
         return intensity.compare_surfaces(intensity.surfaces(sites(spark), s), -1, -2).select("row", "col", "delta")
     c = intensity.compare_surfaces(intensity.surfaces(sites(spark), s), ends["a"], ends["b"])
     return c.select("row", "col", F.round("delta", 4).alias("delta"))
+
+
+# --- the same over every canonical event, without SQL: tests hold them against the SQL above less its limit, on a few events
+
+
+@query()
+def g1_intensity_surfaces_every_event(spark, d):
+    return _intensities(spark, canonical(spark, d))
+
+
+@query()
+def h9_pga_classes_every_event(spark, d):
+    return _classes(spark, canonical(spark, d))
+
+
+@query()
+def g2_filled_bands_every_event(spark, d):
+    return _filled(_bands_of(spark, canonical(spark, d)))
+
+
+@query()
+def h8_band_attributes_every_event(spark, d):
+    return _attributes(_bands_of(spark, canonical(spark, d)))
+
+
+@query()
+def k4_band_levels_every_event(spark, d):
+    return _levels(_bands_of(spark, canonical(spark, d)))
+
+
+@query()
+def g3_isolines_every_event(spark, d):
+    return _lines(spark, canonical(spark, d))
+
+
+@query()
+def a19_surface_maximum_every_event(spark, d):
+    return _maxima(spark, canonical(spark, d))
+
+
+@query()
+def g4_band_regions_every_event(spark, d):
+    """The least area is the operator's, which is below that of a cell."""
+    return _regions(intensity.prune_regions(intensity.regions(_bands_of(spark, canonical(spark, d))), X.STEP, X.STEP))
+
+
+@query()
+def g7_zonal_maximum_every_event(spark, d):
+    return _zonal(spark, canonical(spark, d))
+
+
+@query()
+def g13_event_impact_every_event(spark, d):
+    return _impact(spark, canonical(spark, d)).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
+
+
+@query()
+def t6_top_units_every_event(spark, d):
+    return _top_units(spark, canonical(spark, d))
+
+
+@query()
+def j10_compare_events_every_event(spark, d):
+    """Each event's surface against that of the next one in time, cell by cell."""
+    e = canonical(spark, d)
+    c = intensity.compare_pairs(intensity.surfaces(sites(spark), e), C.next_events(e))
+    return c.select("first_id", "second_id", "row", "col", F.round("delta", 4).alias("delta"))
