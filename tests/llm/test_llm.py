@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -142,6 +143,54 @@ def test_sharding(spark, docs):
     assert {r.text_crc32 for r in out if r.doc_id == 7} == {zlib.crc32((LONG + "end").encode())} and sharding.shard_by_curve(docs.limit(0)).count() == 0
 
 
+def written(parsed, rng):
+    """A text that the parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "7" if "DIGIT" in str(arg[0][1]) else "x"
+        elif kind == "BRANCH":
+            out += written(rng.choice(arg[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += written(arg[-1], rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(written(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 3))))
+        else:
+            assert kind == "ASSERT_NOT", kind
+    return out
+
+
+def test_license_gate_loses_nothing():
+    rng = random.Random(4)
+    for r in licenses.rules():
+        parsed = re._parser.parse(r.pattern.pattern.decode())
+        for _ in range(10):
+            normal = f"some {written(parsed, rng)} text".encode()
+            assert r.pattern.search(normal)
+            kept = []
+            for o in licenses.rules():  # every rule, whatever the words
+                for m in o.pattern.finditer(normal):
+                    if not any(k[0] <= m.start() and m.end() <= k[1] for k in kept):
+                        kept.append((m.start(), m.end(), o.priority))
+            assert [(d.start, d.end, d.priority) for d in licenses.detect(normal.split())] == kept
+
+
+def test_licenses_wrapped_or_named_alone(spark):
+    want = {
+        "Permission is hereby\ngranted, free of charge, to any person obtaining a  copy": "mit", "This program is free\nsoftware; you can redistribute it and/or modify it": "gpl",
+        "Redistribution and use in source and binary\nforms": "bsd", "All rights\nreserved": "proprietary", "placed into the public\n domain": "public-domain",
+        "released under the WTFPL": "wtfpl", "under the EUPL 1.2": "eupl-1.2", "OSL 3.0": "osl-3.0", "AFL-2.1": "afl-2.1", "OFL 1.1": "ofl-1.1", "CeCILL 2.1": "cecill-2.1", "released under MS-PL": "ms-pl",
+        "Creative Commons Attribution 4.0": "cc-by-4.0", "Apache-2.0": "apache-2.0", "BSD-3-Clause": "bsd-3", "MPL 2.0": "mpl-2.0", "governed by the zlib": "zlib",
+        "This software is provided 'as is', without any express or implied\nwarranty": "zlib", "subject to the terms of the Apache 2.0": "apache-2.0", "in accordance with the MIT": "mit",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_report(rows).collect()}
+    assert [k for k, (t, label) in enumerate(want.items()) if label not in got[k]] == []
+
+
 def test_licenses(spark, docs):
     assert len(licenses.rules()) > 200
     out = {r.doc_id: r for r in licenses.license_report(docs).collect()}

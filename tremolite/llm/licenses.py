@@ -1,4 +1,4 @@
-"""License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment."""
+"""License scans: ordered signature rules behind a gate of keywords, overlaps resolved by priority and containment."""
 
 from __future__ import annotations
 
@@ -17,67 +17,67 @@ from .common import slices, text_bytes
 #: The phrases whose every place counts, and their labels.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: License families: (label, how its name is written, keyword that any such text holds, versions).
+#: License families: (label, how its name is written, whole words of which any such name holds one, versions).
 FAMILIES = (
-    ("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", "g", ("1.0", "2.0", "3.0")),
-    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", "l", ("2.0", "2.1", "3.0")),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", "a", ("1.0", "3.0")),
-    ("gfdl", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", "f", ("1.1", "1.2", "1.3")),
+    ("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", "gpl license licence", ("1.0", "2.0", "3.0")),
+    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", "lgpl license licence", ("2.0", "2.1", "3.0")),
+    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", "agpl license licence", ("1.0", "3.0")),
+    ("gfdl", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", "gfdl license licence", ("1.1", "1.2", "1.3")),
     ("apache", r"(?:apache(?: software)? licen[cs]e|apache)", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", r"(?:mit|expat|x11)(?: licen[cs]e)?", "i", ()),
+    ("mit", r"(?:mit|expat|x11)(?: licen[cs]e)?", "mit expat x11", ()),
     ("bsd", r"(?:(?:new|modified|simplified|revised) )?bsd(?: licen[cs]e)?", "bsd", ("0", "1", "2", "3", "4")),
-    ("mpl", r"(?:mozilla public licen[cs]e|mpl)", "m", ("1.0", "1.1", "2.0")),
-    ("epl", r"(?:eclipse public licen[cs]e|epl)", "e", ("1.0", "2.0")),
-    ("eupl", r"(?:european union public licen[cs]e|eupl)", "eu", ("1.0", "1.1", "1.2")),
-    ("cddl", r"(?:common development and distribution licen[cs]e|cddl)", "d", ("1.0", "1.1")),
-    ("cpl", r"(?:common public licen[cs]e|cpl)", "c", ("1.0",)),
+    ("mpl", r"(?:mozilla public licen[cs]e|mpl)", "mpl license licence", ("1.0", "1.1", "2.0")),
+    ("epl", r"(?:eclipse public licen[cs]e|epl)", "epl license licence", ("1.0", "2.0")),
+    ("eupl", r"(?:european union public licen[cs]e|eupl)", "eupl license licence", ("1.0", "1.1", "1.2")),
+    ("cddl", r"(?:common development and distribution licen[cs]e|cddl)", "cddl license licence", ("1.0", "1.1")),
+    ("cpl", r"(?:common public licen[cs]e|cpl)", "cpl license licence", ("1.0",)),
     ("artistic", r"artistic licen[cs]e", "artistic", ("1.0", "2.0")),
-    ("bsl", r"(?:boost software licen[cs]e|bsl)", "b", ("1.0", "1.1")),
+    ("bsl", r"(?:boost software licen[cs]e|bsl)", "bsl license licence", ("1.0", "1.1")),
     ("isc", r"isc(?: licen[cs]e)?", "isc", ()),
     ("zlib", r"zlib(?: licen[cs]e)?", "zlib", ()),
-    ("unlicense", r"(?:the )?unlicen[cs]e", "unlicen", ()),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[cs]e)", "w", ("1.0", "2.0")),
-    ("osl", r"(?:open software licen[cs]e|osl)", "o", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", r"(?:academic free licen[cs]e|afl)", "a", ("1.1", "2.0", "2.1", "3.0")),
-    ("ofl", r"(?:sil open font licen[cs]e|open font licen[cs]e|ofl)", "o", ("1.0", "1.1")),
-    ("odbl", r"(?:open (?:data commons open )?database licen[cs]e|odbl)", "o", ("1.0",)),
-    ("python", r"(?:python software foundation licen[cs]e|psf licen[cs]e)", "p", ("2.0",)),
+    ("unlicense", r"(?:the )?unlicen[cs]e", "unlicense unlicence", ()),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[cs]e)", "wtfpl license licence", ("1.0", "2.0")),
+    ("osl", r"(?:open software licen[cs]e|osl)", "osl license licence", ("1.0", "2.0", "2.1", "3.0")),
+    ("afl", r"(?:academic free licen[cs]e|afl)", "afl license licence", ("1.1", "2.0", "2.1", "3.0")),
+    ("ofl", r"(?:sil open font licen[cs]e|open font licen[cs]e|ofl)", "ofl license licence", ("1.0", "1.1")),
+    ("odbl", r"(?:open (?:data commons open )?database licen[cs]e|odbl)", "odbl license licence", ("1.0",)),
+    ("python", r"(?:python software foundation licen[cs]e|psf licen[cs]e)", "python psf", ("2.0",)),
     ("php", r"php licen[cs]e", "php", ("3.0", "3.01")),
     ("ruby", r"ruby licen[cs]e", "ruby", ()),
-    ("postgresql", r"postgresql licen[cs]e", "postgres", ()),
+    ("postgresql", r"postgresql licen[cs]e", "postgresql", ()),
     ("openssl", r"openssl licen[cs]e", "openssl", ()),
-    ("ms-pl", r"(?:microsoft public licen[cs]e|ms pl)", "m", ()),
-    ("ms-rl", r"(?:microsoft reciprocal licen[cs]e|ms rl)", "m", ()),
+    ("ms-pl", r"(?:microsoft public licen[cs]e|ms pl)", "ms microsoft", ()),
+    ("ms-rl", r"(?:microsoft reciprocal licen[cs]e|ms rl)", "ms microsoft", ()),
     ("cecill", r"cecill(?: [bc])?(?: licen[cs]e)?", "cecill", ("1.0", "2.0", "2.1")),
-    ("cc0", r"(?:cc0|creative commons zero)", "c", ("1.0",)),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc0", r"(?:cc0|creative commons zero)", "cc0 creative", ("1.0",)),
+    ("cc-by", r"(?:cc by|creative commons attribution)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
 
-#: What stands before the name: (wording, keyword, confidence).
+#: What stands before the name: (wording, whole words of which any such text holds one, or none to look for, confidence).
 SETTINGS = (
     (r"spdx licen[cs]e identifier ", "spdx", 1.0),
-    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed|redistribute[d]?) (?:\w+ ){0,3}?(?:under|by) (?:the )?(?:terms of )?(?:the )?", "under", 0.95),
-    (r"(?:subject to|in accordance with|according to) (?:the )?(?:terms of )?(?:the )?", " to ", 0.85),
-    (r"licen[cs]e (?:is )?(?:the )?", "licen", 0.8),
-    (r"", "licen", 0.6),
+    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed|redistribute[d]?) (?:\w+ ){0,3}?(?:under|by) (?:the )?(?:terms of )?(?:the )?", "under by", 0.95),
+    (r"(?:subject to|in accordance with|according to) (?:the )?(?:terms of )?(?:the )?", "to with", 0.85),
+    (r"licen[cs]e (?:is )?(?:the )?", "license licence", 0.8),
+    (r"", "", 0.6),
 )
 
-#: Wordings that are a license's text or mean one without its name: (label, wording, keyword, confidence).
+#: Wordings that are a license's text or mean one without its name: (label, wording, a whole word of it, confidence).
 TEXTS = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 1.0),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "distribute this software", 1.0),
-    ("bsd", r"redistribution and use in source and binary forms", "binary forms", 1.0),
-    ("gpl", r"this program is free software you can redistribute it and or modify it", "free software", 0.9),
-    ("lgpl", r"this library is free software you can redistribute it and or modify it", "free software", 0.9),
-    ("zlib", r"this software is provided as is without any express or implied warranty", "as is", 0.7),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 1.0),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "distribute", 1.0),
+    ("bsd", r"redistribution and use in source and binary forms", "redistribution", 1.0),
+    ("gpl", r"this program is free software you can redistribute it and or modify it", "redistribute", 0.9),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it", "redistribute", 0.9),
+    ("zlib", r"this software is provided as is without any express or implied warranty", "warranty", 0.7),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", "public domain", 0.9),
-    ("proprietary", r"all rights reserved", "rights reserved", 0.7),
+    ("public-domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", "domain", 0.9),
+    ("proprietary", r"all rights reserved", "reserved", 0.7),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 0.8),
     ("copyright-notice", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.4),
 )
@@ -86,7 +86,8 @@ TEXTS = (
 class Rule(NamedTuple):
     priority: int
     label: str
-    keyword: bytes
+    before: frozenset[bytes]
+    name: frozenset[bytes]
     pattern: re.Pattern[bytes]
     confidence: float
 
@@ -96,24 +97,33 @@ def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: each setting with each family and each of its versions, then the texts.
 
     Patterns are over normalised words with one space between them. A name with a version comes before one without.
+    A match holds one of the words ``name``, and one of ``before`` if that has any.
     """
-    out: list[tuple[str, str, str, float]] = [t for t in TEXTS if t[3] == 1.0]
+    texts = [(label, p, "", word, conf) for label, p, word, conf in TEXTS]
+    out: list[tuple[str, str, str, str, float]] = [t for t in texts if t[4] == 1.0]
     for before, key, conf in SETTINGS:
         for label, name, name_key, versions in sorted(FAMILIES, key=lambda f: -len(f[0])):
             for v in sorted(versions, key=len, reverse=True):
                 written = v.replace(".", r" ") if "." in v else v
                 number = rf"{written}" + (rf"|{v[:-2]}" if v.endswith(".0") else "")
-                out.append((f"{label}-{v}", rf"{before}{name} (?:v|version |v |clause )?(?:{number})", key if before else name_key, conf))
+                out.append((f"{label}-{v}", rf"{before}{name} (?:v|version |v |clause )?(?:{number})", key, name_key, conf))
             if before:
-                out.append((label, before + name, key, conf))
+                out.append((label, before + name, key, name_key, conf))
             elif "licen" in name:
-                out.append((label, name, name_key, conf))
-    out += [t for t in TEXTS if t[3] < 1.0]
-    return tuple(Rule(n, label, key.strip().encode(), re.compile((r"(?<![^ ])" + p + r"(?![^ ])").encode()), conf) for n, (label, p, key, conf) in enumerate(out))
+                out.append((label, name, key, name_key, conf))
+    out += [t for t in texts if t[4] < 1.0]
+    words = lambda w: frozenset(w.encode().split())
+    return tuple(Rule(n, label, words(key), words(name), re.compile((r"(?<![^ ])" + p + r"(?![^ ])").encode()), conf) for n, (label, p, key, name, conf) in enumerate(out))
 
 
-#: A text that holds none of these has no detection; few do.
-PREFILTER = re.compile(rb"licen[cs]|spdx|copyright|public domain|rights reserved|proprietary|\bcc.?(?:by|0)|free software|hereby granted|binary forms|\b(?:l|a)?gpl|\bunder\b.{0,40}\b(?:mit|bsd|apache|isc|zlib|mpl|epl|cddl)\b", re.S)
+@lru_cache(1)
+def gate() -> frozenset[bytes]:
+    """Words of which every match of a rule holds one: a text without them has no detection."""
+    return frozenset().union(*(r.name for r in rules()))
+
+
+#: By byte: A-Z in lower case, separators to spaces.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _SEP = rb"[\x00-/:-`{-\x7f]+"
 _BASE = tuple((label, re.compile(rb"(?<![0-9a-z\x80-\xff])" + _SEP.join(w.encode() for w in phrase.split()) + rb"(?![0-9a-z\x80-\xff])"), phrase.split()[-1].encode()) for phrase, label in BASE_PHRASES)
 
@@ -126,11 +136,14 @@ class Detection(NamedTuple):
     confidence: float
 
 
-def detect(normal: bytes) -> list[Detection]:
-    """Detections in normalised text, best rule first; one that lies within another kept before it is suppressed."""
+def detect(words: list[bytes]) -> list[Detection]:
+    """Detections in normalised words, best rule first; one that lies within another kept before it is suppressed."""
+    if gate().isdisjoint(words):
+        return []
+    have, normal = set(words), b" ".join(words)
     kept: list[Detection] = []
     for r in rules():
-        if r.keyword in normal:
+        if not r.name.isdisjoint(have) and not (r.before and r.before.isdisjoint(have)):
             for m in r.pattern.finditer(normal):
                 if m.end() > m.start() and not any(k.start <= m.start() and m.end() <= k.end for k in kept):
                     kept.append(Detection(m.start(), m.end(), r.priority, r.label, r.confidence))
@@ -154,7 +167,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = starts[edges[k - i] : edges[k - i + 1]] - (offs[k] - offs[i])
                 text = data[offs[k] : offs[k + 1]].tobytes().lower()
                 base = [(int(np.searchsorted(at, m.start())), label) for label, p, key in _BASE if key in text for m in p.finditer(text)]
-                found = detect(b" ".join(re.split(_SEP, text))) if PREFILTER.search(text) else []
+                found = detect(text.translate(_FOLD).split())
                 labels = {label for _, label in base}
                 cols["n_words"].append(len(at))
                 cols["n_base"].append(len(base))
