@@ -10,6 +10,8 @@ X0, Y0, STEP, WIDTH, HEIGHT = 44.0, 56.0, 0.1, 610, 480
 #: Tiling of the region by level: columns and rows.
 TILES = {"province": (6, 4), "district": (24, 16), "tehsil": (96, 64)}
 
+LEVELS = tuple(TILES)
+
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports before clustering: each event, and one or two echoes of every third and ninth one."""
@@ -43,7 +45,7 @@ def cells(spark: SparkSession, step: float = STEP) -> DataFrame:
     )
 
 
-def units(spark: SparkSession, levels: tuple[str, ...] = ("province", "district")) -> DataFrame:
+def units(spark: SparkSession, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """Envelopes that tile the region, by level: (unit_id, level, name, parent, minx, miny, maxx, maxy)."""
     out = None
     for n, (level, (nx, ny)) in enumerate(TILES.items()):

@@ -10,12 +10,14 @@ from ..operators import catalog as C
 from ..operators import dedup, intensity, stats, zonal
 from ..sources import feeds, rasters
 from . import fixtures as X
-from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, PAIRS_SQL, REPORTS_SQL, STRONG_SQL, SURFACE_SQL, query, units_sql
+from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, MMI_SQL, ORACLES, PAIRS_SQL, REPORTS_SQL, STRONG_SQL, SURFACE_SQL, query, units_sql
 
 GRID = (X.X0, X.Y0, X.STEP, X.STEP, X.WIDTH, X.HEIGHT)
 #: 1 January 2024, and ten and twenty days later, in microseconds.
 T0, T10, T20 = 1704067200000000, 1704931200000000, 1705795200000000
 DAY = 86_400_000_000
+#: Levels of the unit queries whose SQL has those two; the queries _all_levels and _every_event take every level.
+UPPER = ("province", "district")
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -541,26 +543,34 @@ _MAP = units_sql() + ", mapping AS (SELECT u.unit_id, c.row, c.col FROM units u
 @query(f"WITH {BANDS_SQL}, {_MAP} SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE b.mmi_lower IS NOT NULL GROUP BY 1, 2")
 def g7_zonal_maximum(spark, d):
     """Worst band of each unit that an event's bands reach."""
-    return _zonal(spark, strongest(spark, d))
+    return _zonal(spark, strongest(spark, d), UPPER)
 
 
-def _zonal(spark, events):
-    return _bands_of(spark, events).join(_mapping(spark, X.units(spark)), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
+def _zonal(spark, events, levels=X.LEVELS):
+    return _bands_of(spark, events).join(_mapping(spark, X.units(spark, levels)), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
 
 
 @query(f"WITH {REPORTS_SQL}, {units_sql()} SELECT r.id AS point_id, u.unit_id FROM reports r JOIN units u ON r.lon >= u.minx AND r.lon < u.maxx AND r.lat >= u.miny AND r.lat < u.maxy")
 def g6_points_in_units(spark, d):
-    return zonal.points_in_polygons(X.reports(spark, d).select(F.col("id").alias("point_id"), "lon", "lat"), zonal.envelope_edges(X.units(spark)))
+    return _points(spark, d, UPPER)
+
+
+def _points(spark, d, levels=X.LEVELS):
+    return zonal.points_in_polygons(X.reports(spark, d).select(F.col("id").alias("point_id"), "lon", "lat"), zonal.envelope_edges(X.units(spark, levels)))
 
 
 @query(f"WITH {REPORTS_SQL}, {units_sql()}, h AS (SELECT u.unit_id, u.parent, u.level, count(*) AS n FROM reports r JOIN units u ON r.lon >= u.minx AND r.lon < u.maxx AND r.lat >= u.miny AND r.lat < u.maxy GROUP BY 1, 2, 3) SELECT h.unit_id, p.unit_id AS parent_id, h.n FROM h LEFT JOIN units p ON p.level = 'province' AND h.level = 'district' AND p.name = h.parent")
 def j11_parent_units(spark, d):
-    n = g6_points_in_units(spark, d).groupBy("unit_id").agg(F.count("*").alias("n"))
-    return zonal.with_parent(X.units(spark)).join(n, "unit_id").select("unit_id", "parent_id", "n")
+    return _parents(spark, d, UPPER)
 
 
-def _impact(spark, events):
-    units = X.units(spark)
+def _parents(spark, d, levels=X.LEVELS):
+    n = _points(spark, d, levels).groupBy("unit_id").agg(F.count("*").alias("n"))
+    return zonal.with_parent(X.units(spark, levels)).join(n, "unit_id").select("unit_id", "parent_id", "n")
+
+
+def _impact(spark, events, levels=X.LEVELS):
+    units = X.units(spark, levels)
     edges = zonal.envelope_edges(units)
     return zonal.impact(events, sites(spark), units, _mapping(spark, units), zonal.representative_points(edges), GRID)
 
@@ -568,17 +578,17 @@ def _impact(spark, events):
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) GROUP BY 1, 2) SELECT s.id AS event_id, u.level, u.unit_id, u.name, u.parent, coalesce(w.mmi_max, 0) AS mmi_max FROM strong s CROSS JOIN units u LEFT JOIN w ON w.event_id = s.id AND w.unit_id = u.unit_id")
 def g13_event_impact(spark, d):
     """Worst band of every unit for the strongest events."""
-    return _impact(spark, strongest(spark, d)).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
+    return _impact(spark, strongest(spark, d), UPPER).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
 
 
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE mmi_lower IS NOT NULL GROUP BY 1, 2) SELECT w.event_id, u.level, u.name, w.mmi_max FROM w JOIN units u USING (unit_id) QUALIFY row_number() OVER (PARTITION BY w.event_id, u.level ORDER BY w.mmi_max DESC, u.name) <= 12")
 def t6_top_units(spark, d):
     """The twelve worst affected units of an event and level."""
-    return _top_units(spark, strongest(spark, d))
+    return _top_units(spark, strongest(spark, d), UPPER)
 
 
-def _top_units(spark, events):
-    return zonal.top_units(_impact(spark, events)).select("event_id", "level", "name", "mmi_max")
+def _top_units(spark, events, levels=X.LEVELS):
+    return zonal.top_units(_impact(spark, events, levels)).select("event_id", "level", "name", "mmi_max")
 
 
 @query(f"WITH {SURFACE_SQL}, e AS (SELECT min(id) AS a, max(id) AS b FROM strong), x AS (SELECT row, col, mmi FROM surface, e WHERE event_id = a), y AS (SELECT row, col, mmi FROM surface, e WHERE event_id = b) SELECT coalesce(x.row, y.row) AS row, coalesce(x.col, y.col) AS col, round(coalesce(y.mmi, 0) - coalesce(x.mmi, 0), 4) AS delta FROM x FULL JOIN y ON x.row = y.row AND x.col = y.col")
@@ -592,6 +602,39 @@ def j10_compare_events(spark, d):
     return c.select("row", "col", F.round("delta", 4).alias("delta"))
 
 
+# --- units of every level, tehsils too
+
+
+def _all_levels(name: str) -> str:
+    return ORACLES[name].replace(units_sql(), units_sql(X.LEVELS))
+
+
+@query(_all_levels("g7_zonal_maximum"))
+def g7_zonal_maximum_all_levels(spark, d):
+    return _zonal(spark, strongest(spark, d))
+
+
+@query(_all_levels("g6_points_in_units"))
+def g6_points_in_units_all_levels(spark, d):
+    return _points(spark, d)
+
+
+@query(_all_levels("j11_parent_units").replace("p.level = 'province' AND h.level = 'district'", "(p.level = 'province' AND h.level = 'district' OR p.level = 'district' AND h.level = 'tehsil')"))
+def j11_parent_units_all_levels(spark, d):
+    return _parents(spark, d)
+
+
+@query(_all_levels("g13_event_impact").replace(" SELECT s.id AS event_id, u.level", f", points AS (SELECT unit_id, floor((56.0::DOUBLE - (miny + maxy) / 2) / 0.1::DOUBLE) AS row, floor(((minx + maxx) / 2 - 44.0::DOUBLE) / 0.1::DOUBLE) AS col FROM units) SELECT round({MMI_SQL.format(p='k.pga')}, 1) AS mmi_repr, s.id AS event_id, u.level") + " JOIN points p ON p.unit_id = u.unit_id JOIN shaken k ON k.event_id = s.id AND k.row = p.row AND k.col = p.col")
+def g13_event_impact_all_levels(spark, d):
+    """With the intensity at the representative point."""
+    return _impact(spark, strongest(spark, d))
+
+
+@query(_all_levels("t6_top_units"))
+def t6_top_units_all_levels(spark, d):
+    return _top_units(spark, strongest(spark, d))
+
+
 # --- the same over every canonical event, without SQL: tests hold them against the SQL above less its limit, on a few events
 
 
@@ -643,7 +686,7 @@ def g7_zonal_maximum_every_event(spark, d):
 
 @query()
 def g13_event_impact_every_event(spark, d):
-    return _impact(spark, canonical(spark, d)).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
+    return _impact(spark, canonical(spark, d))
 
 
 @query()
