@@ -77,6 +77,15 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_few_words(spark):
+    rows = []
+    for i in range(6000):  # 5 and 4 shingles of two words, 4 of them shared: exactly 0.8
+        words = [f"w{i}x{k}" for k in range(6)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:5]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_overlap_bound_holds(spark):
     rng = np.random.default_rng(5)
     ref = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))

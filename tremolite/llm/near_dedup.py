@@ -16,7 +16,8 @@ from .common import WORD, slices, staged, text_bytes
 #: 2 ** 8 registers of one byte: the leading-zero count (15 at most) and 4 mantissa bits of the least hash of a bucket.
 BUCKET_BITS, MANTISSA_BITS, MOST_ZEROS = 8, 4, 15
 REGISTERS = 1 << BUCKET_BITS
-#: Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 48 < 5e-7.
+#: Two sets with a similarity of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 48 < 5e-7, if registers are independent.
+#: They are less so in small sets, where shingles that meet in a bucket weigh; sets of up to TINY shingles are also linked exactly.
 BANDS, BAND_ROWS = 48, 6
 #: Bands that find most links; the others then look only at buckets that still hold several components.
 FIRST_BANDS = 8
@@ -28,6 +29,8 @@ CROWDED = 32
 #: 64-bit words of a bitmap of the shingles that the reference set doesn't have.
 MASK_WORDS = 8
 _PROBES = 48
+#: Among sets of so many shingles and less, a similarity of 0.8 and more short of 1 leaves one shingle that the smaller set lacks.
+TINY = 9
 
 _u = np.uint64
 _K1, _K2, _K3, _K4 = _u(0x9E3779B97F4A7C15), _u(0xC2B2AE3D27D4EB4F), _u(0x165667B19E3779F9), _u(0xD6E8FEB86659FD93)
@@ -35,6 +38,7 @@ _K1, _K2, _K3, _K4 = _u(0x9E3779B97F4A7C15), _u(0xC2B2AE3D27D4EB4F), _u(0x165667
 SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("set_id", T.LongType()), T.StructField("registers", T.BinaryType()),
+    T.StructField("smaller", T.ArrayType(T.LongType())),
 ])
 
 
@@ -58,14 +62,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By byte: lower case of A-Z, white space; by byte: a random value; by band: its registers; by attempt and register: where to borrow."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: lower case of A-Z, white space; by byte: a random value; by band: its registers; by attempt and register: where to borrow; by register: the order of buckets after that."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     value = _mix(np.arange(1, 257, dtype=_u) * _K2)[lower]
     rng = np.random.default_rng(20)
     order = np.concatenate([rng.permutation(REGISTERS) for _ in range(-(-BANDS * BAND_ROWS // REGISTERS))])
-    return lower, value, order[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS), rng.integers(0, REGISTERS, (_PROBES, REGISTERS))
+    return lower, value, order[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS), rng.integers(0, REGISTERS, (_PROBES, REGISTERS)), rng.permuted(np.tile(np.arange(REGISTERS, dtype=np.uint8), (REGISTERS, 1)), axis=1)
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +79,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[
     ``width`` has one shingle, the whole sequence; a text without words has none.
     """
     n, size = len(offs) - 1, len(data)
-    _, value, _, _ = _tables()
+    value = _tables()[1]
     space = (data == 32) | ((data >= 9) & (data <= 13))
     word = ~space
     begins, ends = word.copy(), word.copy()
@@ -139,9 +143,9 @@ def registers_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         ok = had[r, src]
         regs[r[ok], c[ok]] = own[r[ok], src[ok]]
         full[r[ok], c[ok]] = True
-    for i in np.flatnonzero(~full.all(1) & some):  # tiny sets: the next full bucket to the right
+    for i in np.flatnonzero(~full.all(1) & some):  # small sets: the full bucket that comes first in the register's own order
         there, gap = np.flatnonzero(had[i]), np.flatnonzero(~full[i])
-        regs[i, gap] = own[i, there[np.searchsorted(there, gap) % len(there)]]
+        regs[i, gap] = own[i, there[_tables()[4][np.ix_(gap, there)].argmin(1)]]
     return regs
 
 
@@ -170,7 +174,15 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return ((regs_a == regs_b).mean(1) - c) / (1 - c)
 
 
-def _sign(width: int):
+def _less_one(mixed: np.ndarray, threshold: int) -> list[int] | None:
+    """The set_ids of the sets that lack one shingle, where they reach the threshold; ``mixed`` holds a set's mixed hashes."""
+    n = len(mixed)
+    if not 1 < n <= TINY or 100 * (n - 1) < threshold * n:
+        return None
+    return _mix((mixed.sum(dtype=_u) - mixed) ^ (_u(n - 1) * _K2)).view(np.int64).tolist()
+
+
+def _sign(width: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(2))
@@ -178,9 +190,11 @@ def _sign(width: int):
                 hashes, at = shingle_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 sizes = np.diff(at)
                 regs = registers_of(hashes, at)
-                total = np.concatenate([[_u(0)], np.cumsum(_mix(hashes ^ _K3), dtype=_u)])
+                mixed = _mix(hashes ^ _K3)
+                total = np.concatenate([[_u(0)], np.cumsum(mixed, dtype=_u)])
+                smaller = pa.array([_less_one(mixed[at[k] : at[k + 1]], threshold) for k in range(j - i)], pa.list_(pa.int64()))
                 set_id = _mix((total[at[1:]] - total[at[:-1]]) ^ (sizes.astype(_u) * _K2)).view(np.int64)
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes, pa.int64()), pa.array(set_id), _rows(regs)], names=SIGNATURE.fieldNames())
+                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes, pa.int64()), pa.array(set_id), _rows(regs), smaller], names=SIGNATURE.fieldNames())
 
     return run
 
@@ -339,6 +353,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     Documents with equal sets count once from the start. For the rest:
 
+    Sets of up to ``TINY`` shingles are linked to sets that lack one of them by the ids of those, with no bands.
+
     1. Each text gives ``REGISTERS`` HyperMinHash registers and ``BANDS`` keys, one Arrow slice at a time.
     2. The first bands link each set to the centre of its bucket; most groups of copies become one component here.
     3. All bands look for buckets that still hold several components, link the components' centres to the bucket's
@@ -357,11 +373,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def grouped_rows(df: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
     """``near_duplicates`` without kept, with each row's text_hash and its group's first_hash: the least hash among the texts of component_id."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    signed = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(width), SIGNATURE), "signatures")
+    signed = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(width, threshold), SIGNATURE), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = staged(linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("n_shingles").alias("n")).select("set_id", "d.*", "n"), "sets")
     # of the rows that share a set one keeps its registers
-    chosen = linked.join(sets.select("set_id", "doc_id", "text_hash"), ["set_id", "doc_id", "text_hash"], "left_semi").select("set_id", F.col("n_shingles").alias("n"), "registers")
+    chosen = linked.join(sets.select("set_id", "doc_id", "text_hash"), ["set_id", "doc_id", "text_hash"], "left_semi").select("set_id", F.col("n_shingles").alias("n"), "registers", "smaller")
     chosen = staged(chosen.dropDuplicates(["set_id"]), "chosen")
 
     def entries(labels: DataFrame | None, bands: int) -> DataFrame:
@@ -397,6 +413,9 @@ def grouped_rows(df: DataFrame, doc_id: str, text: str, width: int, threshold: i
     crowd = crowd.join(score, "set_id")
     centre = crowd.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
     found = confirmed(crowd.join(centre, "key").filter("set_id <> pivot").select(*pair("pivot", "set_id")), "first")
+    # Small sets and what they are without one shingle: exact, whatever their registers.
+    less = chosen.filter("smaller IS NOT NULL").select(F.col("set_id").alias("larger"), F.explode("smaller").alias("set_id"))
+    found = staged(found.union(less.join(sets.select("set_id"), "set_id").select(*pair("set_id", "larger"))), "small")
     labels = components(found)
 
     # All bands: in buckets that hold several components, the centre of each against the centre of all.
