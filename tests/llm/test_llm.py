@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremolite.llm import bpe, chat, langid, licenses, media, mixing, near_dedup, secrets, sharding, topk
+from tremolite.llm import bpe, chat, langid, licenses, media, mixing, near_dedup, queries, secrets, sharding, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, shard int"
 LONG = "the quick brown fox jumps over it " * 3000
@@ -217,14 +217,55 @@ def test_media(spark, docs):
     assert {r.payload_bytes for r in out if r.doc_id in (1, 2)} == {64} and len(out) == len(ODD)
 
 
-def test_bpe(spark, docs):
+def brute_bpe(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[x] for x in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_replay_by_brute_force():
+    """Small vocabularies in any order: merges that need a token of higher rank, and tokens that can't be reached."""
+    rng = random.Random(1)
+    for _ in range(300):
+        tokens = {b"a", b"b", b"c"}
+        for _ in range(rng.randint(1, 12)):
+            tokens.add(rng.choice(sorted(tokens)) + rng.choice(sorted(tokens)))
+        longer = sorted(t for t in tokens if len(t) > 1)
+        rng.shuffle(longer)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(longer)}
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        got = bpe.replay(words, bpe.Merges(ranks))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [brute_bpe(w, ranks) for w in words]
+    assert bpe.replay([], bpe.Merges(ranks)) == []
+
+
+def test_bpe(spark, docs, monkeypatch):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
     coder = bpe.Coder(path, pattern)
-    texts = ["", "aaaa bbb", "naïve 日本語\t\n  x", "ab" * 500, "  \x1c\x85 é", "<|endoftext|>"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    texts = ["", "aaaa bbb", "naïve 日本語\t\n  x", "ab" * 500, "  \x1c\x85 é", "<|endoftext|>", "\0\0 \0", "x" * 20000]
+    ids = lambda ts: [np.frombuffer(x, "<u4").tolist() for x in coder.encode(ts)]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2)
+    for _ in range(3):  # words forgotten, kept and learned again
+        assert ids(texts) == [enc.encode_ordinary(t) for t in texts] and ids(texts[:2]) == [enc.encode_ordinary(t) for t in texts[:2]]
     back = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((r[0] or -1, r[1] or "") for r in ODD)
+    assert bpe.bpe_report(docs, path, pattern).count() == len(ODD) and bpe.bpe_report(docs.limit(0), path, pattern).count() == 0
+
+
+def test_bpe_of_the_whole_table(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op9_byte_level_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(text)
+    for r in got:
+        ids = enc.encode_ordinary(text[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
 def test_language_id(spark):

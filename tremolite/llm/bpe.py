@@ -1,11 +1,13 @@
-"""Byte-level BPE: merges replayed over the distinct words of a batch by an index from pair to places."""
+"""Byte-level BPE: merges replayed in rank order over many distinct words at once, by an index from pair to places."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+import struct
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
 
-#: Words whose tokens a Python task remembers; beyond it, it forgets all and goes on.
+#: Words whose tokens a Python worker remembers before it starts a new table; it keeps the table before that one too.
 CACHE_WORDS = 400_000
 
 
@@ -26,33 +28,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: Iterable[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The token ids of each word: every merge is applied in rank order at all places of its pair, in all words at once.
-
-    All words lie behind one another; each symbol knows its neighbours in its word. An index has the places of each
-    merge by rank. A merge takes its places from left to right and changes only the pairs on both sides. A merge may
-    let a pair appear that has a lower rank than itself; that pair comes next in its word, before later places of the merge.
+class Merges:
+    """A rank file as merges of integers: every pair of tokens that make up a third, and that one's rank (its id too)."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.shift = (max(ranks.values()) + 2).bit_length()
+        self.none = (1 << self.shift) - 1  # a symbol that is no token: what ends a word, or was merged into its left neighbour
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}
+        self.of_bytes = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.of_bytes[token[0] << 8 | token[1]] = rank
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << self.shift | right] = rank
+
+
+def _initial_index(data: np.ndarray, ends: np.ndarray, merges: Merges) -> dict[int, list[int]]:
+    """Rank to the places, in order, of every pair of neighbouring bytes that merges; pairs across a word's end don't."""
+    rank = merges.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+    rank[ends[:-1]] = -1
+    rank[ends[ends > 0] - 1] = -1
+    at = np.flatnonzero(rank >= 0)
+    at = at[np.argsort(rank[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+    return {int(rank[at[a]]): at[a:b].tolist() for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True)}
+
+
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """The token ids of each word, as little-endian unsigned 32-bit integers: every merge is applied in rank order, at
+    all places of its pair, in all words at once.
+
+    All words lie behind one another, each with a symbol behind it that never merges; each symbol knows its neighbours.
+    An index has the places of each merge by rank. A merge takes its places from left to right and changes only the
+    pairs on both sides. A merge may let a pair appear that has a lower rank than itself; that pair comes next in its
+    word, before later places of the merge.
     """
-    words = list(words)
-    symbols: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    word_of: list[int] = []
-    heads: list[int] = []
-    for w, word in enumerate(words):
-        at = len(symbols)
-        heads.append(at if word else -1)
-        for k in range(len(word)):
-            symbols.append(word[k : k + 1])
-            before.append(at + k - 1 if k else -1)
-            after.append(at + k + 1 if k + 1 < len(word) else -1)
-            word_of.append(w)
-    index: dict[int, list[int]] = {}
-    for i, nxt in enumerate(after):
-        if nxt >= 0 and (r := ranks.get(symbols[i] + symbols[nxt])) is not None:
-            index.setdefault(r, []).append(i)
-    queue = list(index)
-    heapq.heapify(queue)
+    if not words:
+        return []
+    data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    start = merges.of_byte[data]
+    start[ends] = merges.none
+    symbols, after, before, stops = start.tolist(), list(range(1, len(data) + 1)), list(range(-1, len(data) - 1)), ends.tolist()
+    index = _initial_index(data, ends, merges)
+    queue = sorted(index)
+    rank_of, shift, none = merges.pairs.get, merges.shift, merges.none
     while queue:
         rank = heapq.heappop(queue)
         places = index.pop(rank, None)
@@ -61,55 +84,63 @@ def replay(words: Iterable[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         places.sort()
         wait: set[int] = set()  # words in which a lower rank comes first
         for i in places:
-            j = after[i] if symbols[i] is not None else -1
-            if j < 0 or ranks.get(pair := symbols[i] + symbols[j]) != rank:
+            j = after[i]
+            if rank_of(symbols[i] << shift | symbols[j]) != rank:
                 continue
-            if word_of[i] in wait:
+            if wait and bisect_left(stops, i) in wait:
                 index.setdefault(rank, []).append(i)
                 continue
-            symbols[i], symbols[j] = pair, None
+            symbols[i], symbols[j] = rank, none
             after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right >= 0 and (r := ranks.get(symbols[left] + symbols[right])) is not None:
-                    if r not in index:
-                        index[r] = []
+            before[k] = i
+            for left, key in ((before[i], symbols[before[i]] << shift | rank), (i, rank << shift | symbols[k])):
+                if (r := rank_of(key)) is not None:
+                    if r in index:
+                        index[r].append(left)
+                    else:
+                        index[r] = [left]
                         heapq.heappush(queue, r)
-                    index[r].append(left)
                     if r < rank:
-                        wait.add(word_of[i])
+                        wait.add(bisect_left(stops, i))
         if rank in index:
             heapq.heappush(queue, rank)
-    out = []
-    for head in heads:
-        ids = []
-        while head >= 0:
-            ids.append(ranks[symbols[head]])
-            head = after[head]
-        out.append(ids)
-    return out
+    ids = np.array(symbols)
+    token = ids != none
+    edges = np.concatenate([[0], np.cumsum(token)[ends]]) * 4
+    buffer = ids[token].astype("<u4").tobytes()
+    return [buffer[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
 
 class Coder:
     """Encodes batches of texts and decodes ids by one rank file and one splitting pattern."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.ranks = load_ranks(path)
+        ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, r in self.ranks.items():
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, r in ranks.items():
             self.tokens[r] = token
+        self.whole = {token: struct.pack("<I", r) for token, r in ranks.items()}
+        self.merges = Merges(ranks)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of each word: a word that is a token is that token, all others are replayed together."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in words - self.known.keys():
+            if (ids := self.older.get(w) or self.whole.get(w.encode())) is not None:
+                self.known[w] = ids
+            else:
+                new.append(w)
+        self.known.update(zip(new, replay([w.encode() for w in new], self.merges), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers. Words not seen before are replayed together."""
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for w, ids in zip(new, replay((w.encode() for w in new), self.ranks), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -177,7 +208,8 @@ def bpe_report(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     """doc_id, n_tokens and the digests of each text's ids and of their decoded bytes, one row for each row.
 
     The rank file at ``path`` is read by each Python worker. No shuffle: a task replays the merges over the words
-    that are new in a slice of its texts and remembers up to ``CACHE_WORDS`` of them. Null or empty text: no tokens,
-    digests of nothing. Repeated rows: equal results.
+    that are new in a slice of its texts; its worker remembers the last ``CACHE_WORDS`` to twice as many of them.
+    Null or empty text: no tokens, digests of nothing; a null doc_id stays null. Repeated rows: equal results. An empty
+    table gives an empty table. Columns other than doc_id and text aren't read, whatever their names.
     """
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_report(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
