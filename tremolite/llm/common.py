@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 _own_dir: str | None = None
+#: The folder of each staged table that is still in use.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (as in tests) gets
+    one of its own; on a cluster that would be each executor's own disk, so there it is an error."""
     global _own_dir
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tremolite-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -38,7 +44,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremolite-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that was made of them has been staged itself."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, slices, staged, text_bytes
+from .common import WORD, discard, slices, staged, text_bytes
 
 #: 2 ** 8 registers of one byte: the leading-zero count (15 at most) and 4 mantissa bits of the least hash of a bucket.
 BUCKET_BITS, MANTISSA_BITS, MOST_ZEROS = 8, 4, 15
@@ -179,7 +179,7 @@ def _less_one(mixed: np.ndarray, threshold: int) -> list[int] | None:
     n = len(mixed)
     if not 1 < n <= TINY or 100 * (n - 1) < threshold * n:
         return None
-    return _mix((mixed.sum(dtype=_u) - mixed) ^ (_u(n - 1) * _K2)).view(np.int64).tolist()
+    return _mix((mixed.sum(dtype=_u, keepdims=True) - mixed) ^ (np.array([n - 1], _u) * _K2)).view(np.int64).tolist()
 
 
 def _sign(width: int, threshold: int):
@@ -312,23 +312,27 @@ def _shingle_rows(width: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """(node, component): the least node that the links (a, b) lead to, for every node of a link.
 
     Rounds of two steps, each a join on keys: a node takes the least label among itself and its neighbours, then
     the label of its label, so that the rounds grow with the logarithm of the longest path. A round's labels are
-    written to the shared folder. The rounds end when no label changes.
+    written to the shared folder; the last ones, which the result reads, join ``used``. The rounds end when no label changes.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    held = labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         hop = step.select(F.col("node").alias("via"), F.col("component").alias("further"))
         new = step.join(hop, step.component == hop.via).select("node", F.least("component", "further").alias("component"), "was")
         new = staged(new, "labels")
-        labels = new.select("node", "component")
+        discard(held)
+        held, labels = new, new.select("node", "component")
         if not new.filter("component < was").limit(1).count():
+            discard(both)
+            used.append(held)
             return labels
 
 
@@ -373,12 +377,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def grouped_rows(df: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
     """``near_duplicates`` without kept, with each row's text_hash and its group's first_hash: the least hash among the texts of component_id."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    used: list[DataFrame] = []  # staged tables that the result doesn't read
+
+    def stage(table: DataFrame, label: str) -> DataFrame:
+        used.append(staged(table, label))
+        return used[-1]
+
     signed = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(width, threshold), SIGNATURE), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = staged(linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("n_shingles").alias("n")).select("set_id", "d.*", "n"), "sets")
+    sets = stage(linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("n_shingles").alias("n")).select("set_id", "d.*", "n"), "sets")
     # of the rows that share a set one keeps its registers
     chosen = linked.join(sets.select("set_id", "doc_id", "text_hash"), ["set_id", "doc_id", "text_hash"], "left_semi").select("set_id", F.col("n_shingles").alias("n"), "registers", "smaller")
-    chosen = staged(chosen.dropDuplicates(["set_id"]), "chosen")
+    chosen = stage(chosen.dropDuplicates(["set_id"]), "chosen")
 
     def entries(labels: DataFrame | None, bands: int) -> DataFrame:
         """(key, set_id, component) for the first bands of each set."""
@@ -395,66 +405,74 @@ def grouped_rows(df: DataFrame, doc_id: str, text: str, width: int, threshold: i
         """Of (a, b) with a < b, the pairs that reach the threshold."""
         side = lambda x: chosen.select(F.col("set_id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
         pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
-        likely = staged(pairs.mapInArrow(_likely(threshold), "a long, b long"), f"{label}-likely")
+        likely = stage(pairs.mapInArrow(_likely(threshold), "a long, b long"), f"{label}-likely")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        whole = staged(whole_texts(wanted).mapInArrow(_hash_sets(width), "set_id long, full binary"), f"{label}-sets")
+        whole = stage(whole_texts(wanted).mapInArrow(_hash_sets(width), "set_id long, full binary"), f"{label}-sets")
         full = lambda x: whole.select(F.col("set_id").alias(x), F.col("full").alias(f"f{x}"))
         pairs = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "fa", "fb")
-        return staged(pairs.mapInArrow(_confirm(threshold), "a long, b long"), f"{label}-links")
+        links = stage(pairs.mapInArrow(_confirm(threshold), "a long, b long"), f"{label}-links")
+        discard(likely, whole)
+        return links
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     # First bands: each set against its bucket's centre, the set whose buckets are the fullest. Among copies of one
     # text that is the text itself or what is nearest to it, so most of the group links to it at once.
+    # What is aggregated by a join's key is staged before that join: then both its sides come straight from a shuffle,
+    # and AQE can split a bucket that outgrows a task.
     some = entries(None, FIRST_BANDS).select("key", "set_id")
-    crowd = staged(some.join(some.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "crowd")
-    score = staged(crowd.groupBy("set_id").agg(F.sum("c").alias("score")), "scores")
+    crowd = stage(some.join(stage(some.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "counts"), "key"), "crowd")
+    score = stage(crowd.groupBy("set_id").agg(F.sum("c").alias("score")), "scores")
     crowd = crowd.join(score, "set_id")
-    centre = crowd.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
+    centre = stage(crowd.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot")), "centres")
     found = confirmed(crowd.join(centre, "key").filter("set_id <> pivot").select(*pair("pivot", "set_id")), "first")
     # Small sets and what they are without one shingle: exact, whatever their registers.
     less = chosen.filter("smaller IS NOT NULL").select(F.col("set_id").alias("larger"), F.explode("smaller").alias("set_id"))
-    found = staged(found.union(less.join(sets.select("set_id"), "set_id").select(*pair("set_id", "larger"))), "small")
-    labels = components(found)
+    found = stage(found.union(less.join(sets.select("set_id"), "set_id").select(*pair("set_id", "larger"))), "small")
+    labels = components(found, used)
 
     # All bands: in buckets that hold several components, the centre of each against the centre of all.
-    several = entries(labels, BANDS).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    todo = staged(entries(labels, BANDS).join(several, "key").join(score, "set_id", "left").withColumn("score", F.coalesce("score", F.lit(0))), "mixed")
-    heads = todo.groupBy("key", "component").agg(F.max(F.struct("score", "set_id")).alias("p")).select("key", F.col("p.set_id").alias("set_id"), F.col("p.score").alias("score"))
-    pivots = heads.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
+    several = stage(entries(labels, BANDS).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "several")
+    todo = stage(entries(labels, BANDS).join(several, "key").join(score, "set_id", "left").withColumn("score", F.coalesce("score", F.lit(0))), "mixed")
+    heads = stage(todo.groupBy("key", "component").agg(F.max(F.struct("score", "set_id")).alias("p")).select("key", F.col("p.set_id").alias("set_id"), F.col("p.score").alias("score")), "heads")
+    pivots = stage(heads.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot")), "pivots")
     more = confirmed(heads.join(pivots, "key").filter("set_id <> pivot").select(*pair("pivot", "set_id")), "heads")
-    found = staged(found.union(more), "links")
-    labels = components(found)
+    found = stage(found.union(more), "links")
+    labels = components(found, used)
 
     # What is left in buckets of three and more: all pairs of different components, each in the first bucket it shares.
     todo = todo.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    still = todo.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi AND c > 2").select("key")
-    todo = staged(todo.join(still, "key"), "mixed")
+    still = stage(todo.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi AND c > 2").select("key"), "still")
+    todo = stage(todo.join(still, "key"), "mixed")
     ids = todo.select("set_id").distinct()
     # A shingle that no other of these sets has can't be shared, which bounds the similarity of a pair from above.
     only = whole_texts(ids).mapInArrow(_shingle_rows(width), "set_id long, shingle long").groupBy("shingle").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c")).filter("c = 1")
     only = only.groupBy("set_id").agg(F.count("*").alias("only"))
     about = chosen.join(ids, "set_id", "left_semi").select("set_id", "n", "registers").mapInArrow(_bands, "set_id long, n long, bands array<long>")
     about = about.join(only, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("only", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * threshold).drop("only")
-    todo = staged(todo.join(about, "set_id").join(score, "set_id", "left"), "mixed")
+    todo = stage(todo.join(about, "set_id").join(score, "set_id", "left"), "mixed")
     refs = todo.groupBy("key").agg(F.max_by("set_id", F.struct(F.coalesce("score", F.lit(0)), "set_id")).alias("ref"), F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("key", "ref")
-    crowded = staged(todo.select("key", "set_id").join(refs, "key"), "crowded")
+    refs = stage(refs, "refs")
+    crowded = stage(todo.select("key", "set_id").join(refs, "key"), "crowded")
     of_ref = crowded.select("set_id", "ref").distinct()
-    whole = staged(whole_texts(of_ref.select(F.explode(F.array("set_id", "ref")).alias("set_id")).distinct()).mapInArrow(_hash_sets(width), "set_id long, full binary"), "crowded-sets")
+    whole = stage(whole_texts(of_ref.select(F.explode(F.array("set_id", "ref")).alias("set_id")).distinct()).mapInArrow(_hash_sets(width), "set_id long, full binary"), "crowded-sets")
     met = of_ref.join(whole, "set_id").join(whole.select(F.col("set_id").alias("ref"), F.col("full").alias("ref_full")), "ref").select("set_id", "ref", "full", "ref_full")
     met = met.mapInArrow(_against_reference, "set_id long, ref long, inside long, spare long, mask array<long>")
-    todo = staged(todo.drop("score").join(crowded.join(met, ["set_id", "ref"]).drop("ref"), ["key", "set_id"], "left"), "mixed")
+    todo = stage(todo.drop("score").join(crowded.join(met, ["set_id", "ref"]).drop("ref"), ["key", "set_id"], "left"), "mixed")
     other = todo.select("key", *(F.col(c).alias(f"o_{c}") for c in ("bands", "set_id", "n", "component", "most", "inside", "spare", "mask")))
     most = F.least("most", "o_most", _shared_at_most())
     may = (most * 100 >= (F.col("n") + F.col("o_n") - most) * threshold) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * threshold)
     first = F.expr("get(bands, array_position(zip_with(bands, o_bands, (x, y) -> x = y), true) - 1) = key")
     across = todo.join(other, "key").filter((F.col("component") < F.col("o_component")) & may & first)
     links = confirmed(across.select(*pair("set_id", "o_set_id")), "across")
-    labels = components(found.union(links))
+    labels = components(found.union(links), used)
 
     grouped = sets.select("set_id", "doc_id", "text_hash").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    grouped = staged(grouped, "grouped")
     least = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).select("component", F.col("d.doc_id").alias("component_id"), F.col("d.text_hash").alias("first_hash"))
+    least = staged(least, "groups")
+    discard(*used)
     of_set = grouped.select("set_id", "component").join(least, "component").select("set_id", "component_id", "first_hash")
     alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
     rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(of_set, "set_id", "left")
