@@ -17,51 +17,55 @@ from .common import slices, text_bytes
 #: The phrases whose every place counts, and their labels.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: License families: (label, how its name is written, whole words of which any such name holds one, versions).
+#: License families: (label, a name that means the license by itself, a name that does so only with a setting or a version,
+#: whole words of which any such name holds one, versions).
 FAMILIES = (
-    ("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", "gpl license licence", ("1.0", "2.0", "3.0")),
-    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", "lgpl license licence", ("2.0", "2.1", "3.0")),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", "agpl license licence", ("1.0", "3.0")),
-    ("gfdl", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", "gfdl license licence", ("1.1", "1.2", "1.3")),
-    ("apache", r"(?:apache(?: software)? licen[cs]e|apache)", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", r"(?:mit|expat|x11)(?: licen[cs]e)?", "mit expat x11", ()),
-    ("bsd", r"(?:(?:new|modified|simplified|revised) )?bsd(?: licen[cs]e)?", "bsd", ("0", "1", "2", "3", "4")),
-    ("mpl", r"(?:mozilla public licen[cs]e|mpl)", "mpl license licence", ("1.0", "1.1", "2.0")),
-    ("epl", r"(?:eclipse public licen[cs]e|epl)", "epl license licence", ("1.0", "2.0")),
-    ("eupl", r"(?:european union public licen[cs]e|eupl)", "eupl license licence", ("1.0", "1.1", "1.2")),
-    ("cddl", r"(?:common development and distribution licen[cs]e|cddl)", "cddl license licence", ("1.0", "1.1")),
-    ("cpl", r"(?:common public licen[cs]e|cpl)", "cpl license licence", ("1.0",)),
-    ("artistic", r"artistic licen[cs]e", "artistic", ("1.0", "2.0")),
-    ("bsl", r"(?:boost software licen[cs]e|bsl)", "bsl license licence", ("1.0", "1.1")),
-    ("isc", r"isc(?: licen[cs]e)?", "isc", ()),
-    ("zlib", r"zlib(?: licen[cs]e)?", "zlib", ()),
-    ("unlicense", r"(?:the )?unlicen[cs]e", "unlicense unlicence", ()),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[cs]e)", "wtfpl license licence", ("1.0", "2.0")),
-    ("osl", r"(?:open software licen[cs]e|osl)", "osl license licence", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", r"(?:academic free licen[cs]e|afl)", "afl license licence", ("1.1", "2.0", "2.1", "3.0")),
-    ("ofl", r"(?:sil open font licen[cs]e|open font licen[cs]e|ofl)", "ofl license licence", ("1.0", "1.1")),
-    ("odbl", r"(?:open (?:data commons open )?database licen[cs]e|odbl)", "odbl license licence", ("1.0",)),
-    ("python", r"(?:python software foundation licen[cs]e|psf licen[cs]e)", "python psf", ("2.0",)),
-    ("php", r"php licen[cs]e", "php", ("3.0", "3.01")),
-    ("ruby", r"ruby licen[cs]e", "ruby", ()),
-    ("postgresql", r"postgresql licen[cs]e", "postgresql", ()),
-    ("openssl", r"openssl licen[cs]e", "openssl", ()),
-    ("ms-pl", r"(?:microsoft public licen[cs]e|ms pl)", "ms microsoft", ()),
-    ("ms-rl", r"(?:microsoft reciprocal licen[cs]e|ms rl)", "ms microsoft", ()),
-    ("cecill", r"cecill(?: [bc])?(?: licen[cs]e)?", "cecill", ("1.0", "2.0", "2.1")),
-    ("cc0", r"(?:cc0|creative commons zero)", "cc0 creative", ("1.0",)),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", "", "gpl license licence", ("1.0", "2.0", "3.0")),
+    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", "", "lgpl license licence", ("2.0", "2.1", "3.0")),
+    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", "", "agpl license licence", ("1.0", "3.0")),
+    ("gfdl", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", "", "gfdl license licence", ("1.1", "1.2", "1.3")),
+    ("apache", r"apache(?: software)? licen[cs]e", "apache", "apache", ("1.0", "1.1", "2.0")),
+    ("mit", r"(?:mit|expat|x11) licen[cs]e", "mit|expat|x11", "mit expat x11", ()),
+    ("bsd", r"(?:(?:new|modified|simplified|revised) )?bsd licen[cs]e", r"(?:(?:new|modified|simplified|revised) )?bsd", "bsd", ("0", "1", "2", "3", "4")),
+    ("mpl", r"mozilla public licen[cs]e", "mpl", "mpl license licence", ("1.0", "1.1", "2.0")),
+    ("epl", r"eclipse public licen[cs]e", "epl", "epl license licence", ("1.0", "2.0")),
+    ("eupl", r"(?:european union public licen[cs]e|eupl)", "", "eupl license licence", ("1.0", "1.1", "1.2")),
+    ("cddl", r"(?:common development and distribution licen[cs]e|cddl)", "", "cddl license licence", ("1.0", "1.1")),
+    ("cpl", r"common public licen[cs]e", "cpl", "cpl license licence", ("1.0",)),
+    ("artistic", r"artistic licen[cs]e", "artistic", "artistic", ("1.0", "2.0")),
+    ("bsl", r"boost software licen[cs]e", "bsl", "bsl license licence", ("1.0", "1.1")),
+    ("isc", r"isc licen[cs]e", "isc", "isc", ()),
+    ("zlib", r"zlib licen[cs]e", "zlib", "zlib", ()),
+    ("unlicense", r"(?:the )?unlicen[cs]e", "", "unlicense unlicence", ()),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[cs]e)", "", "wtfpl license licence", ("1.0", "2.0")),
+    ("osl", r"open software licen[cs]e", "osl", "osl license licence", ("1.0", "2.0", "2.1", "3.0")),
+    ("afl", r"academic free licen[cs]e", "afl", "afl license licence", ("1.1", "2.0", "2.1", "3.0")),
+    ("ofl", r"(?:sil )?open font licen[cs]e", "ofl", "ofl license licence", ("1.0", "1.1")),
+    ("odbl", r"(?:open (?:data commons open )?database licen[cs]e|odbl)", "", "odbl license licence", ("1.0",)),
+    ("python", r"(?:python software foundation|psf|python) licen[cs]e", "psf", "python psf", ("2.0",)),
+    ("php", r"php licen[cs]e", "", "php", ("3.0", "3.01")),
+    ("ruby", r"ruby licen[cs]e", "", "ruby", ()),
+    ("postgresql", r"postgresql licen[cs]e", "", "postgresql", ()),
+    ("openssl", r"openssl licen[cs]e", "", "openssl", ()),
+    ("ms-pl", r"microsoft public licen[cs]e", "ms pl", "ms microsoft", ()),
+    ("ms-rl", r"microsoft reciprocal licen[cs]e", "ms rl", "ms microsoft", ()),
+    ("cecill", r"cecill(?: [bc])?(?: licen[cs]e)?", "", "cecill", ("1.0", "2.0", "2.1")),
+    ("cc0", r"(?:cc0|creative commons zero)", "", "cc0 creative", ("1.0",)),
+    ("cc-by", r"creative commons attribution", "cc by", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", "", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", "", "cc creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
 
+#: Names that are also written in one word with their version: gplv3, gpl3.
+GLUED = ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "eupl", "cddl", "cpl", "osl", "afl", "ofl")
+
 #: What stands before the name: (wording, whole words of which any such text holds one, or none to look for, confidence).
 SETTINGS = (
     (r"spdx licen[cs]e identifier ", "spdx", 1.0),
-    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|governed|redistribute[d]?) (?:\w+ ){0,3}?(?:under|by) (?:the )?(?:terms of )?(?:the )?", "under by", 0.95),
+    (r"(?:(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed?|use|used) (?:\w+ ){0,3}?under|(?:governed|covered) by|under) (?:the )?(?:terms of )?(?:the )?", "under by", 0.95),
     (r"(?:subject to|in accordance with|according to) (?:the )?(?:terms of )?(?:the )?", "to with", 0.85),
     (r"licen[cs]e (?:is )?(?:the )?", "license licence", 0.8),
     (r"", "", 0.6),
@@ -92,34 +96,49 @@ class Rule(NamedTuple):
     confidence: float
 
 
+def _versioned(label: str, name: str, words: str, version: str) -> tuple[str, str, str]:
+    """(label, wording, words) of a name with a version: apart ("gpl 2 0", "gpl version 2", "gpl v2") or in one word ("gplv2").
+
+    The version's first number stands for all of it only if no further number follows, so that 2.1 isn't 2.0 too.
+    """
+    major, _, minor = version.partition(".")
+    number = major + (rf" {minor}" if minor.strip("0") else rf"(?: {minor}|(?! \d\d?(?![^ ])))" if minor else r"(?! \d\d?(?![^ ]))")
+    apart, glued = rf"(?:{name})(?: version | v | clause | v| ){number}", [w for w in words.split() if w in GLUED]
+    if glued:
+        apart = rf"(?:{apart}|(?:{'|'.join(glued)})v?{number})"
+    return f"{label}-{version}", apart, " ".join([words, *(f"{w}{v}{major}" for w in glued for v in ("v", ""))])
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: each setting with each family and each of its versions, then the texts.
+    """All rules in order of priority: each setting with each family's versions and then the family, then the texts.
 
     Patterns are over normalised words with one space between them. A name with a version comes before one without.
-    A match holds one of the words ``name``, and one of ``before`` if that has any.
+    A match holds one of the words ``name``, and one of ``before`` if that has any. A name that is also an ordinary
+    word (mit, apache) counts only with a setting or a version.
     """
     texts = [(label, p, "", word, conf) for label, p, word, conf in TEXTS]
     out: list[tuple[str, str, str, str, float]] = [t for t in texts if t[4] == 1.0]
     for before, key, conf in SETTINGS:
-        for label, name, name_key, versions in sorted(FAMILIES, key=lambda f: -len(f[0])):
-            for v in sorted(versions, key=len, reverse=True):
-                written = v.replace(".", r" ") if "." in v else v
-                number = rf"{written}" + (rf"|{v[:-2]}" if v.endswith(".0") else "")
-                out.append((f"{label}-{v}", rf"{before}{name} (?:v|version |v |clause )?(?:{number})", key, name_key, conf))
-            if before:
-                out.append((label, before + name, key, name_key, conf))
-            elif "licen" in name:
-                out.append((label, name, key, name_key, conf))
+        for label, full, short, words, versions in sorted(FAMILIES, key=lambda f: -len(f[0])):
+            name = f"{full}|{short}" if short else full
+            for version in versions:
+                v_label, wording, v_words = _versioned(label, name, words, version)
+                out.append((v_label, before + wording, key, v_words, conf))
+            out.append((label, f"{before}(?:{name if before else full})", key, words, conf))
     out += [t for t in texts if t[4] < 1.0]
     words = lambda w: frozenset(w.encode().split())
-    return tuple(Rule(n, label, words(key), words(name), re.compile((r"(?<![^ ])" + p + r"(?![^ ])").encode()), conf) for n, (label, p, key, name, conf) in enumerate(out))
+    return tuple(Rule(n, label, words(key), words(name), re.compile((r"(?<![^ ])(?:" + p + r")(?![^ ])").encode()), conf) for n, (label, p, key, name, conf) in enumerate(out))
 
 
 @lru_cache(1)
-def gate() -> frozenset[bytes]:
-    """Words of which every match of a rule holds one: a text without them has no detection."""
-    return frozenset().union(*(r.name for r in rules()))
+def gate() -> dict[bytes, list[int]]:
+    """Word to the rules of whose matches each holds it or another word of the rule: a text without any has no detection."""
+    out: dict[bytes, list[int]] = {}
+    for r in rules():
+        for w in r.name:
+            out.setdefault(w, []).append(r.priority)
+    return out
 
 
 #: By byte: A-Z in lower case, separators to spaces.
@@ -138,15 +157,23 @@ class Detection(NamedTuple):
 
 def detect(words: list[bytes]) -> list[Detection]:
     """Detections in normalised words, best rule first; one that lies within another kept before it is suppressed."""
-    if gate().isdisjoint(words):
+    have = set(words)
+    hits = gate().keys() & have
+    if not hits:
         return []
-    have, normal = set(words), b" ".join(words)
+    normal = b" ".join(words)
     kept: list[Detection] = []
-    for r in rules():
-        if not r.name.isdisjoint(have) and not (r.before and r.before.isdisjoint(have)):
-            for m in r.pattern.finditer(normal):
-                if m.end() > m.start() and not any(k.start <= m.start() and m.end() <= k.end for k in kept):
-                    kept.append(Detection(m.start(), m.end(), r.priority, r.label, r.confidence))
+    covered: dict[int, int] = {}  # by place: the furthest end of a kept detection that holds the place
+    for n in sorted(set().union(*(gate()[w] for w in hits))):
+        r = rules()[n]
+        if r.before and r.before.isdisjoint(have):
+            continue
+        for m in r.pattern.finditer(normal):
+            start, end = m.span()
+            if covered.get(start, 0) < end:
+                kept.append(Detection(start, end, n, r.label, r.confidence))
+                for at in range(start, end):
+                    covered[at] = max(end, covered.get(at, 0))
     return kept
 
 
@@ -186,7 +213,8 @@ def license_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case; phrases stand across any separators.
     Every base place counts; the rules add labels of their own, after suppression. No shuffle. Null or empty text:
-    no words, no places, empty labels, score 0. Repeated rows: equal results.
+    no words, no places, empty labels, score 0; a null doc_id stays null. Repeated rows: equal results. An empty table
+    gives an empty table. Columns other than doc_id and text aren't read, whatever their names.
     """
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections long"
