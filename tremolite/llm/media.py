@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -19,7 +20,7 @@ CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
 #: Bytes of a sample, samples a second, samples of a chunk, and every how many samples a keyframe stands.
 UNIT, RATE, CHUNK, KEY_EVERY = 64, 125, 16, 8
 
-MEDIA = """codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>"""
+MEDIA = """track int, codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>"""
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -81,11 +82,11 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
 
 
 class Track:
-    """The first track's codec, times and the byte range of each sample."""
+    """A track's codec, times and the byte range of each sample, from the boxes of one ``trak``."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, at: int, end: int) -> None:
         boxes = {}
-        for path, a, b in walk(data):
+        for path, a, b in walk(data, at, end, (b"moov", b"trak")):
             boxes.setdefault(path[-1], data[a:b])
         u4 = lambda kind, skip: np.frombuffer(boxes[kind], ">u4", offset=skip).astype(np.int64)
         self.codec = boxes[b"stsd"][12:16].decode("latin-1")
@@ -102,7 +103,7 @@ class Track:
         ahead = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.start = starts[chunk] + ahead - ahead[np.searchsorted(chunk, chunk)]
         self.end = self.start + sizes
-        keys = u4(b"stss", 8) - 1 if b"stss" in boxes else np.arange(n)
+        keys = u4(b"stss", 8) - 1 if b"stss" in boxes else np.arange(n)  # without that table every sample is a keyframe
         self.keyframes = [(int(self.start[k]), int(self.end[k])) for k in keys if 0 <= k < n]
 
     def payload(self, data: bytes) -> bytes:
@@ -114,25 +115,33 @@ class Track:
         return b"".join(data[self.start[a] : self.end[b]] for a, b in zip(cut, last, strict=True))
 
 
-def describe(data: bytes | None) -> dict | None:
-    """Columns of ``MEDIA``, or None if the bytes hold no whole track."""
-    try:
-        t = Track(data or b"")
-    except (KeyError, struct.error, ValueError, IndexError):
-        return None
-    return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.start), "keyframes": [{"start": a, "end": b} for a, b in t.keyframes]}
+def tracks(data: bytes | None) -> list[Track]:
+    """The tracks of a file in order; one whose tables are cut short or missing is left out."""
+    out = []
+    for path, at, end in walk(data or b""):
+        if path == (b"moov", b"trak"):
+            with contextlib.suppress(KeyError, struct.error, ValueError, IndexError):
+                out.append(Track(data, at, end))
+    return out
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    names = ["media_id", "track", "codec", "timescale", "duration", "n_samples", "keyframes"]
     for batch in batches:
-        rows = [describe(m.as_py()) or {} for m in batch.column(1)]
-        cols = [pa.array([r.get(k) for r in rows], t) for k, t in (("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", key))]
-        yield pa.record_batch([batch.column(0), *cols], names=["media_id", "codec", "timescale", "duration", "n_samples", "keyframes"])
+        rows: list[tuple] = []
+        for media_id, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = [(media_id, n, t.codec, t.timescale, t.duration, len(t.start), [{"start": a, "end": b} for a, b in t.keyframes]) for n, t in enumerate(tracks(media.as_py()))]
+            rows += found or [(media_id, *[None] * 6)]
+        yield pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=names)
 
 
 def media_columns(df: DataFrame, media_id: str, media: str) -> DataFrame:
-    """media_id and the columns of ``MEDIA`` for each row; null where the bytes are null, cut short or hold no track."""
+    """media_id and the columns of ``MEDIA``, one row for each track of a file; each track has its own tables.
+
+    A row of nulls where the bytes are null, cut short or hold no whole track. Repeated rows: equal results. An empty
+    table gives an empty table. Other columns aren't read, whatever their names.
+    """
     return df.select(F.col(media_id).cast("long").alias("media_id"), F.col(media).alias("media")).mapInArrow(_describe, f"media_id long, {MEDIA}")
 
 
@@ -143,7 +152,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             raw = data[offs[k] : offs[k + 1]].tobytes()
             stored = pack(raw + bytes(-len(raw) % UNIT if raw else UNIT))
-            track = Track(stored)
+            (track,) = tracks(stored)
             back = track.payload(stored)
             first, last = track.keyframes[0], track.keyframes[-1]
             feature = f"{track.codec}:{track.timescale}:{track.duration}:{len(track.keyframes)}:{first[0]}-{first[1]}:{last[0]}-{last[1]}"
@@ -158,7 +167,8 @@ def media_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     The payload is the text's UTF-8 bytes and bytes 0 up to a positive multiple of 64. Null or empty text: 64 bytes 0.
     feature: codec, timescale, duration in its units, keyframes, and the byte ranges of the first and last of them.
-    One text at a time, no shuffle; equal texts give equal values.
+    One text at a time, no shuffle; equal texts give equal values, a null doc_id stays null. An empty table gives an
+    empty table. Columns other than doc_id and text aren't read, whatever their names.
     """
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
