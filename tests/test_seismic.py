@@ -1,3 +1,5 @@
+import functools
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,6 @@ from tremolite.functions import motion, parse
 from tremolite.operators import dedup, intensity, zonal
 from tremolite.plans import fixtures, queries
 from tremolite.plans.registry import ORACLES, QUERIES
-from tremolite.streaming.ingest import start_ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def plain(rows):
     return sorted(tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a14_cluster_ids", "w4_canonical_pick", "a4_gutenberg_richter", "s1_usgs_feed", "s2_met_feed", "g6_points_in_units", "g13_event_impact", "g3_isolines", "g7_touched_cells", "g9_simplified_rings", "s12_boundary_features"])
+@pytest.mark.parametrize("name", ["a14_cluster_ids", "w4_canonical_pick", "a4_gutenberg_richter", "s1_usgs_feed", "s2_met_feed", "g6_points_in_units", "g13_event_impact", "g3_isolines", "g7_touched_cells", "g9_simplified_rings", "s12_boundary_features", "s6_full_snapshot", "s9_derived_grid", "s11_overviews", "s14_overlay_vertices", "h15_spheroid_distance", "p1_all_columns", "k1_csv_columns", "k5_insert_counts", "u2_two_feeds", "st5_recluster_what_is_near", "g4_band_regions", "j10_compare_events"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
@@ -47,29 +48,17 @@ def test_units_of_all_levels(spark, few, name):
         assert all(r.parent_id is not None for r in got if r.unit_id >= 100000)
 
 
-def unlimited(d, name):
-    """Columns and rows of the SQL of ``name`` without its limit of events."""
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
-    name = f"{name}_all_levels" if f"{name}_all_levels" in ORACLES else name
-    sql = ORACLES[name].replace(" WHERE event_id = (SELECT id FROM strong ORDER BY magnitude DESC, depth_km, id LIMIT 1)", "").replace(", id LIMIT 3)", ", id)")
-    for t in "bcd":
-        sql = sql.replace(f"JOIN top {t} ON", f"JOIN top {t} ON {t}.event_id = a.event_id AND")
-    assert sql != ORACLES[name]
-    r = con.sql(sql)
-    return sorted(r.columns), con.sql(f"SELECT {', '.join(sorted(r.columns))} FROM ({sql})").fetchall()
-
-
-EVERY = ["g1_intensity_surfaces", "h9_pga_classes", "g2_filled_bands", "h8_band_attributes", "k4_band_levels", "g3_isolines", "a19_surface_maximum", "g7_zonal_maximum", "g13_event_impact", "t6_top_units"]
+EVERY = ["g1_intensity_surfaces", "h9_pga_classes", "g2_filled_bands", "h8_band_attributes", "k4_band_levels", "g3_isolines", "a19_surface_maximum", "g4_band_regions", "g7_zonal_maximum", "g13_event_impact", "t6_top_units"]
 
 
-@pytest.mark.parametrize("name", EVERY)
+@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY), "k3_band_export", "k6_band_features"])
 def test_every_event(spark, few, name):
-    cols, want = unlimited(few, name)
-    got = QUERIES[f"{name}_every_event"](spark, few).select(*cols).collect()
-    assert plain(got) == plain(want) and len({r.event_id for r in got}) > 3
-    if name == "g13_event_impact":
-        assert len({r.event_id for r in got}) == queries.canonical(spark, few).count() > 3
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{few}/events.parquet/*.parquet'")
+    df = QUERIES[name](spark, few)
+    cols, got = sorted(df.columns), df.collect()
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
+    assert plain([[r[c] for c in cols] for r in got]) == plain(want) and len({r.event_id for r in got}) > 3
 
 
 def test_every_event_compared_with_the_next(spark, few):
@@ -78,12 +67,13 @@ def test_every_event_compared_with_the_next(spark, few):
     for r in queries.intensity.surfaces(queries.sites(spark), queries.canonical(spark, few)).select("event_id", "row", "col", "mmi").collect():
         cells[r.event_id][r.row, r.col] = r.mmi
     want = {(a, b, *k): cells[b].get(k, 0.0) - cells[a].get(k, 0.0) for a, b in zip(events, events[1:], strict=False) for k in cells[a].keys() | cells[b].keys()}
-    got = {(r.first_id, r.second_id, r.row, r.col): r.delta for r in QUERIES["j10_compare_events_every_event"](spark, few).collect()}
-    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    e = queries.canonical(spark, few)
+    got = {(r.first_id, r.second_id, r.row, r.col): r.delta for r in intensity.compare_pairs(intensity.surfaces(queries.sites(spark), e), queries.C.next_events(e)).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_every_event_regions(spark, few):
-    cells = {tuple(r) for r in QUERIES["g2_filled_bands_every_event"](spark, few).select("event_id", "mmi_lower", "row", "col").collect()}
+    cells = {tuple(r) for r in queries._bands_of(spark, queries.canonical(spark, few)).select("event_id", "mmi_lower", "row", "col").collect()}
     want = {}
     while cells:
         todo, found = [cells.pop()], []
@@ -94,7 +84,7 @@ def test_every_event_regions(spark, few):
             cells -= near
             todo += near
         want[e, m, min(found)] = len(found)
-    got = {(r.event_id, r.mmi_lower, divmod(r.region_id, 1000000)): r.n_cells for r in QUERIES["g4_band_regions_every_event"](spark, few).collect()}
+    got = {(r.event_id, r.mmi_lower, (r.region_row, r.region_col)): r.n_cells for r in QUERIES["g4_band_regions_every_event"](spark, few).collect()}
     assert got == want and len({e for e, *_ in want}) > 3
 
 
@@ -110,10 +100,11 @@ def test_formulas(spark):
 
 def test_pruned_surface_is_whole_surface(spark):
     cells = queries.sites(spark)
-    e = spark.createDataFrame([(1, 5.5, 10.0, 72.5, 34.0)], "id long, magnitude double, depth_km double, lon double, lat double")
-    pruned = intensity.surfaces(cells, e).select("row", "col")
-    assert pruned.exceptAll(intensity.surface_all(cells, e).filter("mmi >= 2").select("row", "col")).count() == 0
-    assert pruned.count() == intensity.surface_all(cells, e).filter("mmi >= 2").count()
+    rows = [(1, 5.5, 10.0, 72.5, 34.0), (2, 7.9, 0.0, 60.0, 50.0), (3, 2.0, 120.0, 72.5, 34.0), (4, 6.5, 300.0, 100.0, 10.0), (5, 4.0, 600.0, 72.5, 34.0), (6, 0.0, 1.0, 72.5, 34.0)]
+    e = spark.createDataFrame(rows, "id long, magnitude double, depth_km double, lon double, lat double")
+    pruned = intensity.surfaces(cells, e).select("event_id", "row", "col")
+    whole = functools.reduce(lambda a, b: a.union(b), [intensity.surface_all(cells, *r) for r in rows]).filter("mmi >= 2").select("event_id", "row", "col")
+    assert pruned.exceptAll(whole).count() == 0 and whole.exceptAll(pruned).count() == 0 and pruned.count() > 0
 
 
 def test_second_ingest_inserts_nothing(spark):
@@ -143,7 +134,7 @@ def test_band_regions_by_flood_fill(spark):
         if len(found) >= least:
             rows, cols = [f[2] for f in found], [f[3] for f in found]
             want.append((*found[0][:2], len(found), min(rows), max(rows), min(cols), max(cols)))
-    got = queries.g4_band_regions(spark, SF).drop("region_id").collect()
+    got = queries.g4_band_regions(spark, SF).drop("region_row", "region_col").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -162,12 +153,3 @@ def test_holes_and_simplification(spark):
     assert [tuple(r) for r in zonal.points_in_polygons(pts, edges).collect()] == [(1, 7)]
     assert zonal.areas(edges).first().area == 12.0
     assert zonal.simplify(edges, 0.01).count() == 8
-
-
-def test_streaming_end_state_is_batch(spark, tmp_path):
-    r = fixtures.reports(spark, SF).filter("source_event_id IS NOT NULL")
-    r.repartition(1).write.json(str(tmp_path / "in"))
-    schema = "id long, source string, source_event_id string, occurred_us long, magnitude double, lon double, lat double"
-    start_ingest(spark, str(tmp_path / "in"), schema, lambda d: d, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "state/v0")).select("id", "cluster_id", "is_canonical")
-    assert got.exceptAll(dedup.cluster(r).select("id", "cluster_id", "is_canonical")).count() == 0 and got.count() == r.count()

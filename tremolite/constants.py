@@ -16,7 +16,21 @@ MAX_FETCH_ROWS = 20_000
 NODATA = -9999.0
 ALERT_RANK = {"red": 4, "orange": 3, "yellow": 2, "green": 1}
 WEEKDAYS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
-LEVELS = ("province", "district", "tehsil")
+#: Source field of each admin column by level.
+LEVEL_FIELDS = {
+    "national": {"name": "Admin01_Na"},
+    "province": {"name": "Province"},
+    "district": {"name": "Districts", "parent": "province", "division": "division", "population": "Population"},
+    "tehsil": {"name": "name", "parent": "district", "division": "division"},
+}
+#: Columns of a catalogue, in order, and their types; instants are microseconds since 1970.
+CATALOG_COLUMNS = {
+    "id": "long", "source": "string", "source_event_id": "string", "occurred_us": "long", "magnitude": "double", "depth_km": "double", "lon": "double", "lat": "double",
+    "cluster_id": "long", "is_canonical": "boolean", "created_us": "long", "place": "string", "mag_type": "string", "event_type": "string", "alert": "string",
+    "tsunami": "int", "sig": "int", "review_status": "string", "felt": "int", "cdi": "double", "mmi_report": "double", "gap": "double", "nst": "int",
+    "url": "string", "detail_url": "string", "updated_us": "long",
+}
+#: Columns of the CSV export, in order.
 EXPORT_COLUMNS = (
     "id", "source", "source_event_id", "occurred_at", "magnitude", "depth_km", "lon", "lat", "place", "mag_type",
     "alert", "tsunami", "sig", "review_status", "felt", "cdi", "mmi_report", "gap", "nst", "url", "detail_url",

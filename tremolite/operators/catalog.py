@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ALERT_RANK, COVERAGE_BBOX
+from ..constants import ALERT_RANK, COVERAGE_BBOX, EXPORT_COLUMNS
 
 
 def in_coverage(lon: Column, lat: Column) -> Column:
@@ -16,14 +16,14 @@ def in_coverage(lon: Column, lat: Column) -> Column:
 def where(since_us=None, mag_min=None, mag_max=None, source=None, search=None, after_us=None, before_us=None) -> Column:
     """The conjunction of the given filters and of being canonical. ``search`` may hold the wildcards % and _."""
     c = F.col("is_canonical")
-    tests = {
-        "occurred_us >=": since_us, "magnitude >=": mag_min, "magnitude <=": mag_max, "source =": source, "occurred_us >= ": after_us, "occurred_us <=": before_us,
-    }
-    for test, value in tests.items():
-        if value is not None:
-            col, op = test.split()
-            left = F.col(col)
-            c = c & {">=": left >= value, "<=": left <= value, "=": left == value}[op]
+    time, size = F.col("occurred_us"), F.col("magnitude")
+    tests = [
+        (since_us, time >= F.lit(since_us)), (after_us, time >= F.lit(after_us)), (before_us, time <= F.lit(before_us)),
+        (mag_min, size >= F.lit(mag_min)), (mag_max, size <= F.lit(mag_max)), (source, F.col("source") == F.lit(source)),
+    ]
+    for given, test in tests:
+        if given is not None:
+            c = c & test
     return c & F.col("place").ilike(f"%{search}%") if search is not None else c
 
 
@@ -109,6 +109,22 @@ def geojson_points(df: DataFrame) -> DataFrame:
     return df.filter("lon IS NOT NULL AND lat IS NOT NULL").select("id", feature.alias("feature"))
 
 
+def export_rows(df: DataFrame) -> DataFrame:
+    """The columns of ``EXPORT_COLUMNS``, newest first; occurred_at is ISO text in UTC."""
+    at = F.expr("CAST(timestampadd(MICROSECOND, occurred_us, TIMESTAMP_NTZ'1970-01-01 00:00:00') AS string)")
+    return ordered(df).select(*[F.concat(F.replace(at, F.lit(" "), F.lit("T")), F.lit("Z")).alias(c) if c == "occurred_at" else F.col(c) for c in EXPORT_COLUMNS])
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """The export as CSV with a header in each file; files are in order of time, newest first."""
+    export_rows(df).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def write_geojson(df: DataFrame, path: str) -> None:
+    """One GeoJSON feature a line."""
+    geojson_points(df).select("feature").write.mode("errorifexists").text(path)
+
+
 def detail_state(df: DataFrame, detail: str = "detail") -> DataFrame:
     """Adds state: manual, no-detail (another feed), not-cached or cached."""
     s = F.when(F.col("source") == "MANUAL", "manual").when(F.col("source") != "USGS", "no-detail").when(F.col(detail).isNull(), "not-cached").otherwise("cached")

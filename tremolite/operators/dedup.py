@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEDUP_METRES, DEDUP_SECONDS, SOURCE_PRIORITY
+from ..constants import CATALOG_COLUMNS, DEDUP_METRES, DEDUP_SECONDS, SOURCE_PRIORITY
 from ..functions.motion import haversine_m, lambert_m
 
-#: 50 km are less than this many degrees of latitude anywhere.
-LAT_BUCKET = 0.46
-BUCKET_US = DEDUP_SECONDS * 1_000_000
+#: Buckets are twice as wide as the window: what is near a report lies in two of them in each dimension, mostly.
+BUCKET_US = 2 * DEDUP_SECONDS * 1_000_000
+#: 50 km are less than 0.46 degrees of latitude anywhere. Longitude has a whole number of buckets around the earth.
+NEAR_LAT, LON_BUCKETS = 0.46, 212
 
 
 def priority(source: Column) -> Column:
@@ -20,23 +21,37 @@ def priority(source: Column) -> Column:
     return out
 
 
-def neighbour_pairs(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
-    """(id, other_id): reports of feeds within 60 s and 50 km of each other, both inclusive, each with itself too.
+def _buckets_near() -> list[Column]:
+    """The buckets of time, latitude and longitude that may hold what is near a report, anywhere on earth."""
+    lon_width = 360 / LON_BUCKETS
+    span = lambda v, d, width: F.sequence(F.floor((v - d) / width), F.floor((v + d) / width))
+    half = F.lit(NEAR_LAT) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + NEAR_LAT, F.lit(90.0)))), F.lit(NEAR_LAT / 180))
+    around = F.array_distinct(F.transform(span(F.col("lon"), half, lon_width), lambda x: F.pmod(x, F.lit(LON_BUCKETS))))
+    return [span(F.col("occurred_us"), F.lit(BUCKET_US / 2), BUCKET_US), span(F.col("lat"), F.lit(NEAR_LAT), 2 * NEAR_LAT), around]
+
+
+def near_pairs(reports: DataFrame, few: DataFrame, geodesic: str = "haversine") -> DataFrame:
+    """(id, other_id): reports of feeds (id) within 60 s and 50 km of those of ``few`` (other_id), both inclusive.
 
-    An equi-join on buckets of time and latitude: one side stands in its own bucket, the other in the nine around
-    it, so every pair meets exactly once; time and distance then decide. A swarm makes a hot bucket, which AQE's
-    skew join splits.
+    An equi-join on buckets of time, latitude and longitude: ``reports`` stand in their own bucket, ``few`` in all that
+    may hold what is near them (about eight), so every pair meets exactly once; time and distance then decide.
     """
-    feed = reports.filter(F.col("source") != "MANUAL").select("id", "occurred_us", "lon", "lat")
-    tb, yb = F.floor(F.col("occurred_us") / F.lit(BUCKET_US)), F.floor(F.col("lat") / LAT_BUCKET)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = feed.select(*[F.col(c).alias(f"a_{c}") for c in feed.columns], tb.alias("tb"), yb.alias("yb"))
-    b = feed.withColumn("dt", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"tb": tb + F.col("dt"), "yb": yb + F.col("dy")}).drop("dt", "dy")
+    feed = lambda df: df.filter(F.col("source") != "MANUAL").select("id", "occurred_us", "lon", "lat")
+    own = [F.floor(F.col("occurred_us") / BUCKET_US).alias("tb"), F.floor(F.col("lat") / (2 * NEAR_LAT)).alias("yb"), F.pmod(F.floor(F.col("lon") / (360 / LON_BUCKETS)), F.lit(LON_BUCKETS)).alias("xb")]
+    a = feed(reports).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "occurred_us", "lon", "lat")], *own)
+    b = feed(few)
+    for name, buckets in zip(("tb", "yb", "xb"), _buckets_near(), strict=True):
+        b = b.withColumn(name, F.explode(buckets))
     dist = (lambert_m if geodesic == "lambert" else haversine_m)(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
-    pairs = a.join(b, ["tb", "yb"]).filter((F.abs(F.col("a_occurred_us") - F.col("occurred_us")) <= BUCKET_US) & (dist <= DEDUP_METRES))
+    pairs = a.join(b, ["tb", "yb", "xb"]).filter((F.abs(F.col("a_occurred_us") - F.col("occurred_us")) <= DEDUP_SECONDS * 1_000_000) & (dist <= DEDUP_METRES))
     return pairs.select(F.col("a_id").alias("id"), F.col("id").alias("other_id"))
 
 
+def neighbour_pairs(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
+    """(id, other_id): reports of feeds within 60 s and 50 km of each other, both inclusive, each with itself too."""
+    return near_pairs(reports, reports, geodesic)
+
+
 def cluster_ids(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
     """(id, cluster_id) of feed reports: the least id near a report. Clusters aren't transitive."""
     return neighbour_pairs(reports, geodesic).groupBy("id").agg(F.min("other_id").alias("cluster_id"))
@@ -54,6 +69,25 @@ def cluster(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
     return mark_canonical(reports.drop("cluster_id", "is_canonical").join(ids, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id")))
 
 
+def recluster(reports: DataFrame, touched: DataFrame, geodesic: str = "haversine") -> DataFrame:
+    """``reports`` as ``cluster`` would leave them, if only what lies near ``touched`` has changed since it was clustered.
+
+    ``touched`` (id, source, occurred_us, lon, lat): reports that are new, and the old and new places of changed or
+    deleted ones, with their old cluster_id. Only reports near them get new clusters, and only the clusters that those
+    leave or enter, or that ``touched`` names, are ranked anew. The session needs a checkpoint folder.
+    """
+    near = near_pairs(reports, touched, geodesic).select("id").distinct()
+    of_near = near_pairs(reports, reports.join(near, "id", "left_semi"), geodesic).groupBy(F.col("other_id").alias("id")).agg(F.min("id").alias("new_cluster")).checkpoint()
+    moved = reports.join(of_near, "id", "left").withColumn("old_cluster", F.col("cluster_id")).withColumn("cluster_id", F.coalesce("new_cluster", "cluster_id", "id"))
+    stirred = moved.filter("new_cluster IS NOT NULL").select(F.explode(F.array("old_cluster", "new_cluster")).alias("cluster_id"))
+    if "cluster_id" in touched.columns:
+        stirred = stirred.unionByName(touched.select("cluster_id"))
+    stirred = stirred.filter("cluster_id IS NOT NULL").distinct()
+    moved = moved.select(*reports.columns)
+    ranked = mark_canonical(moved.join(stirred, "cluster_id", "left_semi").select(*[c for c in reports.columns if c != "is_canonical"]))
+    return moved.join(stirred, "cluster_id", "left_anti").select(*reports.columns).unionByName(ranked)
+
+
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row for each non-null key, the first in ``order``; rows without a key all stay."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -68,6 +102,48 @@ def insert_if_absent(catalog: DataFrame, arrivals: DataFrame, order: list[str])
     return new.join(known, ["source", "source_event_id"], "left_anti").select(*arrivals.columns)
 
 
+def assign_ids(new: DataFrame, top: Column) -> DataFrame:
+    """``new`` with ids from ``top`` + 1 on, in order of source priority, time and source_event_id.
+
+    Rows are numbered within their minute, minutes within their day, days one after the other: no window holds more than
+    the rows of a minute, the minutes of a day, or the days.
+    """
+    key = ["__p", "__day", "__minute"]
+    rows = new.withColumns({"__p": priority(F.col("source")), "__day": F.floor(F.col("occurred_us") / 86_400_000_000), "__minute": F.floor(F.col("occurred_us") / 60_000_000)})
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    days = minutes.groupBy("__p", "__day").agg(F.sum("n").alias("n")).select("__p", "__day", before(Window.orderBy("__p", "__day"), "n").alias("__d"))
+    minutes = minutes.select(*key, before(Window.partitionBy("__p", "__day").orderBy("__minute"), "n").alias("__m")).join(days, ["__p", "__day"])
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("occurred_us", "source", "source_event_id", "magnitude", "lon", "lat"))
+    numbered = rows.withColumn("__r", place).join(minutes, key)
+    return numbered.withColumn("id", (top + F.col("__d") + F.col("__m") + F.col("__r")).cast("long")).select("id", *[c for c in new.columns if c != "id"])
+
+
+def add_reports(catalog: DataFrame, arrivals: DataFrame, now_us: int, known: DataFrame | None = None, top: int | None = None, geodesic: str = "haversine") -> tuple[DataFrame, DataFrame]:
+    """(catalogue, inserted): ``catalog`` with the arrivals that it lacks, clustered; and those alone, as they were inserted.
+
+    Arrivals are rows of one or several feeds without ids, as the feeds' parsers make them. Ids follow ``top``, or the
+    largest one. Clusters change near any arrival, new or known (``known``: what arrived before repeats were taken off), so
+    that a run again after a failure ends in the same state. The session needs a checkpoint folder.
+    """
+    new = insert_if_absent(catalog, conform(arrivals), ["occurred_us", "magnitude", "lon", "lat"]).withColumn("created_us", F.lit(now_us))
+    if top is None:
+        top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    new = conform(assign_ids(new.drop("id"), F.lit(top))).checkpoint()
+    met = (arrivals if known is None else known).select("source", "source_event_id").filter("source_event_id IS NOT NULL").distinct()
+    both = conform(catalog).unionByName(new)
+    again = catalog.join(met, ["source", "source_event_id"], "left_semi")
+    return recluster(both, new.select(*_PLACE).unionByName(again.select(*_PLACE)), geodesic), new
+
+
+_PLACE = ["id", "source", "occurred_us", "lon", "lat"]
+
+
+def conform(reports: DataFrame) -> DataFrame:
+    """The columns of a catalogue in their order and types; those that ``reports`` lacks are null."""
+    return reports.select(*[(F.col(c) if c in reports.columns else F.lit(None)).cast(t).alias(c) for c, t in CATALOG_COLUMNS.items()])
+
+
 def ingest_counts(arrivals: DataFrame, inserted: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: fetched, inserted, errors."""
     n = lambda df, name: df.agg(F.count("*").alias(name))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_VS30, MMI_BAND_LEVELS, NODATA
 from ..functions import motion as M
 
 #: Side of a tile in degrees, by which events and cells meet.
-TILE = 4.0
+TILE = 1.0
 
 
 def load_cells(raw: DataFrame, x0: float, y0: float, dx: float, dy: float, default_vs30: float = DEFAULT_VS30) -> DataFrame:
@@ -20,37 +20,60 @@ def load_cells(raw: DataFrame, x0: float, y0: float, dx: float, dy: float, defau
     return raw.select("row", "col", (F.lit(x0) + (F.col("col") + 0.5) * dx).alias("lon"), (F.lit(y0) - (F.col("row") + 0.5) * dy).alias("lat"), F.when(bad, default_vs30).otherwise(F.col("raw")).alias("vs30"))
 
 
-def reach_km(mag, vs30_min: float):
-    """A distance beyond which no site of at least ``vs30_min`` reaches intensity 2: two bounds, the lesser of them."""
-    c = (mag - 6) * 0.23 + (0.49 + math.log10(1.385 * 980) + 1.35 - 0.47 * math.log10(vs30_min) - math.log10(10 ** (1 / 2.2)))
-    return F.greatest(F.least(F.pow(F.lit(10.0), c), F.greatest(F.lit(1.0), c / 0.0027)), F.lit(1.0))
+#: Distances at which the bound of ``reach_km`` is taken, in km.
+_STEPS = [1.15**n for n in range(56)]
+
+
+def reach_km(mag: Column, depth_km: Column, vs30_min: float) -> Column:
+    """Kilometres from the epicentre beyond which no site of at least ``vs30_min`` reaches intensity 2; null if none does.
+
+    The hypocentral distance r of intensity 2 solves log10 r + 0.0027 r = c. For any k, r is below k, or log10 r is at
+    least log10 k and so r at most (c - log10 k) / 0.0027. The least of these bounds is some 10 % above r. A deeper
+    event than that shakes nothing.
+    """
+    c = (mag - 6) * 0.23 + (0.49 + math.log10(1.385 * 980) + 1.35 - 0.47 * math.log10(vs30_min) - 1 / 2.2)
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.log10(k)).alias("log")) for k in _STEPS])
+    r = F.array_min(F.transform(steps, lambda s: F.greatest(s["k"], (c - s["log"]) / 0.0027)))
+    return F.when(r >= depth_km, F.sqrt(r * r - depth_km * depth_km))
 
 
 def _surface(pairs: DataFrame) -> DataFrame:
+    """Adds pga and mmi. The acceleration is unfolded from an array: Spark would else copy its formula, which is most of the
+    work, to each place in the intensity's and into any filter on it."""
     dist = M.haversine_m(F.col("epi_lon"), F.col("epi_lat"), F.col("lon"), F.col("lat"))
     pga = M.pga_gal(dist, F.col("depth_km") * 1000, F.col("magnitude"), F.col("vs30"))
-    return pairs.withColumn("pga", pga).withColumn("mmi", M.pga_to_mmi(F.col("pga"))).select("event_id", "row", "col", "lon", "lat", "pga", "mmi")
+    return pairs.select("event_id", "row", "col", "lon", "lat", F.explode(F.array(pga)).alias("pga")).withColumn("mmi", M.pga_to_mmi(F.col("pga")))
 
 
 def _events(events: DataFrame) -> DataFrame:
     return events.select(F.col("id").alias("event_id"), "magnitude", "depth_km", F.col("lon").alias("epi_lon"), F.col("lat").alias("epi_lat"))
 
 
-def surface_all(cells: DataFrame, event: DataFrame) -> DataFrame:
-    """Every cell for the one event in ``event``: its row is carried as a literal struct by a join on a constant."""
-    return _surface(cells.withColumn("one", F.lit(1)).join(_events(event).limit(1).withColumn("one", F.lit(1)), "one"))
+def surface_all(cells: DataFrame, event_id: int, magnitude: float, depth_km: float, lon: float, lat: float) -> DataFrame:
+    """Every cell for one event, given by its numbers."""
+    event = {"event_id": event_id, "magnitude": magnitude, "depth_km": depth_km, "epi_lon": lon, "epi_lat": lat}
+    return _surface(cells.withColumns({name: F.lit(v) for name, v in event.items()}))
 
 
 def surfaces(cells: DataFrame, events: DataFrame, vs30_min: float = 180.0) -> DataFrame:
     """The cells of intensity 2 or more for each event. Events and cells meet by tile: an event stands in the tiles
-    that its reach touches, so neither side is multiplied by the other; the exact test comes last."""
-    e = _events(events).withColumn("km", reach_km(F.col("magnitude"), vs30_min))
+    that its reach touches, so neither side is multiplied by the other; the exact test comes last. An event's box of
+    degrees is tested before the distance."""
+    e = _events(events).withColumn("km", reach_km(F.col("magnitude"), F.col("depth_km"), vs30_min)).filter("km IS NOT NULL")
     dlat = F.col("km") / 110.5
     dlon = F.col("km") / (F.greatest(F.cos(F.radians(F.least(F.abs(F.col("epi_lat")) + dlat, F.lit(89.0)))), F.lit(0.02)) * 110.5)
+    e = e.withColumns({"dlat": F.least(dlat, F.lit(90.0)), "dlon": F.least(dlon, F.lit(180.0))})
     span = lambda v, d: F.sequence(F.floor((v - d) / TILE), F.floor((v + d) / TILE))
-    e = e.withColumn("tx", F.explode(span(F.col("epi_lon"), F.least(dlon, F.lit(180.0))))).withColumn("ty", F.explode(span(F.col("epi_lat"), F.least(dlat, F.lit(90.0)))))
+    e = e.withColumn("tx", F.explode(span(F.col("epi_lon"), F.col("dlon")))).withColumn("ty", F.explode(span(F.col("epi_lat"), F.col("dlat"))))
     c = cells.withColumns({"tx": F.floor(F.col("lon") / TILE), "ty": F.floor(F.col("lat") / TILE)})
-    return _surface(c.join(e, ["tx", "ty"])).filter("mmi >= 2")
+    near = c.join(e, ["tx", "ty"]).filter((F.abs(F.col("lon") - F.col("epi_lon")) <= F.col("dlon")) & (F.abs(F.col("lat") - F.col("epi_lat")) <= F.col("dlat")))
+    return _surface(near).filter("mmi >= 2")
+
+
+def intensity_at(pairs: DataFrame) -> DataFrame:
+    """Adds mmi to rows that hold a site (lon, lat, vs30) and an event (epi_lon, epi_lat, depth_km, magnitude)."""
+    dist = M.haversine_m(F.col("epi_lon"), F.col("epi_lat"), F.col("lon"), F.col("lat"))
+    return pairs.withColumn("mmi", M.pga_to_mmi(M.pga_gal(dist, F.col("depth_km") * 1000, F.col("magnitude"), F.col("vs30"))))
 
 
 def banded(surface: DataFrame) -> DataFrame:
@@ -62,7 +85,39 @@ def banded(surface: DataFrame) -> DataFrame:
 
 
 def levels_present(bands: DataFrame) -> DataFrame:
-    return bands.select("event_id", "mmi_lower").distinct().orderBy("event_id", "mmi_lower")
+    """(event_id, mmi_lower, color, label): the levels that an event's bands have, with what a legend shows."""
+    return bands.select("event_id", "mmi_lower", "color", "label").distinct()
+
+
+def export_bands(bands: DataFrame, levels: tuple[int, ...] | None = None) -> DataFrame:
+    """(event_id, mmi_low, mmi_high, color, row, col0, col1, w, e, y): bands to export, of the given levels or all, one row
+    for each run of a band's cells in a raster row: from the centre of its first cell (w, y) to that of its last (e, y)."""
+    chosen = bands.filter(F.col("mmi_lower").isin(*levels)) if levels is not None else bands
+    key = ["event_id", "mmi_lower", "mmi_upper", "color", "row"]
+    w = Window.partitionBy(*key).orderBy("col")
+    g = chosen.withColumn("g", F.col("col") - F.row_number().over(w)).groupBy(*key, "g")
+    boxes = g.agg(F.min("col").alias("col0"), F.max("col").alias("col1"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.first("lat").alias("y"))
+    return boxes.select("event_id", F.col("mmi_lower").alias("mmi_low"), F.col("mmi_upper").alias("mmi_high"), "color", "row", "col0", "col1", "w", "e", "y")
+
+
+def write_bands(bands: DataFrame, path: str, levels: tuple[int, ...] | None = None) -> None:
+    """The bands to export as Parquet; nothing to export is an error."""
+    out = export_bands(bands, levels)
+    if out.isEmpty():
+        raise ValueError("no band to export")
+    out.write.mode("errorifexists").parquet(path)
+
+
+def band_features(bands: DataFrame, half: float) -> DataFrame:
+    """(event_id, mmi_lower, feature): a GeoJSON feature for each event and band, with the bounds and colour of the band as
+    properties. Its geometry has a box for each run of the band's cells in a raster row; ``half`` is half a cell's side."""
+    b = export_bands(bands)
+    ring = F.array(*[F.array(x, y) for x, y in ((F.col("w") - half, F.col("y") - half), (F.col("e") + half, F.col("y") - half), (F.col("e") + half, F.col("y") + half), (F.col("w") - half, F.col("y") + half), (F.col("w") - half, F.col("y") - half))])
+    part = F.struct("row", "col0", F.array(ring).alias("polygon"))
+    parts = b.groupBy("event_id", "mmi_low", "mmi_high", "color").agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["polygon"]).alias("polygons"))
+    props = F.struct(F.col("mmi_low").alias("mmi_lower"), F.col("mmi_high").alias("mmi_upper"), "color", M.mmi_class_label(F.col("mmi_low")).alias("label"))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates"))
+    return parts.select("event_id", F.col("mmi_low").alias("mmi_lower"), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))).alias("feature"))
 
 
 def isolines(surface: DataFrame, levels: tuple[int, ...] = MMI_BAND_LEVELS) -> DataFrame:
@@ -88,34 +143,29 @@ def isolines(surface: DataFrame, levels: tuple[int, ...] = MMI_BAND_LEVELS) -> D
     return q.selectExpr("event_id", "level", "cuts[p[0]].x AS x1", "cuts[p[0]].y AS y1", "cuts[p[1]].x AS x2", "cuts[p[1]].y AS y2")
 
 
-def compare_surfaces(surface: DataFrame, first: int, second: int) -> DataFrame:
-    """(row, col, first_mmi, second_mmi, delta) of two events, cells of either; absent counts as null."""
-    one = lambda i, name: surface.filter(F.col("event_id") == i).select("row", "col", F.col("mmi").alias(name))
-    return one(first, "first_mmi").join(one(second, "second_mmi"), ["row", "col"], "full").withColumn("delta", F.coalesce("second_mmi", F.lit(0.0)) - F.coalesce("first_mmi", F.lit(0.0)))
-
-
 def compare_pairs(surface: DataFrame, pairs: DataFrame) -> DataFrame:
     """(first_id, second_id, row, col, delta) for many pairs of events (first_id, second_id), cells of either; absent counts as 0."""
     one = lambda i, sign: surface.join(pairs.withColumn("event_id", F.col(i)), "event_id").select("first_id", "second_id", "row", "col", (F.col("mmi") * sign).alias("m"))
     return one("first_id", -1.0).unionByName(one("second_id", 1.0)).groupBy("first_id", "second_id", "row", "col").agg(F.sum("m").alias("delta"))
 
 
-def regions(bands: DataFrame, rounds: int = 60) -> DataFrame:
-    """Adds region_id: connected cells of one band (four neighbours), named by their least cell.
+def regions(bands: DataFrame) -> DataFrame:
+    """Adds region_id, a struct of row and col: connected cells of one band (four neighbours), named by their least cell.
 
     Rows are first cut into runs of one band, so labels move between runs, not cells. Each round takes the least
-    label of overlapping runs above and below, then the label of that label; labels are checkpointed.
+    label of overlapping runs above and below, then the label of that label, until no label changes. Labels are
+    checkpointed, so the session needs a checkpoint folder (``spark.checkpoint.dir``, or ``setCheckpointDir``).
     """
     key = ["event_id", "mmi_lower"]
     w = Window.partitionBy(*key, "row").orderBy("col")
     r = bands.select(*key, "row", "col").withColumn("g", F.col("col") - F.row_number().over(w))
-    runs = r.groupBy(*key, "row", "g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("run", F.expr("CAST(row AS long) * 1000000 + c0")).drop("g")
+    runs = r.groupBy(*key, "row", "g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("run", F.struct("row", F.col("c0").alias("col"))).drop("g").checkpoint()
     a, b = runs.alias("a"), runs.alias("b")
     touch = a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.mmi_lower") == F.col("b.mmi_lower")) & (F.col("a.row") + 1 == F.col("b.row")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1")))
     edges = touch.select("a.event_id", "a.mmi_lower", F.col("a.run").alias("u"), F.col("b.run").alias("v"))
     edges = edges.union(edges.select(*key, "v", "u")).checkpoint()
-    labels = runs.select(*key, "run", F.col("run").alias("region_id")).checkpoint()
-    for _ in range(rounds):
+    labels = runs.select(*key, "run", F.col("run").alias("region_id"))
+    while True:
         near = edges.join(labels.withColumnRenamed("run", "v"), [*key, "v"]).groupBy(*key, F.col("u").alias("run")).agg(F.min("region_id").alias("near"))
         step = labels.join(near, [*key, "run"], "left").select(*key, "run", F.least("region_id", F.coalesce("near", "region_id")).alias("region_id"), F.col("region_id").alias("was"))
         hop = step.select(*key, F.col("run").alias("region_id"), F.col("region_id").alias("further"))

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import LEVEL_FIELDS
 from ..sources.rasters import cell_of
 from . import intensity
 
-#: Source field of each admin column by level.
-LEVEL_FIELDS = {
-    "national": {"name": "Admin01_Na"},
-    "province": {"name": "Province"},
-    "district": {"name": "Districts", "parent": "province", "division": "division", "population": "Population"},
-    "tehsil": {"name": "name", "parent": "district", "division": "division"},
-}
-
-
 def map_features(raw: DataFrame, level: str, *keep: str) -> DataFrame:
     """(level, name, parent, division, population, reject_reason) from (props map<string,string>), after the columns
     to ``keep``; rows without a name are rejected."""
     if level not in LEVEL_FIELDS:
-        raise ValueError(f"unknown level: {level!r}")
+        raise ValueError(f"{level!r} is none of the levels {', '.join(LEVEL_FIELDS)}")
     get = lambda c: F.try_element_at("props", F.lit(LEVEL_FIELDS[level][c])) if c in LEVEL_FIELDS[level] else F.lit(None).cast("string")
     name = get("name")
     return raw.select(
@@ -31,6 +24,35 @@ def map_features(raw: DataFrame, level: str, *keep: str) -> DataFrame:
     )
 
 
+def promote_parts(edges: DataFrame) -> DataFrame:
+    """Edges as those of multi-part units: rows without a part get part 0, so every unit has one at least."""
+    return edges.withColumn("part", F.coalesce("part", F.lit(0))) if "part" in edges.columns else edges.withColumn("part", F.lit(0))
+
+
+def load_boundaries(units: DataFrame, edges: DataFrame, path: str, expected: dict[str, int], tolerance: float = 0.001, force: bool = False) -> bool:
+    """Replaces the tables ``path``/units and ``path``/edges; False if they are there already and ``force`` isn't given.
+
+    Counts by level have to be as ``expected`` before anything is replaced. Rings are simplified and parts promoted on the way.
+    """
+    spark = units.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/units/_SUCCESS")
+    if not force and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return False
+    wrong = level_counts(units, expected).filter("NOT ok").collect()  # one row a level
+    if wrong:
+        raise ValueError("counts by level: " + ", ".join(f"{r.level} {r.n} for {r.expected}" for r in wrong))
+    simplify(promote_parts(edges), tolerance).write.mode("overwrite").parquet(f"{path}/edges")
+    units.write.mode("overwrite").parquet(f"{path}/units")
+    return True
+
+
+def overlay_features(features: DataFrame, layer: str) -> DataFrame:
+    """(layer, feature_id, props, seq, x, y) of line or polygon features (feature_id, props, coordinates array<array<double>>):
+    one row a vertex. Features without geometry go, heights are dropped, properties stay as they are."""
+    rows = features.filter("coordinates IS NOT NULL AND size(coordinates) > 0").select(F.lit(layer).alias("layer"), "feature_id", "props", F.posexplode("coordinates").alias("seq", "c"))
+    return rows.select("layer", "feature_id", "props", "seq", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
+
+
 def level_counts(units: DataFrame, expected: dict[str, int]) -> DataFrame:
     """(level, n, expected, ok) for each expected level."""
     want = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
@@ -119,17 +141,27 @@ def touched_cells(inside: DataFrame, points: DataFrame, grid: tuple, crossed: Da
     return (cells.unionByName(crossed) if crossed is not None else cells).distinct()
 
 
-def impact(events: DataFrame, cells: DataFrame, units: DataFrame, mapping: DataFrame, points: DataFrame, grid: tuple) -> DataFrame:
-    """(event_id, level, unit_id, name, parent, mmi_max, mmi_repr): worst band and intensity at the representative
-    point (1 dp) of every unit for every event; a unit without a band has 0. All levels take one join."""
+def impact(events: DataFrame, cells: DataFrame, units: DataFrame, mapping: DataFrame, points: DataFrame, grid: tuple, every_unit: bool = False) -> DataFrame:
+    """(event_id, level, unit_id, name, parent, mmi_max, mmi_repr): worst band of each unit that an event's bands reach,
+    and the intensity at the unit's representative point (1 dp). All levels take one join, all joins are on keys.
+
+    ``every_unit`` adds the units that no band reaches, with 0: events times units rows, for the few events of a report.
+    """
     surface = intensity.surfaces(cells, events)
     bands = intensity.banded(surface).select("event_id", "row", "col", "mmi_lower")
     worst = bands.join(mapping, ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
-    here = cell_of(points, *grid).select("unit_id", "row", "col").join(cells, ["row", "col"])
+    if every_unit:
+        asked = events.select(F.col("id").alias("event_id")).crossJoin(units.select("unit_id"))
+        worst = asked.join(worst, ["event_id", "unit_id"], "left").withColumn("mmi_max", F.coalesce("mmi_max", F.lit(0)))
+    here = cell_of(points, *grid).select("unit_id", "row", "col").join(cells, ["row", "col"]).join(units.select("unit_id", "level", "name", "parent"), "unit_id")
     e = events.select(F.col("id").alias("event_id"), "magnitude", "depth_km", F.col("lon").alias("epi_lon"), F.col("lat").alias("epi_lat"))
-    at = intensity._surface(e.crossJoin(F.broadcast(here)).withColumnRenamed("unit_id", "u").withColumn("row", F.col("u"))).select("event_id", F.col("row").alias("unit_id"), F.round("mmi", 1).alias("mmi_repr"))
-    out = at.join(worst, ["event_id", "unit_id"], "left").join(units.select("unit_id", "level", "name", "parent"), "unit_id")
-    return out.select("event_id", "level", "unit_id", "name", "parent", F.coalesce("mmi_max", F.lit(0)).alias("mmi_max"), "mmi_repr")
+    out = intensity.intensity_at(worst.join(here, "unit_id").join(e, "event_id"))
+    return out.select("event_id", "level", "unit_id", "name", "parent", "mmi_max", F.round("mmi", 1).alias("mmi_repr"))
+
+
+def worst_first(impact: DataFrame) -> DataFrame:
+    """An event's units by level, the worst band first, then by name."""
+    return impact.orderBy("event_id", "level", F.desc("mmi_max"), "name")
 
 
 def top_units(impact: DataFrame, n: int = 12) -> DataFrame:
@@ -146,34 +178,35 @@ def with_parent(units: DataFrame) -> DataFrame:
     return u.join(p, (F.col("up") == F.col("p_level")) & (F.col("parent") == F.col("p_name")), "left").drop("up", "p_level", "p_name")
 
 
-def _thin(tolerance: float):
-    def keep(xs: list[float], ys: list[float]) -> list[int]:
-        """Indices that Douglas-Peucker keeps of an open line."""
-        out, todo = {0, len(xs) - 1}, [(0, len(xs) - 1)]
-        while todo:
-            a, b = todo.pop()
-            dx, dy = xs[b] - xs[a], ys[b] - ys[a]
-            far, at = 0.0, -1
-            for i in range(a + 1, b):
-                t = max(0.0, min(1.0, ((xs[i] - xs[a]) * dx + (ys[i] - ys[a]) * dy) / ((dx * dx + dy * dy) or 1)))
-                d = ((xs[i] - xs[a] - t * dx) ** 2 + (ys[i] - ys[a] - t * dy) ** 2) ** 0.5
-                if d > far:
-                    far, at = d, i
-            if far > tolerance:
-                out.add(at)
-                todo += [(a, at), (at, b)]
-        return sorted(out)
+def _kept(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of an open line Douglas-Peucker keeps. The distances of a stretch's points are taken at once."""
+    keep, todo = np.zeros(len(points), bool), [(0, len(points) - 1)]
+    keep[[0, -1]] = True
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        side, rel = points[b] - points[a], points[a + 1 : b] - points[a]
+        t = np.clip(rel @ side / (side @ side or 1.0), 0, 1)
+        off = np.hypot(*(rel - t[:, None] * side).T)
+        at = int(off.argmax())
+        if off[at] > tolerance:
+            keep[a + 1 + at] = True
+            todo += [(a, a + 1 + at), (a + 1 + at, b)]
+    return keep
 
+
+def _thin(tolerance: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        xs, ys, n = pdf.x1.tolist(), pdf.y1.tolist(), len(pdf)
-        if n > 4:
-            far = max(range(n), key=lambda i: (xs[i] - xs[0]) ** 2 + (ys[i] - ys[0]) ** 2)
-            k = keep(xs[: far + 1], ys[: far + 1])[:-1] + [far + i for i in keep([*xs[far:], xs[0]], [*ys[far:], ys[0]])][:-1]
-            if len(k) >= 3:
-                xs, ys = [xs[i] for i in k], [ys[i] for i in k]
-        nxt = [*range(1, len(xs)), 0]
-        return pd.DataFrame({"unit_id": pdf.unit_id.iloc[0], "part": pdf.part.iloc[0], "ring": pdf.ring.iloc[0], "seq": range(len(xs)), "x1": xs, "y1": ys, "x2": [xs[i] for i in nxt], "y2": [ys[i] for i in nxt]})
+        ring = pdf.sort_values("seq")[["x1", "y1"]].to_numpy()
+        if len(ring) > 4:  # two lines: from the first vertex to the one furthest off, and back
+            far = int(((ring - ring[0]) ** 2).sum(1).argmax())
+            back = _kept(np.vstack([ring[far:], ring[:1]]), tolerance)[:-1]
+            keep = np.concatenate([_kept(ring[: far + 1], tolerance)[:-1], back])
+            if keep.sum() >= 3:
+                ring = ring[keep]
+        nxt = np.roll(ring, -1, axis=0)
+        return pd.DataFrame({"unit_id": pdf.unit_id.iloc[0], "part": pdf.part.iloc[0], "ring": pdf.ring.iloc[0], "seq": range(len(ring)), "x1": ring[:, 0], "y1": ring[:, 1], "x2": nxt[:, 0], "y2": nxt[:, 1]})
 
     return run
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import micros
+
 #: Site raster: cells of 0.1 degree from the north-west corner.
 X0, Y0, STEP, WIDTH, HEIGHT = 44.0, 56.0, 0.1, 610, 480
 #: Tiling of the region by level: columns and rows.
@@ -16,7 +18,7 @@ LEVELS = tuple(TILES)
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports before clustering: each event, and one or two echoes of every third and ninth one."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("e"), F.col("user_id").alias("u"), "event_type", "value", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us")
+        F.col("event_id").alias("e"), F.col("user_id").alias("u"), "event_type", "value", micros(F.col("ts")).alias("us")
     )
     ev = ev.withColumn("k", F.explode(F.expr("CASE WHEN e % 9 = 0 THEN array(0, 1, 2) WHEN e % 3 = 0 THEN array(0, 1) ELSE array(0) END")))
     return ev.selectExpr(

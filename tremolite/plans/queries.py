@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import CATALOG_COLUMNS, EXPORT_COLUMNS, MAX_FETCH_ROWS
 from ..functions import motion, parse
 from ..operators import catalog as C
 from ..operators import dedup, intensity, stats, zonal
 from ..sources import feeds, rasters
 from . import fixtures as X
-from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, MMI_SQL, ORACLES, PAIRS_SQL, REPORTS_SQL, STRONG_SQL, SURFACE_SQL, query, units_sql
+from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, MMI_SQL, ORACLES, PAIRS_SQL, PGA_SQL, REPORTS_SQL, SURFACE_SQL, every_event, query, units_sql
 
 GRID = (X.X0, X.Y0, X.STEP, X.STEP, X.WIDTH, X.HEIGHT)
 #: 1 January 2024, and ten and twenty days later, in microseconds.
@@ -134,7 +135,7 @@ def a13_filtered_count(spark, d):
 @query(f"WITH {REPORTS_SQL} SELECT id FROM reports WHERE updated_us >= {T10} AND magnitude >= 5 AND lon BETWEEN 44 AND 105 AND lat BETWEEN 8 AND 56 ORDER BY occurred_us DESC, id LIMIT 20000")
 def s4_query_pushdown(spark, d):
     """A provider's query with its row cap."""
-    return C.fetch_query(X.reports(spark, d), updated_after_us=T10, min_magnitude=5, cap=20000).select("id")
+    return C.fetch_query(X.reports(spark, d), updated_after_us=T10, min_magnitude=5, cap=MAX_FETCH_ROWS).select("id")
 
 
 @query(f"WITH {REPORTS_SQL}, b AS (SELECT {T0} - 1800000000 AS s, max(occurred_us) AS e FROM reports) SELECT CAST(i AS INTEGER) AS n, s + i * {DAY} AS start_us, least(s + (i + 1) * {DAY}, e) AS end_us FROM b, (SELECT unnest(range(40)) AS i) WHERE i < greatest(1, (e - s + {DAY} - 1) // {DAY})")
@@ -209,7 +210,7 @@ def _met_docs(spark, d):
     r = X.reports(spark, d)
     s = lambda c: F.col(c).cast("string")
     row = F.struct(
-        "id", F.date_format(F.timestamp_micros("occurred_us"), "yyyy-MM-dd").alias("event_date"), F.when(F.col("id") % 6 != 0, F.lit("10:20:30")).alias("event_time"),
+        "id", F.expr("CAST(date_add(DATE'1970-01-01', CAST(occurred_us div 86400000000 AS int)) AS string)").alias("event_date"), F.when(F.col("id") % 6 != 0, F.lit("10:20:30")).alias("event_time"),
         F.when(F.col("id") % 17 == 0, "M").when(F.col("id") % 19 == 0, "317").otherwise(s("magnitude")).alias("magnitude"), F.when(F.col("id") % 5 == 0, "1010").otherwise(s("depth_km")).alias("depth"),
         F.when(F.col("id") % 3 == 0, F.concat(s("lat"), F.lit("N"))).when(F.col("id") % 29 == 0, F.concat(s("lat"), F.lit(" S"))).otherwise(s("lat")).alias("latitude"),
         F.when(F.col("id") % 4 == 0, F.concat(F.replace(s("lon"), F.lit("."), F.lit(",")), F.lit(" e"))).otherwise(s("lon")).alias("longitude"), F.lit(None).cast("string").alias("mode"), F.col("place").alias("region"),
@@ -221,7 +222,6 @@ def _met_docs(spark, d):
   CASE WHEN id % 5 = 0 THEN 0.0 ELSE depth_km END AS depth_km, lon, lat FROM reports WHERE id % 17 <> 0 AND id % 19 <> 0 AND NOT (id % 3 <> 0 AND id % 29 = 0)""")
 def s2_met_feed(spark, d):
     m = feeds.parse_met(_met_docs(spark, d))
-    # instants are UTC; the session's zone moves what the documents were written with by as much as what is read
     return m.select("source_event_id", "occurred_us", "magnitude", "depth_km", "lon", "lat")
 
 
@@ -406,17 +406,13 @@ def _filled(bands):
 
 @query(f"WITH {BANDS_SQL} SELECT DISTINCT event_id, mmi_lower, ['#bfccff', '#a0e6ff', '#80ffff', '#7aff93', '#ffff00', '#ffc800', '#ff9100', '#ff0000', '#c80000'][mmi_lower - 1] AS color, ['II (Weak)', 'III (Weak)', 'IV (Light)', 'V (Moderate)', 'VI (Strong)', 'VII (Very Strong)', 'VIII (Severe)', 'IX (Violent)', 'X (Extreme)'][mmi_lower - 1] AS label FROM bands WHERE mmi_lower IS NOT NULL")
 def h8_band_attributes(spark, d):
-    """Levels present with colour and label."""
-    return _attributes(_bands(spark, d))
-
-
-def _attributes(bands):
-    return bands.select("event_id", "mmi_lower", "color", "label").distinct()
+    """Levels present with colour and label."""
+    return intensity.levels_present(_bands(spark, d))
 
 
 @query(f"WITH {BANDS_SQL} SELECT event_id, mmi_lower AS mmi_low, count(*) AS n FROM bands WHERE mmi_lower IN (4, 5, 6) GROUP BY 1, 2")
 def k4_band_levels(spark, d):
-    """Bands of chosen levels, as exported (also K3)."""
+    """Cells of the bands of chosen levels."""
     return _levels(_bands(spark, d))
 
 
@@ -457,14 +453,26 @@ def _maxima(spark, events):
     return intensity.surfaces(sites(spark), events).groupBy("event_id").agg(F.round(F.max("mmi"), 4).alias("top"), F.count("*").alias("n_cells"))
 
 
-@query()
+_REGIONS = """, runs AS MATERIALIZED (
+  SELECT event_id, mmi_lower, row, min(col) AS c0, max(col) AS c1 FROM (SELECT *, col - row_number() OVER (PARTITION BY event_id, mmi_lower, row ORDER BY col) AS g FROM bands WHERE mmi_lower IS NOT NULL) GROUP BY event_id, mmi_lower, row, g
+), touching AS MATERIALIZED (
+  SELECT a.event_id, a.mmi_lower, a.row, a.c0, b.row AS row2, b.c0 AS c02 FROM runs a JOIN runs b ON a.event_id = b.event_id AND a.mmi_lower = b.mmi_lower AND abs(a.row - b.row) = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1
+), linked AS (
+  SELECT event_id, mmi_lower, row, c0, row AS to_row, c0 AS to_c0 FROM runs
+  UNION SELECT l.event_id, l.mmi_lower, l.row, l.c0, t.row2, t.c02 FROM linked l JOIN touching t ON t.event_id = l.event_id AND t.mmi_lower = l.mmi_lower AND t.row = l.to_row AND t.c0 = l.to_c0
+), named AS (SELECT event_id, mmi_lower, row, c0, min((to_row, to_c0)) AS region FROM linked GROUP BY ALL)
+  SELECT event_id, mmi_lower, region[1] AS region_row, region[2] AS region_col, CAST(sum(c1 - c0 + 1) AS BIGINT) AS n_cells, min(row) AS row0, max(row) AS row1, min(c0) AS col0, max(c1) AS col1
+  FROM runs JOIN named USING (event_id, mmi_lower, row, c0) GROUP BY 1, 2, 3, 4"""
+
+
+@query(f"WITH RECURSIVE {BANDS_SQL}{_REGIONS} HAVING sum(c1 - c0 + 1) * 0.01 >= 0.05")
 def g4_band_regions(spark, d):
     """Connected regions of each band of the strongest events, those under the least area pruned."""
     return _regions(intensity.prune_regions(intensity.regions(_bands(spark, d)), X.STEP, X.STEP, 0.05))
 
 
 def _regions(r):
-    return r.groupBy("event_id", "mmi_lower", "region_id").agg(F.count("*").alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+    return r.groupBy("event_id", "mmi_lower", F.col("region_id.row").alias("region_row"), F.col("region_id.col").alias("region_col")).agg(F.count("*").alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
 
 
 # --- polygons: a footprint at each report
@@ -569,16 +577,16 @@ def _parents(spark, d, levels=X.LEVELS):
     return zonal.with_parent(X.units(spark, levels)).join(n, "unit_id").select("unit_id", "parent_id", "n")
 
 
-def _impact(spark, events, levels=X.LEVELS):
+def _impact(spark, events, levels=X.LEVELS, every_unit=False):
     units = X.units(spark, levels)
     edges = zonal.envelope_edges(units)
-    return zonal.impact(events, sites(spark), units, _mapping(spark, units), zonal.representative_points(edges), GRID)
+    return zonal.impact(events, sites(spark), units, _mapping(spark, units), zonal.representative_points(edges), GRID, every_unit)
 
 
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) GROUP BY 1, 2) SELECT s.id AS event_id, u.level, u.unit_id, u.name, u.parent, coalesce(w.mmi_max, 0) AS mmi_max FROM strong s CROSS JOIN units u LEFT JOIN w ON w.event_id = s.id AND w.unit_id = u.unit_id")
 def g13_event_impact(spark, d):
     """Worst band of every unit for the strongest events."""
-    return _impact(spark, strongest(spark, d), UPPER).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
+    return zonal.worst_first(_impact(spark, strongest(spark, d), UPPER, every_unit=True)).select("event_id", "level", "unit_id", "name", "parent", "mmi_max")
 
 
 @query(f"WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE mmi_lower IS NOT NULL GROUP BY 1, 2) SELECT w.event_id, u.level, u.name, w.mmi_max FROM w JOIN units u USING (unit_id) QUALIFY row_number() OVER (PARTITION BY w.event_id, u.level ORDER BY w.mmi_max DESC, u.name) <= 12")
@@ -595,10 +603,7 @@ def _top_units(spark, events, levels=X.LEVELS):
 def j10_compare_events(spark, d):
     """Two events' surfaces cell by cell."""
     s = strongest(spark, d)
-    ends = s.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
-    if ends["a"] is None:
-        return intensity.compare_surfaces(intensity.surfaces(sites(spark), s), -1, -2).select("row", "col", "delta")
-    c = intensity.compare_surfaces(intensity.surfaces(sites(spark), s), ends["a"], ends["b"])
+    c = intensity.compare_pairs(intensity.surfaces(sites(spark), s), s.agg(F.min("id").alias("first_id"), F.max("id").alias("second_id")))
     return c.select("row", "col", F.round("delta", 4).alias("delta"))
 
 
@@ -626,8 +631,8 @@ def j11_parent_units_all_levels(spark, d):
 
 @query(_all_levels("g13_event_impact").replace(" SELECT s.id AS event_id, u.level", f", points AS (SELECT unit_id, floor((56.0::DOUBLE - (miny + maxy) / 2) / 0.1::DOUBLE) AS row, floor(((minx + maxx) / 2 - 44.0::DOUBLE) / 0.1::DOUBLE) AS col FROM units) SELECT round({MMI_SQL.format(p='k.pga')}, 1) AS mmi_repr, s.id AS event_id, u.level") + " JOIN points p ON p.unit_id = u.unit_id JOIN shaken k ON k.event_id = s.id AND k.row = p.row AND k.col = p.col")
 def g13_event_impact_all_levels(spark, d):
-    """With the intensity at the representative point."""
-    return _impact(spark, strongest(spark, d))
+    """With the intensity at the representative point."""
+    return zonal.worst_first(_impact(spark, strongest(spark, d), every_unit=True))
 
 
 @query(_all_levels("t6_top_units"))
@@ -635,68 +640,221 @@ def t6_top_units_all_levels(spark, d):
     return _top_units(spark, strongest(spark, d))
 
 
-# --- the same over every canonical event, without SQL: tests hold them against the SQL above less its limit, on a few events
+# --- the same over every canonical event; surfaces, bands and isolines as a digest for each event, made of all their rows
+
+
+def _digest(df, *by):
+    whole = F.sum(F.round(F.col("mmi") * 1000).cast("long")).alias("mmi_sum")
+    return df.groupBy("event_id", *by).agg(F.count("*").alias("n"), whole, F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+
 
+_DIGEST = "count(*) AS n, CAST(sum(CAST(round(mmi * 1000) AS BIGINT)) AS BIGINT) AS mmi_sum, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1"
 
-@query()
+
+@query(every_event(f"WITH {SURFACE_SQL} SELECT event_id, {_DIGEST} FROM surface GROUP BY event_id"))
 def g1_intensity_surfaces_every_event(spark, d):
-    return _intensities(spark, canonical(spark, d))
+    return _digest(intensity.surfaces(sites(spark), canonical(spark, d)))
 
 
-@query()
+@query(every_event(ORACLES["h9_pga_classes"]))
 def h9_pga_classes_every_event(spark, d):
     return _classes(spark, canonical(spark, d))
 
 
-@query()
+@query(every_event(f"WITH {BANDS_SQL} SELECT event_id, mmi_lower, {_DIGEST} FROM bands WHERE mmi_lower IS NOT NULL GROUP BY 1, 2"))
 def g2_filled_bands_every_event(spark, d):
-    return _filled(_bands_of(spark, canonical(spark, d)))
+    return _digest(_bands_of(spark, canonical(spark, d)), "mmi_lower")
 
 
-@query()
+@query(every_event(ORACLES["h8_band_attributes"]))
 def h8_band_attributes_every_event(spark, d):
-    return _attributes(_bands_of(spark, canonical(spark, d)))
+    return intensity.levels_present(_bands_of(spark, canonical(spark, d)))
 
 
-@query()
+@query(every_event(ORACLES["k4_band_levels"]))
 def k4_band_levels_every_event(spark, d):
     return _levels(_bands_of(spark, canonical(spark, d)))
 
 
-@query()
+_ALL_LINES = ORACLES["g3_isolines"].replace(" WHERE event_id = (SELECT id FROM strong ORDER BY magnitude DESC, depth_km, id LIMIT 1)", "")
+for _t in "bcd":
+    _ALL_LINES = _ALL_LINES.replace(f"JOIN top {_t} ON", f"JOIN top {_t} ON {_t}.event_id = a.event_id AND")
+
+
+@query("SELECT event_id, level, count(*) AS n, round(sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))), 2) AS degrees FROM (" + every_event(_ALL_LINES) + ") GROUP BY 1, 2")
 def g3_isolines_every_event(spark, d):
-    return _lines(spark, canonical(spark, d))
+    """Segments of each event and level, and their length."""
+    lines = _lines(spark, canonical(spark, d))
+    return lines.groupBy("event_id", "level").agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2.0)))), 2).alias("degrees"))
 
 
-@query()
+@query(every_event(ORACLES["a19_surface_maximum"]))
 def a19_surface_maximum_every_event(spark, d):
     return _maxima(spark, canonical(spark, d))
 
 
-@query()
+@query(every_event(ORACLES["g4_band_regions"]).replace(" HAVING sum(c1 - c0 + 1) * 0.01 >= 0.05", ""))
 def g4_band_regions_every_event(spark, d):
     """The least area is the operator's, which is below that of a cell."""
     return _regions(intensity.prune_regions(intensity.regions(_bands_of(spark, canonical(spark, d))), X.STEP, X.STEP))
 
 
-@query()
+@query(every_event(ORACLES["g7_zonal_maximum_all_levels"]))
 def g7_zonal_maximum_every_event(spark, d):
     return _zonal(spark, canonical(spark, d))
 
 
-@query()
+@query(every_event(f"""WITH {BANDS_SQL}, {_MAP}, w AS (SELECT b.event_id, m.unit_id, max(b.mmi_lower) AS mmi_max FROM bands b JOIN mapping m USING (row, col) WHERE b.mmi_lower IS NOT NULL GROUP BY 1, 2),
+  points AS (SELECT u.unit_id, u.level, u.name, u.parent, c.lon, c.lat, c.vs30 FROM units u JOIN cells c ON c.row = floor((56.0::DOUBLE - (miny + maxy) / 2) / 0.1::DOUBLE) AND c.col = floor(((minx + maxx) / 2 - 44.0::DOUBLE) / 0.1::DOUBLE)),
+  far AS (SELECT w.*, p.level, p.name, p.parent, p.vs30, s.magnitude, greatest(1e-6, sqrt(pow({DIST_SQL.format(lat1="s.lat", lon1="s.lon", lat2="p.lat", lon2="p.lon")}, 2) + pow(s.depth_km * 1000, 2)) / 1000) AS r FROM w JOIN points p USING (unit_id) JOIN strong s ON s.id = w.event_id)
+  SELECT event_id, level, unit_id, name, parent, mmi_max, round({MMI_SQL.format(p="(" + PGA_SQL.format(r="r", vs30="vs30") + ")")}, 1) AS mmi_repr FROM far""").replace(units_sql(), units_sql(X.LEVELS)))
 def g13_event_impact_every_event(spark, d):
+    """The units that an event's bands reach; all others have 0 by definition."""
     return _impact(spark, canonical(spark, d))
 
 
-@query()
+@query(every_event(ORACLES["t6_top_units_all_levels"]))
 def t6_top_units_every_event(spark, d):
     return _top_units(spark, canonical(spark, d))
 
 
-@query()
+@query(every_event(f"""WITH {SURFACE_SQL}, turns AS (SELECT id AS first_id, lead(id) OVER (ORDER BY occurred_us, id) AS second_id FROM strong), signed AS (
+  SELECT first_id, second_id, row, col, -mmi AS m FROM turns JOIN surface ON event_id = first_id WHERE second_id IS NOT NULL UNION ALL SELECT first_id, second_id, row, col, mmi AS m FROM turns JOIN surface ON event_id = second_id
+), delta AS (SELECT first_id, second_id, row, col, sum(m) AS delta FROM signed GROUP BY ALL)
+  SELECT first_id, second_id, count(*) AS n, CAST(sum(CAST(round(delta * 1000) AS BIGINT)) AS BIGINT) AS delta_sum FROM delta GROUP BY 1, 2"""))
 def j10_compare_events_every_event(spark, d):
-    """Each event's surface against that of the next one in time, cell by cell."""
+    """Each event's surface against that of the next one in time: cells of either, and the sum of their differences."""
     e = canonical(spark, d)
     c = intensity.compare_pairs(intensity.surfaces(sites(spark), e), C.next_events(e))
-    return c.select("first_id", "second_id", "row", "col", F.round("delta", 4).alias("delta"))
+    return c.groupBy("first_id", "second_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("delta") * 1000).cast("long")).alias("delta_sum"))
+
+
+# --- exports of bands
+
+
+@query(every_event(f"""WITH {BANDS_SQL} SELECT event_id, mmi_lower AS mmi_low, CAST(least(mmi_lower + 1, 10) AS INTEGER) AS mmi_high, ['#80ffff', '#7aff93', '#ffff00'][mmi_lower - 3] AS color, row, min(col) AS col0, max(col) AS col1
+  FROM (SELECT *, col - row_number() OVER (PARTITION BY event_id, mmi_lower, row ORDER BY col) AS g FROM bands WHERE mmi_lower IN (4, 5, 6)) GROUP BY event_id, mmi_lower, row, g"""))
+def k3_band_export(spark, d):
+    """Rows of the export of three levels, for every event."""
+    return intensity.export_bands(_bands_of(spark, canonical(spark, d)), (4, 5, 6)).drop("w", "e", "y")
+
+
+@query(every_event(f"""WITH {BANDS_SQL} SELECT event_id, mmi_lower, CAST(least(mmi_lower + 1, 10) AS INTEGER) AS mmi_upper, ['#bfccff', '#a0e6ff', '#80ffff', '#7aff93', '#ffff00', '#ffc800', '#ff9100', '#ff0000', '#c80000'][mmi_lower - 1] AS color,
+  ['II (Weak)', 'III (Weak)', 'IV (Light)', 'V (Moderate)', 'VI (Strong)', 'VII (Very Strong)', 'VIII (Severe)', 'IX (Violent)', 'X (Extreme)'][mmi_lower - 1] AS label, CAST(count(DISTINCT (row, g)) AS INTEGER) AS n_polygons, round(max(lat) + 0.05, 4) AS north
+  FROM (SELECT *, col - row_number() OVER (PARTITION BY event_id, mmi_lower, row ORDER BY col) AS g FROM bands WHERE mmi_lower IS NOT NULL) GROUP BY event_id, mmi_lower"""))
+def k6_band_features(spark, d):
+    """GeoJSON features of every event's bands, read back."""
+    f = intensity.band_features(_bands_of(spark, canonical(spark, d)), X.STEP / 2)
+    j = F.from_json("feature", "type string, geometry struct<type:string,coordinates:array<array<array<array<double>>>>>, properties struct<mmi_lower:int,mmi_upper:int,color:string,label:string>")
+    north = F.array_max(F.transform("j.geometry.coordinates", lambda p: p[0][2][1]))
+    return f.withColumn("j", j).select("event_id", "j.properties.*", F.size("j.geometry.coordinates").alias("n_polygons"), F.round(north, 4).alias("north"))
+
+
+# --- ingest of two feeds into one catalogue
+
+
+def _feed_docs(spark, d):
+    """(first, second): documents of the two feeds, from the reports of each."""
+    r = X.reports(spark, d)
+    second = F.struct(F.col("id"), F.lit(None).cast("string").alias("mode"), F.col("place").alias("region"), F.expr("CAST(date_add(DATE'1970-01-01', CAST(occurred_us div 86400000000 AS int)) AS string)").alias("event_date"),
+        F.expr("format_string('%02d:%02d:%02d', pmod(occurred_us, 86400000000) div 3600000000, pmod(occurred_us, 3600000000) div 60000000, pmod(occurred_us, 60000000) div 1000000)").alias("event_time"),
+        *[F.col(c).cast("string").alias(n) for c, n in (("magnitude", "magnitude"), ("depth_km", "depth"), ("lat", "latitude"), ("lon", "longitude"))])
+    first = F.struct(F.col("source_event_id").alias("id"), F.struct(F.col("magnitude").alias("mag"), F.expr("occurred_us div 1000").alias("time"), F.expr("updated_us div 1000").alias("updated"), "place", F.col("mag_type").alias("magType")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat", "depth_km").alias("coordinates")).alias("geometry"))
+    read = lambda rows, name, schema: rows.select(F.from_json(F.to_json(F.struct(F.array(name).alias(schema.split(" ")[0]))), schema).alias("j")).select("j.*")
+    return read(r.filter("source = 'USGS'"), first, feeds.USGS_SCHEMA), read(r.filter("source = 'MET'"), second, feeds.MET_SCHEMA)
+
+
+_TWO_FEEDS = f"""{REPORTS_SQL.replace("reports AS (", "all_reports AS (")}, landed AS (
+  SELECT 'MET' AS source, CAST(id AS VARCHAR) AS source_event_id, occurred_us // 1000000 * 1000000 AS occurred_us, magnitude, depth_km, lon, lat FROM all_reports WHERE source = 'MET'
+  UNION ALL SELECT 'USGS', source_event_id, occurred_us // 1000 * 1000, magnitude, depth_km, lon, lat FROM all_reports WHERE source = 'USGS'
+), reports AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source, occurred_us, source_event_id) AS id FROM landed), """
+
+
+@query(f"WITH {CATALOG_SQL.replace(REPORTS_SQL + ', ', _TWO_FEEDS)} SELECT id, source, source_event_id, occurred_us, magnitude, depth_km, lon, lat, cluster_id, is_canonical FROM catalog")
+def u2_two_feeds(spark, d):
+    """Documents of both feeds, parsed, inserted into one catalogue with ids, and clustered."""
+    first, second = _feed_docs(spark, d)
+    none = dedup.conform(X.reports(spark, d).limit(0))
+    state, _ = dedup.add_reports(none, feeds.parse_met(second).unionByName(feeds.parse_usgs(first), allowMissingColumns=True), T20)
+    return state.select("id", "source", "source_event_id", "occurred_us", "magnitude", "depth_km", "lon", "lat", "cluster_id", "is_canonical")
+
+
+@query(q("SELECT id, cluster_id, is_canonical FROM catalog"))
+def st5_recluster_what_is_near(spark, d):
+    """A catalogue clustered without every fourth report, which then come in: clustered anew near them only."""
+    r = X.reports(spark, d)
+    late = r.filter("id % 4 = 0")
+    old = dedup.cluster(r.filter("id % 4 <> 0")).select(*r.columns, "cluster_id", "is_canonical")
+    both = old.unionByName(late.withColumns({"cluster_id": F.when(F.col("source") == "MANUAL", F.col("id")), "is_canonical": F.col("source") == "MANUAL"}))
+    return dedup.recluster(both, late).select("id", "cluster_id", "is_canonical")
+
+
+@query(f"""WITH {REPORTS_SQL} SELECT (SELECT count(*) FROM reports WHERE updated_us < {T20} AND (occurred_us >= {T10} OR source_event_id IS NOT NULL)) AS fetched,
+  (SELECT count(*) FROM reports WHERE updated_us < {T20} AND occurred_us >= {T10}) AS inserted, 0 AS errors""")
+def k5_insert_counts(spark, d):
+    """Counters of a fetch that overlaps what is there: what it brought, and what of it was new."""
+    r = X.reports(spark, d)
+    old, new = r.filter(F.col("occurred_us") < T10), r.filter((F.col("updated_us") < T20) & ((F.col("occurred_us") >= T10) | F.col("source_event_id").isNotNull()))
+    counts = dedup.ingest_counts(new, dedup.insert_if_absent(old, new, ["occurred_us", "id"]), new.limit(0))
+    return counts.withColumn("errors", F.col("errors").cast("int"))
+
+
+@query(f"""WITH {REPORTS_SQL} SELECT CAST(id AS VARCHAR) AS source_event_id, occurred_us // {DAY} * {DAY} + CASE WHEN id % 6 <> 0 THEN 37230000000 ELSE 0 END AS occurred_us, magnitude
+  FROM reports WHERE id % 17 <> 0 AND id % 19 <> 0 AND NOT (id % 3 <> 0 AND id % 29 = 0) AND occurred_us // {DAY} * {DAY} + CASE WHEN id % 6 <> 0 THEN 37230000000 ELSE 0 END >= {T10}""")
+def s6_full_snapshot(spark, d):
+    """The whole list each time, then those since an instant."""
+    return feeds.parse_met(_met_docs(spark, d)).filter(F.col("occurred_us") >= T10).select("source_event_id", "occurred_us", "magnitude")
+
+
+_KINDS = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
+_KNOWN = set(_SHOWN.split(", "))
+
+
+@query(q("SELECT " + ", ".join(c if c in _KNOWN else f"CAST(NULL AS {_KINDS[t]}) AS {c}" for c, t in CATALOG_COLUMNS.items()) + " FROM catalog"))
+def p1_all_columns(spark, d):
+    """All 26 columns of a catalogue; those that the reports lack are null."""
+    return dedup.conform(catalog(spark, d))
+
+
+@query(q("SELECT " + ", ".join("replace(CAST(make_timestamp(occurred_us) AS VARCHAR), ' ', 'T') || 'Z' AS occurred_at" if c == "occurred_at" else c if c in _KNOWN else f"CAST(NULL AS {_KINDS[CATALOG_COLUMNS[c]]}) AS {c}" for c in EXPORT_COLUMNS) + " FROM catalog WHERE is_canonical"))
+def k1_csv_columns(spark, d):
+    """The 21 columns of the CSV export."""
+    return C.export_rows(dedup.conform(catalog(spark, d)).filter("is_canonical"))
+
+
+@query(f"WITH {FOOTPRINTS_SQL} SELECT round(min(l), 6) AS x0, round(max(t), 6) AS y0, round(arg_min(least(r - l, t - b), unit_id), 6) AS step, CAST(round((max(r) - min(l)) / arg_min(least(r - l, t - b), unit_id)) AS INTEGER) AS width, CAST(round((max(t) - min(b)) / arg_min(least(r - l, t - b), unit_id)) AS INTEGER) AS height FROM feet")
+def s9_derived_grid(spark, d):
+    """The raster that polygons make up: cell size of the first, extent of all."""
+    r = X.reports(spark, d)
+    boxes = rasters.polygon_boxes(X.footprint_edges(r), r.select(F.col("id").alias("unit_id"), F.col("magnitude").alias("value")))
+    return rasters.derive_grid(boxes).select(*[F.round(c, 6).alias(c) for c in ("x0", "y0", "step")], "width", "height")
+
+
+_OVERVIEWS = " UNION ALL ".join(f"SELECT {k} AS factor, row // {k} AS row, col // {k} AS col, round(avg(v), 6) AS raw FROM v GROUP BY 2, 3" for k in (2, 4, 8, 16))
+
+
+@query(ORACLES["s11_overview"].split("\n  SELECT row // 4")[0] + f" SELECT * FROM ({_OVERVIEWS})")
+def s11_overviews(spark, d):
+    """Overviews of all four factors."""
+    return rasters.overviews(s9_rasterise(spark, d)).withColumn("raw", F.round("raw", 6))
+
+
+@query(f"WITH {REPORTS_SQL}, v AS (SELECT id AS feature_id, source AS kind, unnest([0, 1, 2]) AS seq, lon, lat, depth_km FROM reports WHERE id % 5 <> 0) SELECT 'faults' AS layer, feature_id, kind, CAST(seq AS INTEGER) AS seq, lon + seq * 0.5::DOUBLE AS x, lat - seq * 0.25::DOUBLE AS y FROM v")
+def s14_overlay_vertices(spark, d):
+    """Lines with heights, some without geometry, as rows of an overlay."""
+    line = F.when(F.col("id") % 5 != 0, F.array(*[F.array(F.col("lon") + n * 0.5, F.col("lat") - n * 0.25, F.col("depth_km")) for n in range(3)]))
+    f = X.reports(spark, d).select(F.col("id").alias("feature_id"), F.create_map(F.lit("kind"), "source").alias("props"), line.alias("coordinates"))
+    return zonal.overlay_features(f, "faults").select("layer", "feature_id", F.col("props")["kind"].alias("kind"), "seq", "x", "y")
+
+
+def _lambert_sql() -> str:
+    b = lambda lat: f"atan(tan(radians({lat})) * (1 - 1 / 298.257223563))"
+    return f"""WITH {REPORTS_SQL}, b AS (SELECT id, {b("lat")} AS b1, {b("30.0::DOUBLE")} AS b2, radians(70.0::DOUBLE) - radians(lon) AS dl FROM reports), h AS (
+      SELECT id, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS g, 2 * asin(sqrt(pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(dl / 2), 2))) AS s FROM b)
+      SELECT id, round(6378137.0 * (s - ((s - sin(s)) * pow(sin(p) * cos(g) / cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(g) / sin(s / 2), 2)) / 298.257223563 / 2), 2) AS dist_m FROM h"""
+
+
+@query(_lambert_sql())
+def h15_spheroid_distance(spark, d):
+    return X.reports(spark, d).select("id", F.round(motion.lambert_m(F.col("lon"), F.col("lat"), F.lit(70.0), F.lit(30.0)), 2).alias("dist_m"))

@@ -56,12 +56,36 @@ STRONG_SQL = "strong AS (SELECT * FROM catalog WHERE is_canonical ORDER BY magni
 SURFACE_SQL = f"""{CATALOG_SQL}, {CELLS_SQL}, {STRONG_SQL}, near AS (
   SELECT s.id AS event_id, s.magnitude, c.row, c.col, c.lon, c.lat, c.vs30,
     greatest(1e-6, sqrt(pow({DIST_SQL.format(lat1="s.lat", lon1="s.lon", lat2="c.lat", lon2="c.lon")}, 2) + pow(s.depth_km * 1000, 2)) / 1000) AS r FROM strong s, cells c
-), shaken AS (SELECT *, {PGA_SQL.format(r="r", vs30="vs30")} AS pga FROM near), surface AS (
+), shaken AS (SELECT *, {PGA_SQL.format(r="r", vs30="vs30")} AS pga FROM near), surface AS MATERIALIZED (
   SELECT event_id, row, col, lon, lat, pga, {MMI_SQL.format(p="pga")} AS mmi FROM shaken WHERE {MMI_SQL.format(p="pga")} >= 2)"""
 
 BANDS_SQL = f"""{SURFACE_SQL}, tops AS (SELECT event_id, max(mmi) AS top FROM surface GROUP BY event_id), bands AS (
   SELECT s.*, (SELECT max(l) FROM (SELECT unnest(range(2, 11)) AS l) WHERE l <= s.mmi AND l < t.top)::INTEGER AS mmi_lower FROM surface s JOIN tops t USING (event_id))"""
 
+#: The same for every canonical event: rows and columns of cells within reach are listed, not tested.
+EVERY_STRONG_SQL = "strong AS MATERIALIZED (SELECT * FROM catalog WHERE is_canonical)"
+EVERY_NEAR_SQL = f"""reach AS (
+  SELECT *, list_min(list_transform(range(56), lambda n: greatest(pow(1.15, n), (c - n * log10(1.15)) / 0.0027))) AS far
+  FROM (SELECT *, (magnitude - 6) * 0.23 + 0.49 + log10(1.385 * 980) + 1.35 - 0.47 * log10(180) - 1 / 2.2 AS c FROM strong)
+), box AS (
+  SELECT *, km / 110.5 AS dlat, km / (greatest(cos(radians(least(abs(lat) + km / 110.5, 89))), 0.02) * 110.5) AS dlon
+  FROM (SELECT *, sqrt(far * far - depth_km * depth_km) AS km FROM reach WHERE far >= depth_km)
+), lines AS (
+  SELECT *, unnest(range(greatest(0, CAST(floor((56 - lat - dlat) / 0.1) AS BIGINT)), least(480, CAST(ceil((56 - lat + dlat) / 0.1) AS BIGINT)))) AS row FROM box
+), near AS (
+  SELECT s.id AS event_id, s.magnitude, c.row, c.col, c.lon, c.lat, c.vs30,
+    greatest(1e-6, sqrt(pow({DIST_SQL.format(lat1="s.lat", lon1="s.lon", lat2="c.lat", lon2="c.lon")}, 2) + pow(s.depth_km * 1000, 2)) / 1000) AS r
+  FROM (SELECT *, unnest(range(greatest(0, CAST(floor((lon - dlon - 44) / 0.1) AS BIGINT)), least(610, CAST(ceil((lon + dlon - 44) / 0.1) AS BIGINT)))) AS col FROM lines) s
+  JOIN cells c ON c.row = s.row AND c.col = s.col"""
+
+
+def every_event(sql: str) -> str:
+    """``sql`` over the surfaces of the strongest events, over those of every canonical event."""
+    out = sql.replace(STRONG_SQL, EVERY_STRONG_SQL)
+    a, b = out.index("near AS ("), out.index("), shaken AS")
+    return out[:a] + EVERY_NEAR_SQL + out[b:]
+
+
 #: The edges of ``fixtures.footprint_edges``.
 FOOTPRINTS_SQL = f"""{REPORTS_SQL}, feet AS (
   SELECT id AS unit_id, lon AS l, lat AS b, lon + (id % 7 * 0.1::DOUBLE + 0.13::DOUBLE) AS r, lat + (id % 5 * 0.1::DOUBLE + 0.17::DOUBLE) AS t,

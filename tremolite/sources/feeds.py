@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ class Source(Protocol):
 
     name: str
 
-    def fetch(self, spark: SparkSession, since: int | None, updated_after: int | None) -> DataFrame: ...
+    def fetch(self, spark: SparkSession, since: int | None = None, updated_after: int | None = None) -> DataFrame: ...
 
 
 def parse_usgs(docs: DataFrame) -> DataFrame:
@@ -36,11 +39,14 @@ def parse_usgs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _met_fields(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({
-        "lon": coordinate(F.col("longitude"), False), "lat": coordinate(F.col("latitude"), True), "mag": first_number(F.col("magnitude")),
-        "dep": first_number(F.col("depth")), "at": met_datetime(F.col("event_date"), F.col("event_time")),
-    })
+def _met_fields(docs: DataFrame) -> DataFrame:
+    """One row for each row of the documents' data, with lon, lat, mag, dep and at. These are made inside the array, before
+    it unfolds: made afterwards, Spark would copy each expression to wherever its column is read."""
+    clean = lambda d: F.struct(
+        d.alias("d"), coordinate(d["longitude"], False).alias("lon"), coordinate(d["latitude"], True).alias("lat"), first_number(d["magnitude"]).alias("mag"),
+        first_number(d["depth"]).alias("dep"), met_datetime(d["event_date"], d["event_time"]).alias("at"),
+    )
+    return docs.select(F.explode(F.transform("data", clean)).alias("r")).select("r.d.*", "r.lon", "r.lat", "r.mag", "r.dep", "r.at")
 
 
 def met_reason(lon: Column, lat: Column) -> Column:
@@ -54,24 +60,45 @@ def met_reason(lon: Column, lat: Column) -> Column:
 
 def parse_met(docs: DataFrame, rejected: bool = False) -> DataFrame:
     """Rows of the second feed (column data), whose numbers are dirty strings. Depth missing or out of [0, 800]: 0."""
-    m = _met_fields(docs.select(F.explode("data").alias("d")).select("d.*")).withColumn("reason", met_reason(F.col("lon"), F.col("lat")))
+    m = _met_fields(docs).withColumn("reason", met_reason(F.col("lon"), F.col("lat")))
     if rejected:
         return m.filter("reason IS NOT NULL")
     depth = F.when(F.col("dep").between(0, 800), F.col("dep")).otherwise(0.0)
     return m.filter("reason IS NULL").select(
-        F.lit("MET").alias("source"), F.col("id").cast("string").alias("source_event_id"), F.unix_micros("at").alias("occurred_us"), F.col("mag").alias("magnitude"),
+        F.lit("MET").alias("source"), F.col("id").cast("string").alias("source_event_id"), F.col("at").alias("occurred_us"), F.col("mag").alias("magnitude"),
         depth.alias("depth_km"), "lon", "lat", F.col("region").alias("place"),
     )
 
 
-def read_usgs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_usgs(spark.read.schema(USGS_SCHEMA).option("multiLine", True).json(path))
+@dataclass(frozen=True)
+class Feed:
+    """A source of documents that land in a folder. ``snapshot``: each document is the whole list, so that what was
+    updated since can't be asked for."""
+
+    name: str
+    schema: str
+    parse: Callable[[DataFrame], DataFrame]
+    landing: str
+    snapshot: bool = False
+
+    def fetch(self, spark: SparkSession, since: int | None = None, updated_after: int | None = None) -> DataFrame:
+        """The rows that have landed, since an instant or updated after one (microseconds)."""
+        rows = self.parse(spark.read.schema(self.schema).option("multiLine", True).json(self.landing))
+        if updated_after is not None and not self.snapshot:
+            rows = rows.filter(F.col("updated_us") >= updated_after)
+        return rows if since is None else rows.filter(F.col("occurred_us") >= since)
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """The rows of what lands, as a stream."""
+        return self.parse(spark.readStream.schema(self.schema).option("multiLine", True).json(self.landing))
+
 
+def usgs(landing: str) -> Feed:
+    return Feed("USGS", USGS_SCHEMA, parse_usgs, landing)
 
-def read_met(spark: SparkSession, path: str, since_us: int | None = None) -> DataFrame:
-    """The whole snapshot, always; ``since_us`` filters afterwards."""
-    rows = parse_met(spark.read.schema(MET_SCHEMA).option("multiLine", True).json(path))
-    return rows if since_us is None else rows.filter(F.col("occurred_us") >= since_us)
+
+def met(landing: str) -> Feed:
+    return Feed("MET", MET_SCHEMA, parse_met, landing, snapshot=True)
 
 
 def fetch_windows(bounds: DataFrame, days: int = 1) -> DataFrame:
@@ -83,15 +110,20 @@ def fetch_windows(bounds: DataFrame, days: int = 1) -> DataFrame:
 
 
 def merge_chunks(rows: DataFrame) -> DataFrame:
-    """Rows of several windows (column chunk) without repeats: the first chunk's report of an id stays."""
-    return first_seen(rows, "source_event_id", ["chunk", "occurred_us", "id"])
+    """Rows of several windows (column chunk) without repeats: the first chunk's report of an id stays, the earliest in it."""
+    return first_seen(rows, "source_event_id", ["chunk", "occurred_us", "magnitude"])
+
 
+def with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
+    """The first source's rows, or the second's if the first can't be read: no such path, or files that can't be read.
 
-def with_fallback(primary, fallback) -> DataFrame:
-    """The first source's rows, or the second's if the first can't be read. Both are calls that return a DataFrame."""
+    Both are calls that return a DataFrame. Any other error is raised: it isn't the source's. A row is read to find out.
+    """
     try:
         df = primary()
         df.limit(1).count()
         return df
-    except Exception:
+    except PySparkException as e:
+        if not any(c in f"{e.getCondition()} {e}" for c in ("PATH_NOT_FOUND", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA")):
+            raise
         return fallback()

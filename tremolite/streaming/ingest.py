@@ -1,36 +1,119 @@
-"""Streaming ingest of landing folders: parse, insert if absent, cluster again; the end state equals a batch run."""
+"""Ingest of landing folders into one catalogue: parse, insert if absent, cluster what is near; by batch or as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import time
+from collections import defaultdict
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..constants import CATALOG_COLUMNS
 from ..operators import dedup
+from ..sources.feeds import Feed
 
+DAY_US = 86_400_000_000
+SYNC = "source string, last_us long, fetched long, inserted long"
+#: Feeds that write the same catalogue take turns.
+_turns: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
 
-def merge_batch(catalog: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The catalogue with the new rows of ``arrivals``, clustered again."""
-    new = dedup.insert_if_absent(catalog, arrivals, ["occurred_us", "id"])
-    both = catalog.drop("cluster_id", "is_canonical").unionByName(new.drop("cluster_id", "is_canonical"), allowMissingColumns=True)
-    return dedup.cluster(both)
 
+class Catalogue:
+    """A catalogue in a folder that the cluster shares: Parquet, one folder a day, so that filters on time and any other
+    column reach the files; and beside it the state of each source."""
 
-def start_ingest(
-    spark: SparkSession, landing: str, schema: str, parse: Callable[[DataFrame], DataFrame], state: str, checkpoint: str, every: str | None = None
-) -> StreamingQuery:
-    """One query for one feed, so that a feed that fails doesn't stop the others.
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
 
-    Each batch writes a new version of the catalogue, ``state``/v<batch>, from the version before it: a batch that is
-    run again after a failure gives the same version. The checkpoint holds the feed's progress, which moves only
-    when a batch has ended. ``every``: trigger interval; without it, all that has landed is taken and the query ends.
-    """
-    rows = parse(spark.readStream.schema(schema).json(landing))
+    def _table(self, name: str, schema: str) -> DataFrame:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def read(self, since_us: int | None = None, before_us: int | None = None) -> DataFrame:
+        """The catalogue's rows; the bounds are on occurred_us, inclusive, and leave other days' folders unread."""
+        rows = self._table("catalog", ", ".join(f"{c} {t}" for c, t in CATALOG_COLUMNS.items()) + ", day int")
+        if since_us is not None:
+            rows = rows.filter((F.col("day") >= since_us // DAY_US) & (F.col("occurred_us") >= since_us))
+        if before_us is not None:
+            rows = rows.filter((F.col("day") <= before_us // DAY_US) & (F.col("occurred_us") <= before_us))
+        return rows.select(*CATALOG_COLUMNS)
+
+    def sync_state(self) -> DataFrame:
+        """(source, last_us, fetched, inserted) of each source's last batch."""
+        return self._table("sync", SYNC).select("source", "last_us", "fetched", "inserted")
+
+    def add(self, arrivals: DataFrame, source: str, now_us: int | None = None) -> None:
+        """Inserts arrivals and clusters what is near them, then notes the source's progress.
+
+        Of the catalogue, all ids are read, but rows only of the days of the arrivals and the days beside them, and only
+        the folders of these days are replaced. They are written aside first. A run again after a failure gives the same
+        rows: known arrivals aren't inserted again, but what is near them is clustered again.
+        """
+        now_us = time.time_ns() // 1000 if now_us is None else now_us
+        with _turns[self.path]:
+            arrivals = dedup.conform(arrivals).persist()
+            try:
+                day = F.floor(F.col("occurred_us") / DAY_US).cast("int")
+                whole = self._table("catalog", ", ".join(f"{c} {t}" for c, t in CATALOG_COLUMNS.items()) + ", day int")
+                key = ["source", "source_event_id"]
+                # a known report may have been moved to another day since: its own day counts too
+                known = whole.select(*key, "day").join(arrivals.select(*key).distinct(), key, "left_semi").select("day")
+                days = sorted({r["day"] + n for r in known.union(arrivals.select(day.alias("day"))).distinct().collect() for n in (-1, 0, 1)})  # days of a batch
+                fresh = dedup.insert_if_absent(whole, arrivals, ["occurred_us", "magnitude", "lon", "lat"])
+                top = whole.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+                here = whole.filter(F.col("day").isin(days)).drop("day")
+                state, inserted = dedup.add_reports(here, fresh, now_us, known=arrivals, top=top)
+                aside = f"{self.path}/aside"
+                state.withColumn("day", day).write.mode("overwrite").parquet(aside)
+                n_new = self.spark.read.parquet(aside).filter(F.col("id") > top).count()
+                rows = self.spark.read.parquet(aside).hint("rebalance", "day")  # a file a day, more for a day with many reports
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/catalog")
+                note = self.spark.createDataFrame([(source, now_us, arrivals.count(), n_new)], SYNC)
+                note.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.path}/sync")
+            finally:
+                arrivals.unpersist()
+
+
+def ingest(catalogue: Catalogue, feeds: list[Feed], since: int | None = None) -> list[tuple[str, str | None]]:
+    """One batch run of each feed into the catalogue, in order of priority. Returns (name, error or None) of each: a feed
+    that can't be read doesn't stop the others. A feed that isn't a snapshot is asked for what changed since its last sync."""
+    out: list[tuple[str, str | None]] = []
+    state = {r["source"]: r["last_us"] for r in catalogue.sync_state().collect()}  # one row a source
+    for feed in by_priority(feeds):
+        try:
+            catalogue.add(feed.fetch(catalogue.spark, since, state.get(feed.name)), feed.name)
+            out.append((feed.name, None))
+        except PySparkException as e:
+            out.append((feed.name, str(e)))
+    return out
 
-    def add(batch: DataFrame, n: int) -> None:
-        old = spark.read.parquet(f"{state}/v{n - 1}") if n else dedup.cluster(batch.limit(0))
-        merge_batch(old, batch).write.mode("overwrite").parquet(f"{state}/v{n}")
 
-    out = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+def by_priority(feeds: list[Feed]) -> list[Feed]:
+    order = {name: n for n, name in enumerate(dedup.SOURCE_PRIORITY)}
+    return sorted(feeds, key=lambda f: (order.get(f.name, len(order)), f.name))
+
+
+def start_ingest(catalogue: Catalogue, feed: Feed, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """One streaming query for one feed, so that a feed that fails doesn't stop the others; several may write one catalogue.
+
+    The checkpoint holds what has been taken; it moves on only when a batch has ended. ``every``: trigger interval
+    ("15 minutes"), the first batch at once; without it, all that has landed is taken and the query ends.
+    """
+    out = feed.stream(catalogue.spark).writeStream.foreachBatch(lambda batch, _: catalogue.add(batch, feed.name)).option("checkpointLocation", f"{checkpoint}/{feed.name}")
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def tick(catalogue: Catalogue, feeds: list[Feed], checkpoint: str) -> list[tuple[str, str | None]]:
+    """Takes all that has landed, one feed after the other in order of priority. Returns (name, error or None) of each."""
+    out: list[tuple[str, str | None]] = []
+    for feed in by_priority(feeds):
+        try:
+            start_ingest(catalogue, feed, checkpoint).awaitTermination()
+            out.append((feed.name, None))
+        except PySparkException as e:
+            out.append((feed.name, str(e)))
+    return out
