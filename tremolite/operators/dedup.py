@@ -21,13 +21,15 @@ def priority(source: Column) -> Column:
     return out
 
 
-def _buckets_near() -> list[Column]:
-    """The buckets of time, latitude and longitude that may hold what is near a report, anywhere on earth."""
-    lon_width = 360 / LON_BUCKETS
-    span = lambda v, d, width: F.sequence(F.floor((v - d) / width), F.floor((v + d) / width))
+def _in_buckets_near(feed: DataFrame) -> DataFrame:
+    """``feed`` once for each bucket (tb, yb, xb) that may hold what is near a report, anywhere on earth."""
+    width = 360 / LON_BUCKETS
+    span = lambda v, d, w: F.explode(F.sequence(F.floor((v - d) / w), F.floor((v + d) / w)))
     half = F.lit(NEAR_LAT) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + NEAR_LAT, F.lit(90.0)))), F.lit(NEAR_LAT / 180))
-    around = F.array_distinct(F.transform(span(F.col("lon"), half, lon_width), lambda x: F.pmod(x, F.lit(LON_BUCKETS))))
-    return [span(F.col("occurred_us"), F.lit(BUCKET_US / 2), BUCKET_US), span(F.col("lat"), F.lit(NEAR_LAT), 2 * NEAR_LAT), around]
+    west = F.floor((F.col("lon") - half) / width)
+    east = F.least(F.floor((F.col("lon") + half) / width), west + (LON_BUCKETS - 1))  # once around at most
+    near = feed.withColumn("tb", span(F.col("occurred_us"), F.lit(BUCKET_US / 2), BUCKET_US)).withColumn("yb", span(F.col("lat"), F.lit(NEAR_LAT), 2 * NEAR_LAT))
+    return near.withColumn("xb", F.explode(F.sequence(west, east))).withColumn("xb", F.pmod("xb", F.lit(LON_BUCKETS)))
 
 
 def near_pairs(reports: DataFrame, few: DataFrame, geodesic: str = "haversine") -> DataFrame:
@@ -39,9 +41,7 @@ def near_pairs(reports: DataFrame, few: DataFrame, geodesic: str = "haversine")
     feed = lambda df: df.filter(F.col("source") != "MANUAL").select("id", "occurred_us", "lon", "lat")
     own = [F.floor(F.col("occurred_us") / BUCKET_US).alias("tb"), F.floor(F.col("lat") / (2 * NEAR_LAT)).alias("yb"), F.pmod(F.floor(F.col("lon") / (360 / LON_BUCKETS)), F.lit(LON_BUCKETS)).alias("xb")]
     a = feed(reports).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "occurred_us", "lon", "lat")], *own)
-    b = feed(few)
-    for name, buckets in zip(("tb", "yb", "xb"), _buckets_near(), strict=True):
-        b = b.withColumn(name, F.explode(buckets))
+    b = _in_buckets_near(feed(few))
     dist = (lambert_m if geodesic == "lambert" else haversine_m)(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
     pairs = a.join(b, ["tb", "yb", "xb"]).filter((F.abs(F.col("a_occurred_us") - F.col("occurred_us")) <= DEDUP_SECONDS * 1_000_000) & (dist <= DEDUP_METRES))
     return pairs.select(F.col("a_id").alias("id"), F.col("id").alias("other_id"))
