@@ -149,12 +149,13 @@ def compare_pairs(surface: DataFrame, pairs: DataFrame) -> DataFrame:
     return one("first_id", -1.0).unionByName(one("second_id", 1.0)).groupBy("first_id", "second_id", "row", "col").agg(F.sum("m").alias("delta"))
 
 
-def regions(bands: DataFrame) -> DataFrame:
-    """Adds region_id, a struct of row and col: connected cells of one band (four neighbours), named by their least cell.
+def region_runs(bands: DataFrame) -> DataFrame:
+    """(event_id, mmi_lower, row, c0, c1, region_id): runs of a band's cells in a raster row and the region of each, a struct
+    of row and col. A region is what is connected (four neighbours), named by its least cell.
 
-    Rows are first cut into runs of one band, so labels move between runs, not cells. Each round takes the least
-    label of overlapping runs above and below, then the label of that label, until no label changes. Labels are
-    checkpointed, so the session needs a checkpoint folder (``spark.checkpoint.dir``, or ``setCheckpointDir``).
+    Labels move between runs, not cells. Each round takes the least label of overlapping runs above and below, then the
+    label of that label, until no label changes. Labels are checkpointed, so the session needs a checkpoint folder
+    (``spark.checkpoint.dir``, or ``setCheckpointDir``).
     """
     key = ["event_id", "mmi_lower"]
     w = Window.partitionBy(*key, "row").orderBy("col")
@@ -173,8 +174,13 @@ def regions(bands: DataFrame) -> DataFrame:
         labels = new.drop("was")
         if not new.filter("region_id < was").limit(1).count():
             break
-    cells = runs.join(labels, [*key, "run"]).select(*key, "row", "region_id", F.explode(F.sequence("c0", "c1")).alias("col"))
-    return bands.join(cells, [*key, "row", "col"])
+    return runs.join(labels, [*key, "run"]).select(*key, "row", "c0", "c1", "region_id")
+
+
+def regions(bands: DataFrame) -> DataFrame:
+    """Adds region_id to the cells of ``bands``, as ``region_runs`` finds them."""
+    cells = region_runs(bands).select("event_id", "mmi_lower", "row", "region_id", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return bands.join(cells, ["event_id", "mmi_lower", "row", "col"])
 
 
 def prune_regions(regions: DataFrame, dx: float, dy: float, min_area: float = 2.5e-4) -> DataFrame:

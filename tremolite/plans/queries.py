@@ -693,10 +693,12 @@ def a19_surface_maximum_every_event(spark, d):
     return _maxima(spark, canonical(spark, d))
 
 
-@query(every_event(ORACLES["g4_band_regions"]).replace(" HAVING sum(c1 - c0 + 1) * 0.01 >= 0.05", ""))
+@query()
 def g4_band_regions_every_event(spark, d):
-    """The least area is the operator's, which is below that of a cell."""
-    return _regions(intensity.prune_regions(intensity.regions(_bands_of(spark, canonical(spark, d))), X.STEP, X.STEP))
+    """From the runs of each region; the operator's least area is below that of a cell, so none is pruned."""
+    key = ["event_id", "mmi_lower", F.col("region_id.row").alias("region_row"), F.col("region_id.col").alias("region_col")]
+    r = intensity.region_runs(_bands_of(spark, canonical(spark, d)))
+    return r.groupBy(*key).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("c0").alias("col0"), F.max("c1").alias("col1"))
 
 
 @query(every_event(ORACLES["g7_zonal_maximum_all_levels"]))
