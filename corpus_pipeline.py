@@ -11,15 +11,20 @@ from tremolite.llm.common import staged
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose best language has a lower cosine than this is in none of the languages.
-LEAST_COSINE = 0.05
+#: A text of so many characters whose best language has a lower cosine is in none of the languages: three times the spread of
+#: the cosine of two random vectors. Shorter texts have too few grams to tell.
+LEAST_COSINE, LEAST_CHARS = 3 / langid.DIMS**0.5, 64
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the corpus has: not ``und``, and near enough to the language's prototype."""
+    """Keeps documents in a language that the corpus has: not ``und``, and near enough to the language's prototype.
+
+    Texts that are null, empty or without a letter go; short ones with a letter stay. Repeated rows are judged alike; no document, none kept.
+    """
     protos = langid.prototypes(docs.filter(~langid.held_out()))
     found = langid.add_language(docs.select(*COLUMNS), protos)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*COLUMNS)
+    near = (F.col("score") >= LEAST_COSINE) | (F.length("text") < LEAST_CHARS)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & near).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of each secret; every document stays."""
+    """Puts a mark in the place of each secret; every document stays, a null text as it is, and repeated rows are treated alike."""
     found = secrets.redact(secrets.find_secrets(docs))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -45,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded bytes, one row a copy."""
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, one row a copy; a null text counts as empty."""
     return bpe.bpe_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
