@@ -277,6 +277,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.prototypes(df.limit(0))).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    draw = random.Random(3)
+    junk = [(-1 - i, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=400)), None, None, 400) for i in range(10)]
+    short = [(-50, "A", None, None, 1), (-51, "OK", None, None, 2), (-52, "Die Katze", None, None, 9)]
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(junk + short, docs.schema)), "")
+    assert sorted(r.doc_id for r in kept.filter("doc_id < 0").collect()) == [-52, -51, -50]
+    scores = langid.predict(spark.createDataFrame(short, docs.schema), langid.prototypes(docs)).collect()
+    assert all(r.lang_pred != "und" for r in scores)
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     copy = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [

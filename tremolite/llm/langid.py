@@ -45,7 +45,7 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bundle (sum) of each text's gram vectors, and each text's number of letters. Grams of no letter don't count."""
     number, _ = _letters()
     out = np.zeros((len(texts), DIMS), np.float32)
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    points = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]  # so that a single letter has a gram
     doc = np.repeat(np.arange(len(texts)), [len(p) for p in points])
     cp = np.concatenate([*points, np.zeros(0, np.uint32)])
     x = number[np.minimum(cp, 0xFFFF)].astype(np.int64)
