@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, licenses, media, mixing, near_dedup, secrets, sharding, topk
+from . import bpe, chat, langid, licenses, media, mixing, near_dedup, repair, secrets, sharding, topk
 from .sql import ORACLES
 
 
@@ -58,10 +58,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_documents(spark, sf_dir))
 
 
+def op13_repair_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scans, op2_minhash_near_dedup, op3_exact_top_k, op4_mix_sources, op5_chat_format,
-        op6_shard_by_curve, op7_license_scans, op8_media_columns, op9_byte_level_bpe, op10_language_id,
+        op6_shard_by_curve, op7_license_scans, op8_media_columns, op9_byte_level_bpe, op10_language_id, op13_repair_structure,
     )
     return {f.__name__: f for f in found}
 
