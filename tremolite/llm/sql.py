@@ -66,3 +66,22 @@ FROM ended AS e LEFT JOIN counted AS c ON e.conv_id IS NOT DISTINCT FROM c.conv_
 
 
 ORACLES["op13_repair_structure"] = _repair_sql()
+
+ORACLES["op12_phrase_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') AS ws FROM pieces), total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang), grams AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, greatest(len(ws) - m + 2, 1)), lambda i: array_to_string(ws[i : i + m - 1], ' '))))) AS phrase FROM w
+), f AS (SELECT lang, phrase, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100), candidates AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE contains(phrase, ' ')
+), cuts AS (
+  SELECT c.*, unnest(range(1, len(ws))) AS k FROM candidates AS c
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.ws, k, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts AS c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN total AS t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM scored AS s WHERE NOT EXISTS (
+    SELECT 1 FROM candidates AS c WHERE c.lang = s.lang AND len(c.ws) > len(s.ws) AND 100 * c.a >= 100 * s.a AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000"""
