@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, licenses, media, mixing, near_dedup, phrases, repair, secrets, sharding, topk
+from . import bpe, chat, langid, licenses, media, mixing, near_dedup, phrases, repair, secrets, sharding, templates, topk
 from .sql import ORACLES
 
 
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_documents(spark, sf_dir))
 
 
+def op11_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_documents(spark, sf_dir))
 
@@ -69,8 +73,8 @@ def op13_repair_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scans, op2_minhash_near_dedup, op3_exact_top_k, op4_mix_sources, op5_chat_format,
-        op6_shard_by_curve, op7_license_scans, op8_media_columns, op9_byte_level_bpe, op10_language_id, op12_phrase_collocations,
-        op13_repair_structure,
+        op6_shard_by_curve, op7_license_scans, op8_media_columns, op9_byte_level_bpe, op10_language_id, op11_extract_text,
+        op12_phrase_collocations, op13_repair_structure,
     )
     return {f.__name__: f for f in found}
 
