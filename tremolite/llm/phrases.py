@@ -22,13 +22,14 @@ LONGEST = 5
 LEAST_COUNT = 100
 #: Ids on a side of a tile. A tile that gets an entry for a quarter of its places is counted in a dense array.
 TILE, DENSE = 1 << 9, 4
-#: Pairs that a task gathers before it adds them to its counts.
-GATHER = 1 << 21
+#: Pairs that a task gathers before it adds them to its counts, and counts that it holds before it hands them on.
+GATHER, HELD = 1 << 20, 1 << 21
 #: Ids are sent to every task if the table of them has so many rows at most (16 bytes a pair, some 150 a word, so 80 MB);
 #: of larger ones each chunk of text is joined with those that it holds.
 SENT_ROWS = 1 << 19
 
-CHUNK = "chunk long, lang string, words binary, heads binary"
+#: Ids as compressed 32-bit integers, ``size`` of them; heads are null where they are the words themselves.
+CHUNK = "chunk long, lang string, size int, words binary, heads binary"
 
 
 def _tokens(raw: np.ndarray) -> list[bytes]:
@@ -60,7 +61,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, tokens in _by_lang(batch):
             counts.setdefault(lang, Counter()).update(tokens)
-        if sum(map(len, counts.values())) > GATHER // 4:
+        if sum(map(len, counts.values())) > HELD // 4:
             yield from told()
     yield from told()
 
@@ -123,14 +124,22 @@ def _short(words: np.ndarray, heads: np.ndarray, width: int) -> tuple[np.ndarray
     return words[keep], heads[keep]
 
 
-def _chunk(lang: str, words: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([None], pa.int64()), pa.array([lang]), pa.array([words.astype("<i4").tobytes()], pa.binary()), pa.array([heads.astype("<i4").tobytes()], pa.binary())], names=["chunk", "lang", "words", "heads"])
+def _packed(ids: np.ndarray | None) -> bytes | None:
+    return None if ids is None else pa.compress(ids.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
 
-def _chunks_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, str] = ("words", "heads")) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _chunk(lang: str, words: np.ndarray, heads: np.ndarray | None) -> pa.RecordBatch:
+    columns = [pa.array([None], pa.int64()), pa.array([lang]), pa.array([len(words)], pa.int32()), pa.array([_packed(words)], pa.binary()), pa.array([_packed(heads)], pa.binary())]
+    return pa.record_batch(columns, names=["chunk", "lang", "size", "words", "heads"])
+
+
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, words, heads) of each chunk."""
     for batch in batches:
-        for r in batch.select(["lang", *columns]).to_pylist():
-            yield r["lang"], *(np.frombuffer(r[c], "<i4") for c in columns)
+        for n in range(batch.num_rows):
+            lang, size, words, heads = (batch.column(c)[n].as_py() for c in ("lang", "size", "words", "heads"))
+            words, heads = (None if x is None else np.frombuffer(pa.decompress(x, decompressed_size=4 * size, codec="zstd"), "<i4") for x in (words, heads))
+            yield lang, words, words if heads is None else heads
 
 
 def _pairs(words: np.ndarray, heads: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,24 +168,41 @@ def tile_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def _added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n, first) if len(n) else n
+
+
 def _count_pairs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[np.ndarray]] = {}
-        size = 0
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        nothing, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+
+        def count() -> None:
+            for lang in list(waiting):
+                new, old = tile_counts(np.concatenate(waiting.pop(lang))), held.get(lang, nothing)
+                held[lang] = _added(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
 
         def told() -> Iterator[pa.RecordBatch]:
-            for lang, codes in waiting.items():
-                code, n = tile_counts(np.concatenate(codes))
-                yield pa.record_batch([pa.array([lang] * len(code), pa.string()), pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "i", "j", "n"])
-            waiting.clear()
+            for lang in list(held):
+                code, n = held.pop(lang)
+                for k in range(0, len(code), GATHER):
+                    c = code[k : k + GATHER]
+                    yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array((c >> 32).astype(np.int32)), pa.array((c & 0xFFFFFFFF).astype(np.int32)), pa.array(n[k : k + GATHER])], names=["lang", "i", "j", "n"])
 
         for lang, words, heads in _chunks_of(batches):
-            _, codes = _pairs(words, heads, width)
-            waiting.setdefault(lang, []).append(codes)
-            size += len(codes)
+            waiting.setdefault(lang, []).append(_pairs(words, heads, width)[1])
+            size += len(waiting[lang][-1])
             if size > GATHER:
-                yield from told()
+                count()
                 size = 0
+                if sum(len(h[0]) for h in held.values()) > HELD:
+                    yield from told()
+        count()
         yield from told()
 
     return run
@@ -187,7 +213,7 @@ def _encode_sent(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             for lang, tokens in _by_lang(batch):
                 words = np.fromiter(map(sent.value.get(lang, {}).get, filter(None, tokens), repeat(-1)), np.int32)
-                yield _chunk(lang, *_short(words, words, 1))
+                yield _chunk(lang, _short(words, words, 1)[0], None)
 
     return run
 
@@ -236,7 +262,7 @@ def _encode_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in r["met"] or []:
                 ids[x["place"]] = x["id"]
             words = ids[np.frombuffer(r["places"], "<i4")]
-            yield _chunk(r["lang"], *_short(words, words, 1))
+            yield _chunk(r["lang"], _short(words, words, 1)[0], None)
 
 
 def _extend_met(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

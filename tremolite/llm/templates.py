@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,12 +48,14 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 WORD = re.compile(r"[a-z]+")
 
 #: A class is in the template if its tokens stand on so many of the host's pages, and the host has so many pages.
-LEAST_SHARE, LEAST_PAGES = 0.5, 2
+LEAST_SHARE, LEAST_PAGES = 0.5, 3
 #: Text is a template's own if all of at least so many pages have it, each as often.
 SAME_PAGES = 10
+#: Elements further down share the path of the one there; longer names of an element are hashed.
+DEEPEST, LONGEST_LABEL = 100, 80
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 12)
 def _tag(whole: str) -> tuple[str, str, bool, str] | None:
     """(kind, name, apart, label) of a tag: kind is ``open`` or ``close``; None for what is no tag."""
     m = TAG.match(whole)
@@ -66,12 +69,15 @@ def _tag(whole: str) -> tuple[str, str, bool, str] | None:
     said = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(named)).lower()))
     words = COMMENT_WORDS if name == "article" else APART_WORDS
     apart = name in APART or given.get("role", "").lower() in APART_ROLES or (name not in ALWAYS and bool(said & words))
-    return "open", name, apart, ".".join([name, *named])
+    label = ".".join([name, *named])
+    return "open", name, apart, label if len(label) <= LONGEST_LABEL else f"{name[:LONGEST_LABEL]}.{hashlib.blake2b(label.encode(), digest_size=8).hexdigest()}"
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 13)
 def _token(mark: str, path: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{mark}{path}".encode(), digest_size=8).digest(), "little", signed=True)
+    """A token's number: odd if it is text, even if it is a tag."""
+    number = int.from_bytes(hashlib.blake2b(f"{mark}{path}".encode(), digest_size=8).digest(), "little", signed=True)
+    return number | 1 if mark == "=" else number & ~1
 
 
 class Page:
@@ -88,6 +94,7 @@ class Page:
         self.chars: dict[str, int] = {}  # of the text inside each path
         self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, apart, main
         self._text: list[str] = []
+        self._names: Counter[str] = Counter()  # of the open elements
         at = 0
         end = len(source)
         while at < end:
@@ -129,14 +136,12 @@ class Page:
         token = _token.__wrapped__("=", f"{path}\n{text}")
         self.tokens.append(token)
         if not apart:
-            self.blocks.append((text, self._path(), main, token))
-            self.chars[self._path()] = self.chars.get(self._path(), 0) + len(text)
-
-    def _path(self) -> str:
-        return self._stack[-1][1] if self._stack else ""
+            self.blocks.append((text, path, main, token))
+            self.chars[path] = self.chars.get(path, 0) + len(text)
 
     def _pop(self) -> None:
         name, path, _, _ = self._stack.pop()
+        self._names[name] -= 1
         if name not in INLINE:
             self.tokens.append(_token(">", path))
 
@@ -144,12 +149,13 @@ class Page:
         if name == "br":
             self._text.append(" ")
             return
-        for n in range(len(self._stack) - 1, -1, -1):
+        for n in range(len(self._stack) - 1, -1, -1) if self._names[name] else ():
             if self._stack[n][0] == name:
                 if name not in INLINE or self._stack[n][2]:
                     self._flush()
                 if name in INLINE:  # blocks opened inside stay open
                     del self._stack[n]
+                    self._names[name] -= 1
                 while len(self._stack) > n and name not in INLINE:
                     self._pop()
                 return
@@ -160,7 +166,7 @@ class Page:
             return
         if name not in INLINE or apart:
             self._flush()
-        if name in ENDS_P and any(e[0] == "p" for e in self._stack):
+        if name in ENDS_P and self._names["p"]:
             self._close("p")
         elif name in SIBLINGS:
             ends, within = SIBLINGS[name]
@@ -172,9 +178,11 @@ class Page:
                     break
         _, path, was_apart, main = self._stack[-1] if self._stack else ("", "", False, False)
         if name not in INLINE:
-            path = f"{path}/{label}"
+            if len(self._stack) < DEEPEST:
+                path = f"{path}/{label}"
             self.tokens.append(_token("<", path))
         if name not in VOID:
+            self._names[name] += 1
             self._stack.append((name, path, apart or was_apart, main or name in MAIN))
 
 
@@ -242,14 +250,18 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     stack.pop()
                 if t == order[c][0]:
                     within.setdefault(c, (stack[-1][0], stack[-1][1]) if stack else (-1, 0))
-                    bad |= {c} & {s[0] for s in stack}
+                    if any(s[0] == c for s in stack):  # the one before isn't complete
+                        bad.add(c)
                     stack.append([c, 1])
-                elif stack and stack[-1][0] == c and order[c][stack[-1][1]] == t:
-                    stack[-1][1] += 1
-                else:  # out of order, or across another class
-                    bad.add(c)
-                    while stack and stack[-1][0] != c:
+                elif any(s[0] == c for s in stack):
+                    while stack[-1][0] != c:  # these reach across the class around them
                         bad.add(stack.pop()[0])
+                    if order[c][stack[-1][1]] == t:
+                        stack[-1][1] += 1
+                    else:
+                        bad.add(c)
+                else:
+                    bad.add(c)
             for c, o in order.items():
                 for n, v in zip(names, (r["host"], c, *within.get(c, (-1, 0)), hashlib.blake2b(np.array(o, "<i8").tobytes(), digest_size=8).hexdigest(), c not in bad), strict=True):
                     out[n].append(v)
@@ -261,20 +273,21 @@ def deduce_templates(pages: DataFrame, url: str = "url", source: str = "html") -
     """(host, pages, main, own, classes): the template of each host; staged.
 
     A token's occurrence vector (how often it stands on each page) is known by a sum of hashes, so that tasks add up parts
-    of it and no task holds a host. Tokens of one vector are a class. Classes on at least half of a host's pages are
+    of it and no task holds a host. Tags of one vector are a class, and each text is one. Classes on at least half of a host's pages are
     compared with each page's order: valid ones keep one order on all pages, and nest in each other's slots. A host's
     template has as many tokens as two pages on average at most.
 
     ``classes`` are the valid ones with their parent and slot, ``own`` the text tokens that are the template's on all pages,
     ``main`` the path of the template's element that holds the article: the first article or main element, else the deepest
-    one that holds half of the text.
+    one that stands once on a page and holds half of the text.
     """
     t = staged(pages.select(F.col(url).cast("string"), F.col(source).cast("string")).mapInArrow(_tokenised, "host string, tokens binary, paths array<struct<path:string,token:long,chars:long>>"), "tokens")
     v = t.select("host", "tokens").mapInArrow(_vectors, "host string, token long, low long, high long, n long")
     v = v.groupBy("host", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("on"), F.max("n").alias("most"))
     n_pages = t.groupBy("host").agg(F.count("*").alias("pages"))
     often = v.join(n_pages, "host").filter((F.col("on") >= LEAST_SHARE * F.col("pages")) & (F.col("pages") >= LEAST_PAGES))
-    vector = F.struct("on", "low", "high")
+    # a text stands in a slot and spans nothing, so it is a class of its own
+    vector = F.struct("on", "low", "high", F.when(F.col("token") % 2 != 0, F.col("token")).alias("text"))
     often = often.withColumn("class", F.dense_rank().over(Window.partitionBy("host").orderBy(F.desc("on"), vector)).cast("long"))
     tokens = staged(often.select("host", "pages", "token", "on", "most", "class"), "classes")
     per_host = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("template"))
@@ -283,13 +296,14 @@ def deduce_templates(pages: DataFrame, url: str = "url", source: str = "html") -
         (F.bool_and("nested") & (F.min("order") == F.max("order"))).alias("valid"), F.when(F.min("parent") == F.max("parent"), F.min("parent")).alias("parent"), F.when(F.min("slot") == F.max("slot"), F.min("slot")).alias("slot"),
     )
     valid = tokens.join(orders.filter("valid").drop("valid"), ["host", "class"])
-    one = valid.groupBy("host", "class").agg(F.first("pages").alias("pages"), F.first("parent").alias("parent"), F.first("slot").alias("slot"), F.sort_array(F.collect_list("token")).alias("tokens"), F.min("on").alias("on"))
-    one = one.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("class", "parent", "slot", "on", "tokens"))).alias("classes"))
-    own = valid.filter((F.col("on") == F.col("pages")) & (F.col("pages") >= SAME_PAGES)).groupBy("host").agg(F.collect_list("token").alias("own"))
+    one = valid.groupBy("host", "class").agg(F.first("parent").alias("parent"), F.first("slot").alias("slot"), F.sort_array(F.collect_list("token")).alias("tokens"), F.min("on").alias("on"))
+    one = one.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("class", "parent", "slot", "on", "tokens"))).alias("classes"))
+    one = tokens.groupBy("host").agg(F.first("pages").alias("pages")).join(one, "host", "left").withColumn("classes", F.coalesce("classes", F.array()))
+    own = valid.filter((F.col("token") % 2 != 0) & (F.col("on") == F.col("pages")) & (F.col("pages") >= SAME_PAGES)).groupBy("host").agg(F.collect_list("token").alias("own"))
     # only elements of the template can be the main one
-    held = t.select("host", F.inline("paths")).groupBy("host", "path", "token").agg(F.sum("chars").alias("chars")).join(valid.select("host", "token"), ["host", "token"])
+    held = t.select("host", F.inline("paths")).groupBy("host", "path", "token").agg(F.sum("chars").alias("chars")).join(valid.select("host", "token", "most"), ["host", "token"])
     last = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1)
-    held = held.withColumns({"named": last.isin(*MAIN), "depth": F.size(F.split("path", "/")), "all": F.max("chars").over(Window.partitionBy("host"))}).filter("named OR 2 * chars >= all")
+    held = held.withColumns({"named": last.isin(*MAIN), "depth": F.size(F.split("path", "/")), "all": F.max("chars").over(Window.partitionBy("host"))}).filter("named OR most = 1 AND 2 * chars >= all")
     main = held.groupBy("host").agg(F.max_by("path", F.struct("named", F.when(F.col("named"), -F.col("depth")).otherwise(F.col("depth")), "chars", "path")).alias("main"))
     out = staged(one.join(main, "host", "left").join(own, "host", "left").select("host", "pages", "main", "own", "classes"), "templates")
     discard(t, tokens)
@@ -320,7 +334,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page, whose blocks are apart by an empty line.
 
     Null html: empty text. Null url: the host without a name. Repeated rows have a row each and count as often in their host's
-    template. A host with one page has no template: its pages' own elements decide. No page, no row. Other columns aren't read.
+    template. A host of one page or two has no template: its pages' own elements decide. No page, no row. Other columns aren't read.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = deduce_templates(p).select("host", "main", "own")
