@@ -291,3 +291,44 @@ def test_recall_at_the_threshold(size):
         whole = near_dedup._mix(mixed.sum(dtype=np.uint64, keepdims=True) ^ (np.array([len(smaller)], np.uint64) * near_dedup._K2)).view(np.int64)[0]
         lost += not (keys[2 * p] == keys[2 * p + 1]).any() and not (len(smaller) == len(larger) or whole in exact)
     assert lost == 0
+
+
+def brute_groups(texts, width, threshold):
+    """The least doc_id of each document's group, by comparing all sets of like sizes."""
+    ids, sets = {}, {}
+    for d, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        shingles = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+        sets[d] = np.unique([ids.setdefault(s, len(ids)) for s in shingles])
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    by_size = sorted((d for d in sets if len(sets[d])), key=lambda d: len(sets[d]))
+    for n, d in enumerate(by_size):
+        for o in by_size[n + 1 :]:
+            if 100 * len(sets[d]) < threshold * len(sets[o]):
+                break
+            both = len(np.intersect1d(sets[d], sets[o], assume_unique=True))
+            if 100 * both >= threshold * (len(sets[d]) + len(sets[o]) - both):
+                a, b = sorted((find(d), find(o)))
+                root[b] = a
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_near_duplicates_of_the_whole_table(spark, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op2_minhash_near_dedup(spark, SF).collect()}
+    assert got == brute_groups(texts, 2, 80)
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Words that every polynomial modulo 2 ** 64 gives one hash: each step appends the word with a and b swapped."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    for _ in range(12):
+        word += word.translate(swap)
+    rows = [(1, word), (2, word.translate(swap)), (3, word[:2048]), (4, word[:2048].translate(swap))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]

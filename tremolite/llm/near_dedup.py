@@ -49,18 +49,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u(31))
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number and of its inverse modulo 2 ** 64."""
-    base = int(_K1)
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n + 1, b, _u)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By byte: lower case of A-Z, white space; by byte: a random value; by band: its registers; by attempt and register: where to borrow; by register: the order of buckets after that."""
@@ -90,10 +78,11 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[
     last = offs[1:][offs[1:] > offs[:-1]] - 1
     ends[last] = word[last]
     a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(20, int(size).bit_length()))
+    # a byte and its place in its word are mixed before they are summed: a polynomial would collide on words made for it
+    place = np.arange(size) - a[np.maximum(np.cumsum(begins) - 1, 0)] if len(a) else np.zeros(size, np.int64)
     total = np.zeros(size + 1, _u)
-    np.cumsum(value[data] * up[:size], out=total[1:])
-    words = _mix((total[b] - total[a]) * down[a] + (b - a).astype(_u) * _K3)
+    np.cumsum(_mix(value[data] + place.astype(_u) * _K2), out=total[1:])
+    words = _mix(total[b] - total[a] + (b - a).astype(_u) * _K3)
     doc = np.searchsorted(offs, a, "right") - 1
     count = np.bincount(doc, minlength=n)
     at = np.concatenate([[0], np.cumsum(count)])
