@@ -51,7 +51,7 @@ def test_units_of_all_levels(spark, few, name):
 EVERY = ["g1_intensity_surfaces", "h9_pga_classes", "g2_filled_bands", "h8_band_attributes", "k4_band_levels", "g3_isolines", "a19_surface_maximum", "g7_zonal_maximum", "g13_event_impact", "t6_top_units"]
 
 
-@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY), "k3_band_export", "k6_band_features"])
+@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY), "k3_band_export", "k6_band_features", "g4_band_regions_every_event", "g2_band_polygons_every_event", "k6_polygon_features_every_event"])
 def test_every_event(spark, few, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{few}/events.parquet/*.parquet'")
@@ -84,7 +84,7 @@ def test_every_event_regions(spark, few):
             cells -= near
             todo += near
         want[e, m, min(found)] = len(found)
-    got = {(r.event_id, r.mmi_lower, (r.region_row, r.region_col)): r.n_cells for r in QUERIES["g4_band_regions_every_event"](spark, few).collect()}
+    got = {(r.event_id, r.mmi_lower, (r.region_row, r.region_col)): r.n_cells for r in QUERIES["g4_band_regions_fine_every_event"](spark, few).collect()}
     assert got == want and len({e for e, *_ in want}) > 3
 
 

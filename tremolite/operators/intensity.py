@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_VS30, MMI_BAND_LEVELS, NODATA
 from ..functions import motion as M
+from .contours import region_runs
 
 #: Side of a tile in degrees, by which events and cells meet.
 TILE = 1.0
@@ -55,19 +56,21 @@ def surface_all(cells: DataFrame, event_id: int, magnitude: float, depth_km: flo
     return _surface(cells.withColumns({name: F.lit(v) for name, v in event.items()}))
 
 
-def surfaces(cells: DataFrame, events: DataFrame, vs30_min: float = 180.0) -> DataFrame:
-    """The cells of intensity 2 or more for each event. Events and cells meet by tile: an event stands in the tiles
+def surfaces(cells: DataFrame, events: DataFrame, vs30_min: float = 180.0, margin: float | None = None) -> DataFrame:
+    """The cells of intensity 2 or more for each event; with ``margin`` also lower ones, all that lie within so many degrees
+    of such a cell at least. Events and cells meet by tile: an event stands in the tiles
     that its reach touches, so neither side is multiplied by the other; the exact test comes last. An event's box of
     degrees is tested before the distance."""
     e = _events(events).withColumn("km", reach_km(F.col("magnitude"), F.col("depth_km"), vs30_min)).filter("km IS NOT NULL")
     dlat = F.col("km") / 110.5
     dlon = F.col("km") / (F.greatest(F.cos(F.radians(F.least(F.abs(F.col("epi_lat")) + dlat, F.lit(89.0)))), F.lit(0.02)) * 110.5)
-    e = e.withColumns({"dlat": F.least(dlat, F.lit(90.0)), "dlon": F.least(dlon, F.lit(180.0))})
+    wider = 0.0 if margin is None else margin
+    e = e.withColumns({"dlat": F.least(dlat + wider, F.lit(90.0)), "dlon": F.least(dlon + wider, F.lit(180.0))})
     span = lambda v, d: F.sequence(F.floor((v - d) / TILE), F.floor((v + d) / TILE))
     e = e.withColumn("tx", F.explode(span(F.col("epi_lon"), F.col("dlon")))).withColumn("ty", F.explode(span(F.col("epi_lat"), F.col("dlat"))))
     c = cells.withColumns({"tx": F.floor(F.col("lon") / TILE), "ty": F.floor(F.col("lat") / TILE)})
     near = c.join(e, ["tx", "ty"]).filter((F.abs(F.col("lon") - F.col("epi_lon")) <= F.col("dlon")) & (F.abs(F.col("lat") - F.col("epi_lat")) <= F.col("dlat")))
-    return _surface(near).filter("mmi >= 2")
+    return _surface(near).filter("mmi >= 2") if margin is None else _surface(near)
 
 
 def intensity_at(pairs: DataFrame) -> DataFrame:
@@ -149,34 +152,6 @@ def compare_pairs(surface: DataFrame, pairs: DataFrame) -> DataFrame:
     return one("first_id", -1.0).unionByName(one("second_id", 1.0)).groupBy("first_id", "second_id", "row", "col").agg(F.sum("m").alias("delta"))
 
 
-def region_runs(bands: DataFrame) -> DataFrame:
-    """(event_id, mmi_lower, row, c0, c1, region_id): runs of a band's cells in a raster row and the region of each, a struct
-    of row and col. A region is what is connected (four neighbours), named by its least cell.
-
-    Labels move between runs, not cells. Each round takes the least label of overlapping runs above and below, then the
-    label of that label, until no label changes. Labels are checkpointed, so the session needs a checkpoint folder
-    (``spark.checkpoint.dir``, or ``setCheckpointDir``).
-    """
-    key = ["event_id", "mmi_lower"]
-    w = Window.partitionBy(*key, "row").orderBy("col")
-    r = bands.select(*key, "row", "col").withColumn("g", F.col("col") - F.row_number().over(w))
-    runs = r.groupBy(*key, "row", "g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("run", F.struct("row", F.col("c0").alias("col"))).drop("g").checkpoint()
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.mmi_lower") == F.col("b.mmi_lower")) & (F.col("a.row") + 1 == F.col("b.row")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1")))
-    edges = touch.select("a.event_id", "a.mmi_lower", F.col("a.run").alias("u"), F.col("b.run").alias("v"))
-    edges = edges.union(edges.select(*key, "v", "u")).checkpoint()
-    labels = runs.select(*key, "run", F.col("run").alias("region_id"))
-    while True:
-        near = edges.join(labels.withColumnRenamed("run", "v"), [*key, "v"]).groupBy(*key, F.col("u").alias("run")).agg(F.min("region_id").alias("near"))
-        step = labels.join(near, [*key, "run"], "left").select(*key, "run", F.least("region_id", F.coalesce("near", "region_id")).alias("region_id"), F.col("region_id").alias("was"))
-        hop = step.select(*key, F.col("run").alias("region_id"), F.col("region_id").alias("further"))
-        new = step.join(hop, [*key, "region_id"]).select(*key, "run", F.least("region_id", "further").alias("region_id"), "was").checkpoint()
-        labels = new.drop("was")
-        if not new.filter("region_id < was").limit(1).count():
-            break
-    return runs.join(labels, [*key, "run"]).select(*key, "row", "c0", "c1", "region_id")
-
-
 def regions(bands: DataFrame) -> DataFrame:
     """Adds region_id to the cells of ``bands``, as ``region_runs`` finds them."""
     cells = region_runs(bands).select("event_id", "mmi_lower", "row", "region_id", F.explode(F.sequence("c0", "c1")).alias("col"))

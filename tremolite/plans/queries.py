@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CATALOG_COLUMNS, EXPORT_COLUMNS, MAX_FETCH_ROWS
+from ..constants import CATALOG_COLUMNS, EXPORT_COLUMNS, MAX_FETCH_ROWS, MMI_CLASSES, MMI_COLORS
 from ..functions import motion, parse
 from ..operators import catalog as C
-from ..operators import dedup, intensity, stats, zonal
+from ..operators import contours, dedup, intensity, stats, zonal
 from ..sources import feeds, rasters
 from . import fixtures as X
 from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, MMI_SQL, ORACLES, PAIRS_SQL, PGA_SQL, REPORTS_SQL, SURFACE_SQL, every_event, query, units_sql
@@ -38,6 +38,15 @@ def sites(spark: SparkSession) -> DataFrame:
     return intensity.load_cells(X.cells(spark), X.X0, X.Y0, X.STEP, X.STEP)
 
 
+#: What a legend says of each level.
+LABELS = {level: f"{MMI_CLASSES[level][0]} ({MMI_CLASSES[level][1]})" for level in MMI_COLORS}
+
+
+def _lookup_sql(table: dict[int, str]) -> str:
+    """SQL for the entry of a level in a table by level."""
+    return f"map {{{', '.join(f'{k}: {v!r}' for k, v in table.items())}}}[mmi_lower]"
+
+
 def q(body: str) -> str:
     return f"WITH {CATALOG_SQL} {body}"
 
@@ -693,12 +702,106 @@ def a19_surface_maximum_every_event(spark, d):
     return _maxima(spark, canonical(spark, d))
 
 
-@query()
-def g4_band_regions_every_event(spark, d):
-    """From the runs of each region; the operator's least area is below that of a cell, so none is pruned."""
+#: Each run's region by the least label of the runs that it touches, until none changes.
+_ALL_REGIONS = """, runs AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY event_id, mmi_lower, row, min(col)) AS run, event_id, mmi_lower, row, min(col) AS c0, max(col) AS c1
+  FROM (SELECT *, col - row_number() OVER (PARTITION BY event_id, mmi_lower, row ORDER BY col) AS g FROM bands WHERE mmi_lower IS NOT NULL) GROUP BY event_id, mmi_lower, row, g
+), touching AS MATERIALIZED (
+  SELECT a.run, b.run AS other FROM runs a JOIN runs b ON a.event_id = b.event_id AND a.mmi_lower = b.mmi_lower AND a.row + 1 = b.row AND a.c0 <= b.c1 AND b.c0 <= a.c1
+), both_ways AS MATERIALIZED (SELECT run, other FROM touching UNION ALL SELECT other, run FROM touching), labels USING KEY (run) AS (
+  SELECT run, run AS label FROM runs
+  UNION SELECT t.other, min(l.label) FROM labels l JOIN both_ways t ON t.run = l.run JOIN recurring.labels o ON o.run = t.other WHERE l.label < o.label GROUP BY t.other
+)
+SELECT r.event_id, r.mmi_lower, f.row AS region_row, f.c0 AS region_col, CAST(sum(r.c1 - r.c0 + 1) AS BIGINT) AS n_cells, min(r.row) AS row0, max(r.row) AS row1, min(r.c0) AS col0, max(r.c1) AS col1
+  FROM runs r JOIN labels l USING (run) JOIN runs f ON f.run = l.label GROUP BY 1, 2, 3, 4"""
+
+
+#: Step of the coarse raster, on which SQL can follow regions.
+COARSE = 0.5
+
+
+def _coarse_sql(sql: str) -> str:
+    """``sql`` of every event over the coarse raster."""
+    for fine, coarse in (("0.1::DOUBLE", "0.5::DOUBLE"), (") / 0.1)", ") / 0.5)"), ("range(480)", "range(96)"), ("range(610)", "range(122)"), ("least(480,", "least(96,"), ("least(610,", "least(122,")):
+        sql = sql.replace(fine, coarse)
+    return sql
+
+
+def _coarse_sites(spark):
+    return intensity.load_cells(X.cells(spark, COARSE), X.X0, X.Y0, COARSE, COARSE)
+
+
+def _run_regions(bands):
+    """Regions from the runs of each."""
     key = ["event_id", "mmi_lower", F.col("region_id.row").alias("region_row"), F.col("region_id.col").alias("region_col")]
-    r = intensity.region_runs(_bands_of(spark, canonical(spark, d)))
-    return r.groupBy(*key).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("c0").alias("col0"), F.max("c1").alias("col1"))
+    return intensity.region_runs(bands).groupBy(*key).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("c0").alias("col0"), F.max("c1").alias("col1"))
+
+
+@query(_coarse_sql(every_event(f"WITH RECURSIVE {BANDS_SQL}{_ALL_REGIONS}")))
+def g4_band_regions_every_event(spark, d):
+    """Regions of every event's bands on a coarse raster, whose least area is above the operator's, so none is pruned."""
+    return _run_regions(intensity.banded(intensity.surfaces(_coarse_sites(spark), canonical(spark, d))))
+
+
+@query()
+def g4_band_regions_fine_every_event(spark, d):
+    """The same on the whole raster, where a flood fill is the test."""
+    return _run_regions(_bands_of(spark, canonical(spark, d)))
+
+
+# --- polygons of bands
+
+#: The share of a quad of cell centres (north-west a, north-east b, south-east c, south-west d) at a level or above it.
+_QUAD_AREA = """CASE (a >= level)::INTEGER + 2 * (b >= level)::INTEGER + 4 * (c >= level)::INTEGER + 8 * (d >= level)::INTEGER
+  WHEN 15 THEN 1 WHEN 1 THEN ab * ad / 2 WHEN 2 THEN (1 - ab) * bc / 2 WHEN 4 THEN (1 - dc) * (1 - bc) / 2 WHEN 8 THEN dc * (1 - ad) / 2
+  WHEN 14 THEN 1 - ab * ad / 2 WHEN 13 THEN 1 - (1 - ab) * bc / 2 WHEN 11 THEN 1 - (1 - dc) * (1 - bc) / 2 WHEN 7 THEN 1 - dc * (1 - ad) / 2
+  WHEN 3 THEN (ad + bc) / 2 WHEN 12 THEN 1 - (ad + bc) / 2 WHEN 9 THEN (ab + dc) / 2 WHEN 6 THEN 1 - (ab + dc) / 2
+  WHEN 5 THEN CASE WHEN (a + b + c + d) / 4 >= level THEN 1 - (1 - ab) * bc / 2 - dc * (1 - ad) / 2 ELSE ab * ad / 2 + (1 - dc) * (1 - bc) / 2 END
+  WHEN 10 THEN CASE WHEN (a + b + c + d) / 4 >= level THEN 1 - ab * ad / 2 - (1 - dc) * (1 - bc) / 2 ELSE (1 - ab) * bc / 2 + dc * (1 - ad) / 2 END END"""
+_CUT = lambda p, q: f"CASE WHEN ({p} >= level) <> ({q} >= level) THEN (level - {p}) / ({q} - {p}) END AS {p}{q}"
+
+
+def _wide(sql: str) -> str:
+    """``sql`` of every event with the cells around those within reach, of whatever intensity."""
+    sql = sql.replace("km / 110.5 AS dlat", "km / 110.5 + 0.11 AS dlat").replace("* 110.5) AS dlon", "* 110.5) + 0.11 AS dlon")
+    return sql.replace(f" FROM shaken WHERE {MMI_SQL.format(p='pga')} >= 2)", " FROM shaken)")
+
+
+_POLYGONS_SQL = _wide(every_event(f"""WITH {SURFACE_SQL}, quads AS (
+  SELECT a.event_id, a.mmi AS a, b.mmi AS b, c.mmi AS c, d.mmi AS d FROM surface a JOIN surface b ON b.event_id = a.event_id AND b.row = a.row AND b.col = a.col + 1
+    JOIN surface c ON c.event_id = a.event_id AND c.row = a.row + 1 AND c.col = a.col + 1 JOIN surface d ON d.event_id = a.event_id AND d.row = a.row + 1 AND d.col = a.col
+), leveled AS (
+  SELECT *, {_CUT("a", "b")}, {_CUT("b", "c")}, {_CUT("d", "c")}, {_CUT("a", "d")} FROM (SELECT *, unnest(range(2, CAST(floor(greatest(a, b, c, d)) AS BIGINT) + 1)) AS level FROM quads)
+), above AS (SELECT event_id, level, sum({_QUAD_AREA}) * 0.01 AS area FROM leveled GROUP BY event_id, level), band_areas AS (
+  SELECT u.event_id, CAST(u.level AS INTEGER) AS mmi_lower, round(u.area - coalesce(v.area, 0), 6) AS area FROM above u LEFT JOIN above v ON v.event_id = u.event_id AND v.level = u.level + 1
+) SELECT * FROM band_areas WHERE area > 0"""))
+
+
+def _rings(spark, d):
+    return contours.band_rings(intensity.surfaces(sites(spark), canonical(spark, d), margin=X.STEP + 0.01), GRID)
+
+
+def _band_areas(rings):
+    return rings.groupBy("event_id", "mmi_lower").agg(F.round(F.sum("area"), 6).alias("area")).filter("area > 0")
+
+
+@query(_POLYGONS_SQL)
+def g2_band_polygons_every_event(spark, d):
+    """Areas of every event's filled bands, by their rings; the SQL adds up what each quad of cell centres holds."""
+    return _band_areas(_rings(spark, d))
+
+
+@query(f"SELECT event_id, mmi_lower, CAST(least(mmi_lower + 1, 10) AS INTEGER) AS mmi_upper, {_lookup_sql(MMI_COLORS)} AS color, {_lookup_sql(LABELS)} AS label, area FROM ({_POLYGONS_SQL})")
+def k6_polygon_features_every_event(spark, d):
+    """GeoJSON features of every polygon, read back: areas of each band by the rings' corners."""
+    f = contours.polygon_features(contours.band_polygons(_rings(spark, d)))
+    j = F.from_json("feature", "geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<mmi_lower:int,mmi_upper:int,color:string,label:string>")
+    # from a ring's first corner, so that the digits of far corners don't cancel
+    corner = lambda r, i, k: r[i][k] - r[0][k]
+    twice = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda s, i: s + corner(r, i, 0) * corner(r, i + 1, 1) - corner(r, i + 1, 0) * corner(r, i, 1))
+    area = F.aggregate("j.geometry.coordinates", F.lit(0.0), lambda s, r: s + twice(r) / 2)
+    f = f.withColumn("j", j).select("event_id", "j.properties.*", area.alias("area"))
+    return f.groupBy("event_id", "mmi_lower", "mmi_upper", "color", "label").agg(F.round(F.sum("area"), 6).alias("area")).filter("area > 0")
 
 
 @query(every_event(ORACLES["g7_zonal_maximum_all_levels"]))
