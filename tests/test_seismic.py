@@ -153,3 +153,13 @@ def test_holes_and_simplification(spark):
     assert [tuple(r) for r in zonal.points_in_polygons(pts, edges).collect()] == [(1, 7)]
     assert zonal.areas(edges).first().area == 12.0
     assert zonal.simplify(edges, 0.01).count() == 8
+
+
+@pytest.mark.parametrize("name", ["j1_space_time_pairs", "g1_intensity_surfaces_every_event", "g2_band_polygons_every_event", "g7_zonal_maximum_every_event", "g13_event_impact_every_event", "t6_top_units_every_event"])
+def test_no_exploded_rows_are_broadcast(spark, few, name):
+    plan = QUERIES[name](spark, few)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for n, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((k for k in range(n + 1, len(plan)) if depth[k] <= depth[n]), len(plan))
+            assert not [x for x in plan[n:below] if "Generate explode(sequence(" in x], line

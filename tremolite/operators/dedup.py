@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CATALOG_COLUMNS, DEDUP_METRES, DEDUP_SECONDS, SOURCE_PRIORITY
+from ..constants import CATALOG_COLUMNS, DEDUP_METRES, DEDUP_SECONDS, EARTH_RADIUS_M, SOURCE_PRIORITY
 from ..functions.motion import haversine_m, lambert_m
 
 #: Buckets are twice as wide as the window: what is near a report lies in two of them in each dimension, mostly.
 BUCKET_US = 2 * DEDUP_SECONDS * 1_000_000
 #: 50 km are less than 0.46 degrees of latitude anywhere. Longitude has a whole number of buckets around the earth.
 NEAR_LAT, LON_BUCKETS = 0.46, 212
+#: All in a cell are near each other: half a minute, and some 31 km from corner to corner at most.
+CELL_US, CELL_DEG = DEDUP_SECONDS * 500_000, 0.2
 
 
 def priority(source: Column) -> Column:
@@ -21,29 +23,43 @@ def priority(source: Column) -> Column:
     return out
 
 
-def _in_buckets_near(feed: DataFrame) -> DataFrame:
-    """``feed`` once for each bucket (tb, yb, xb) that may hold what is near a report, anywhere on earth."""
+def _in_buckets_near(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (t0, t1, lon0, lon1, lat0, lat1) once for each bucket (tb, yb, xb) that may hold what is near one, anywhere on earth."""
     width = 360 / LON_BUCKETS
-    span = lambda v, d, w: F.explode(F.sequence(F.floor((v - d) / w), F.floor((v + d) / w)))
-    half = F.lit(NEAR_LAT) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + NEAR_LAT, F.lit(90.0)))), F.lit(NEAR_LAT / 180))
-    west = F.floor((F.col("lon") - half) / width)
-    east = F.least(F.floor((F.col("lon") + half) / width), west + (LON_BUCKETS - 1))  # once around at most
-    near = feed.withColumn("tb", span(F.col("occurred_us"), F.lit(BUCKET_US / 2), BUCKET_US)).withColumn("yb", span(F.col("lat"), F.lit(NEAR_LAT), 2 * NEAR_LAT))
+    span = lambda lo, hi, d, w: F.explode(F.sequence(F.floor((F.col(lo) - d) / w), F.floor((F.col(hi) + d) / w)))
+    far = F.greatest(F.abs("lat0"), F.abs("lat1"))
+    half = F.lit(NEAR_LAT) / F.greatest(F.cos(F.radians(F.least(far + NEAR_LAT, F.lit(90.0)))), F.lit(NEAR_LAT / 180))
+    west = F.floor((F.col("lon0") - half) / width)
+    east = F.least(F.floor((F.col("lon1") + half) / width), west + (LON_BUCKETS - 1))  # once around at most
+    near = boxes.withColumn("tb", span("t0", "t1", F.lit(BUCKET_US / 2), BUCKET_US)).withColumn("yb", span("lat0", "lat1", F.lit(NEAR_LAT), 2 * NEAR_LAT))
     return near.withColumn("xb", F.explode(F.sequence(west, east))).withColumn("xb", F.pmod("xb", F.lit(LON_BUCKETS)))
 
 
+def _own_bucket() -> list[Column]:
+    return [F.floor(F.col("occurred_us") / BUCKET_US).alias("tb"), F.floor(F.col("lat") / (2 * NEAR_LAT)).alias("yb"), F.pmod(F.floor(F.col("lon") / (360 / LON_BUCKETS)), F.lit(LON_BUCKETS)).alias("xb")]
+
+
+def _feed(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("source") != "MANUAL").select("id", "occurred_us", "lon", "lat")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df``, computed once where the session has a checkpoint folder; else computed wherever it is read."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def near_pairs(reports: DataFrame, few: DataFrame, geodesic: str = "haversine") -> DataFrame:
     """(id, other_id): reports of feeds (id) within 60 s and 50 km of those of ``few`` (other_id), both inclusive.
 
     An equi-join on buckets of time, latitude and longitude: ``reports`` stand in their own bucket, ``few`` in all that
     may hold what is near them (about eight), so every pair meets exactly once; time and distance then decide.
+    Neither side is ever broadcast: Spark's estimate doesn't see that buckets multiply the rows.
     """
-    feed = lambda df: df.filter(F.col("source") != "MANUAL").select("id", "occurred_us", "lon", "lat")
-    own = [F.floor(F.col("occurred_us") / BUCKET_US).alias("tb"), F.floor(F.col("lat") / (2 * NEAR_LAT)).alias("yb"), F.pmod(F.floor(F.col("lon") / (360 / LON_BUCKETS)), F.lit(LON_BUCKETS)).alias("xb")]
-    a = feed(reports).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "occurred_us", "lon", "lat")], *own)
-    b = _in_buckets_near(feed(few))
+    a = _feed(reports).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "occurred_us", "lon", "lat")], *_own_bucket())
+    point = {"t0": "occurred_us", "t1": "occurred_us", "lon0": "lon", "lon1": "lon", "lat0": "lat", "lat1": "lat"}
+    b = _in_buckets_near(_feed(few).withColumns({k: F.col(v) for k, v in point.items()})).drop(*point)
     dist = (lambert_m if geodesic == "lambert" else haversine_m)(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
-    pairs = a.join(b, ["tb", "yb", "xb"]).filter((F.abs(F.col("a_occurred_us") - F.col("occurred_us")) <= DEDUP_SECONDS * 1_000_000) & (dist <= DEDUP_METRES))
+    pairs = a.join(b.hint("merge"), ["tb", "yb", "xb"]).filter((F.abs(F.col("a_occurred_us") - F.col("occurred_us")) <= DEDUP_SECONDS * 1_000_000) & (dist <= DEDUP_METRES))
     return pairs.select(F.col("a_id").alias("id"), F.col("id").alias("other_id"))
 
 
@@ -53,8 +69,41 @@ def neighbour_pairs(reports: DataFrame, geodesic: str = "haversine") -> DataFram
 
 
 def cluster_ids(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
-    """(id, cluster_id) of feed reports: the least id near a report. Clusters aren't transitive."""
-    return neighbour_pairs(reports, geodesic).groupBy("id").agg(F.min("other_id").alias("cluster_id"))
+    """(id, cluster_id) of feed reports: the least id near a report. Clusters aren't transitive.
+
+    Reports of one cell (30 s, 0.2 degrees) are all near each other, so a cell stands for its reports by its least id and
+    its bounds. A report meets the cells near it: those wholly near it count by their least id, and only of those that lie
+    partly near, and whose least id is below what the report has found, are the reports with lower ids tested. So reports of
+    one place and minute, however many, are never paired.
+    """
+    cell = [F.floor(F.col("occurred_us") / CELL_US).alias("tc"), F.floor(F.col("lat") / CELL_DEG).alias("yc"), F.floor(F.col("lon") / CELL_DEG).alias("xc")]
+    feed, key = _feed(reports), ["tc", "yc", "xc"]
+    bounds = [f(c).alias(f"{name}{n}") for c, name in (("occurred_us", "t"), ("lon", "lon"), ("lat", "lat")) for n, f in enumerate((F.min, F.max))]
+    cells = feed.groupBy(*cell).agg(F.min("id").alias("least"), F.count("*").alias("n"), *bounds)
+    met = feed.withColumns({c: e for c, e in zip(("tb", "yb", "xb"), _own_bucket(), strict=True)}).join(_in_buckets_near(cells).hint("merge"), ["tb", "yb", "xb"])
+    metres = lambert_m if geodesic == "lambert" else haversine_m
+    window = DEDUP_SECONDS * 1_000_000
+    t, lat, lon = F.col("occurred_us"), F.col("lat"), F.col("lon")
+    off = [F.least(F.abs(lon - F.col(c)), 360 - F.abs(lon - F.col(c))) for c in ("lon0", "lon1")]
+    # bounds of time and distance to what a cell holds; distances with a margin for the spheroid
+    most_t, least_t = F.greatest(F.abs(t - F.col("t0")), F.abs(t - F.col("t1"))), F.greatest(F.lit(0), F.col("t0") - t, t - F.col("t1"))
+    low, high = F.least(F.abs("lat0"), F.abs("lat1"), F.abs(lat)), F.greatest(F.abs("lat0"), F.abs("lat1"), F.abs(lat))
+    low = F.when(F.signum("lat0") != F.signum("lat1"), 0.0).otherwise(low)
+    chord = lambda dy, dx, cos: F.asin(F.sqrt(F.least(F.lit(1.0), F.pow(F.sin(F.radians(dy) / 2), F.lit(2.0)) + F.pow(F.cos(F.radians(cos)) * F.sin(F.radians(dx) / 2), F.lit(2.0))))) * (2 * EARTH_RADIUS_M)
+    most = chord(F.greatest(F.abs(lat - F.col("lat0")), F.abs(lat - F.col("lat1"))), F.greatest(*off), low)
+    least = chord(F.greatest(F.lit(0.0), F.col("lat0") - lat, lat - F.col("lat1")), F.when(lon.between(F.col("lon0"), F.col("lon1")), 0.0).otherwise(F.least(*off)), high)
+    whole = F.when(F.col("n") == 1, (most_t <= window) & (metres(lon, lat, F.col("lon0"), F.col("lat0")) <= DEDUP_METRES)).otherwise((most_t <= window) & (most <= DEDUP_METRES * 0.99))
+    partly = (F.col("n") > 1) & (least_t <= window) & (least <= DEDUP_METRES * 1.01)
+    met = met.withColumn("whole", whole).filter(F.col("whole") | partly)
+    found = met.groupBy("id").agg(
+        F.first("occurred_us").alias("occurred_us"), F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.min(F.when(F.col("whole"), F.col("least"))).alias("best"),
+        F.collect_list(F.when(~F.col("whole"), F.struct("least", *key))).alias("partly"),
+    )
+    found = once(found)
+    rest = found.withColumn("p", F.explode("partly")).filter("p.least < best").select(F.col("id").alias("a_id"), F.col("occurred_us").alias("a_us"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), "best", *[f"p.{k}" for k in key])
+    tested = rest.hint("merge").join(feed.select("*", *cell), key).filter((F.col("id") < F.col("best")) & (F.abs(F.col("a_us") - t) <= window) & (metres(F.col("a_lon"), F.col("a_lat"), lon, lat) <= DEDUP_METRES))
+    every = found.select("id", "best").unionByName(tested.select(F.col("a_id").alias("id"), F.col("id").alias("best")))
+    return every.groupBy("id").agg(F.min("best").alias("cluster_id"))
 
 
 def mark_canonical(clustered: DataFrame) -> DataFrame:
@@ -65,7 +114,7 @@ def mark_canonical(clustered: DataFrame) -> DataFrame:
 
 def cluster(reports: DataFrame, geodesic: str = "haversine") -> DataFrame:
     """``reports`` with cluster_id and is_canonical; a manual report is a cluster of its own."""
-    ids = cluster_ids(reports, geodesic)
+    ids = cluster_ids(reports, geodesic).hint("merge")  # as many as reports, which Spark's estimate doesn't see
     return mark_canonical(reports.drop("cluster_id", "is_canonical").join(ids, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id")))
 
 

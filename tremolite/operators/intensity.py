@@ -60,7 +60,7 @@ def surfaces(cells: DataFrame, events: DataFrame, vs30_min: float = 180.0, margi
     """The cells of intensity 2 or more for each event; with ``margin`` also lower ones, all that lie within so many degrees
     of such a cell at least. Events and cells meet by tile: an event stands in the tiles
     that its reach touches, so neither side is multiplied by the other; the exact test comes last. An event's box of
-    degrees is tested before the distance."""
+    degrees is tested before the distance. Spark doesn't see how many rows tiles make of an event, so the join isn't left to its estimate."""
     e = _events(events).withColumn("km", reach_km(F.col("magnitude"), F.col("depth_km"), vs30_min)).filter("km IS NOT NULL")
     dlat = F.col("km") / 110.5
     dlon = F.col("km") / (F.greatest(F.cos(F.radians(F.least(F.abs(F.col("epi_lat")) + dlat, F.lit(89.0)))), F.lit(0.02)) * 110.5)
@@ -69,7 +69,7 @@ def surfaces(cells: DataFrame, events: DataFrame, vs30_min: float = 180.0, margi
     span = lambda v, d: F.sequence(F.floor((v - d) / TILE), F.floor((v + d) / TILE))
     e = e.withColumn("tx", F.explode(span(F.col("epi_lon"), F.col("dlon")))).withColumn("ty", F.explode(span(F.col("epi_lat"), F.col("dlat"))))
     c = cells.withColumns({"tx": F.floor(F.col("lon") / TILE), "ty": F.floor(F.col("lat") / TILE)})
-    near = c.join(e, ["tx", "ty"]).filter((F.abs(F.col("lon") - F.col("epi_lon")) <= F.col("dlon")) & (F.abs(F.col("lat") - F.col("epi_lat")) <= F.col("dlat")))
+    near = c.hint("merge").join(e, ["tx", "ty"]).filter((F.abs(F.col("lon") - F.col("epi_lon")) <= F.col("dlon")) & (F.abs(F.col("lat") - F.col("epi_lat")) <= F.col("dlat")))
     return _surface(near).filter("mmi >= 2") if margin is None else _surface(near)
 
 
@@ -81,8 +81,8 @@ def intensity_at(pairs: DataFrame) -> DataFrame:
 
 def banded(surface: DataFrame) -> DataFrame:
     """Adds mmi_lower, mmi_upper, color, label; cells in no band go. A level not below its event's maximum is skipped."""
-    top = surface.groupBy("event_id").agg(F.max("mmi").alias("top"))
-    b = surface.join(top, "event_id").withColumn("mmi_lower", M.band_of(F.col("mmi"), F.col("top"))).filter("mmi_lower IS NOT NULL").drop("top")
+    top = F.max("mmi").over(Window.partitionBy("event_id"))  # a join would make the surface twice
+    b = surface.withColumn("top", top).withColumn("mmi_lower", M.band_of(F.col("mmi"), F.col("top"))).filter("mmi_lower IS NOT NULL").drop("top")
     low = F.col("mmi_lower")
     return b.withColumns({"mmi_upper": M.band_upper(low), "color": M.band_color(low), "label": M.mmi_class_label(low)})
 
@@ -126,11 +126,14 @@ def band_features(bands: DataFrame, half: float) -> DataFrame:
 def isolines(surface: DataFrame, levels: tuple[int, ...] = MMI_BAND_LEVELS) -> DataFrame:
     """(event_id, level, x1, y1, x2, y2): marching squares on quads of four cell centres, with linear interpolation.
 
-    The quad's corners meet by joins on row and column. Each level gives the crossings of the quad's sides in
-    order; two crossings are one segment, four are two (a saddle, split by the mean of the corners).
+    Each cell goes to the four quads that it is a corner of, so that one shuffle brings the corners together. Each level gives
+    the crossings of the quad's sides in order; two crossings are one segment, four are two (a saddle, split by the mean of
+    the corners).
     """
-    at = lambda name, dr, dc: surface.select("event_id", (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("mmi").alias("m")).alias(name))
-    q = at("a", 0, 0).join(at("b", 0, 1), ["event_id", "row", "col"]).join(at("c", 1, 1), ["event_id", "row", "col"]).join(at("d", 1, 0), ["event_id", "row", "col"])
+    corner = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col")) for name, dr, dc in (("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 0))]))
+    each = surface.select("event_id", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("mmi").alias("m")).alias("p"), corner.alias("q"))
+    q = each.groupBy("event_id", F.col("q.row").alias("row"), F.col("q.col").alias("col")).agg(*[F.max(F.when(F.col("q.name") == name, F.col("p"))).alias(name) for name in "abcd"])
+    q = q.filter("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL")
     lo, hi = F.least("a.m", "b.m", "c.m", "d.m"), F.greatest("a.m", "b.m", "c.m", "d.m")
     q = q.withColumn("level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda v: (v > lo) & (v <= hi))))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import LEVEL_FIELDS
 from ..sources.rasters import cell_of
 from . import intensity
+from .dedup import once
 
 def map_features(raw: DataFrame, level: str, *keep: str) -> DataFrame:
     """(level, name, parent, division, population, reject_reason) from (props map<string,string>), after the columns
@@ -141,15 +142,22 @@ def touched_cells(inside: DataFrame, points: DataFrame, grid: tuple, crossed: Da
     return (cells.unionByName(crossed) if crossed is not None else cells).distinct()
 
 
+def zonal_maximum(bands: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(event_id, unit_id, mmi_max): the highest band among each unit's cells (``mapping``: unit_id, row, col).
+
+    Spark's estimate doesn't see how many cells edges unfold to, so the mapping is never broadcast.
+    """
+    return bands.select("event_id", "row", "col", "mmi_lower").join(mapping.hint("merge"), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
+
+
 def impact(events: DataFrame, cells: DataFrame, units: DataFrame, mapping: DataFrame, points: DataFrame, grid: tuple, every_unit: bool = False) -> DataFrame:
     """(event_id, level, unit_id, name, parent, mmi_max, mmi_repr): worst band of each unit that an event's bands reach,
     and the intensity at the unit's representative point (1 dp). All levels take one join, all joins are on keys.
 
     ``every_unit`` adds the units that no band reaches, with 0: events times units rows, for the few events of a report.
     """
-    surface = intensity.surfaces(cells, events)
-    bands = intensity.banded(surface).select("event_id", "row", "col", "mmi_lower")
-    worst = bands.join(mapping, ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
+    events = once(events)  # read three times, and each time clustered anew otherwise
+    worst = zonal_maximum(intensity.banded(intensity.surfaces(cells, events)), mapping)
     if every_unit:
         asked = events.select(F.col("id").alias("event_id")).crossJoin(units.select("unit_id"))
         worst = asked.join(worst, ["event_id", "unit_id"], "left").withColumn("mmi_max", F.coalesce("mmi_max", F.lit(0)))

@@ -564,7 +564,7 @@ def g7_zonal_maximum(spark, d):
 
 
 def _zonal(spark, events, levels=X.LEVELS):
-    return _bands_of(spark, events).join(_mapping(spark, X.units(spark, levels)), ["row", "col"]).groupBy("event_id", "unit_id").agg(F.max("mmi_lower").alias("mmi_max"))
+    return zonal.zonal_maximum(_bands_of(spark, events), _mapping(spark, X.units(spark, levels)))
 
 
 @query(f"WITH {REPORTS_SQL}, {units_sql()} SELECT r.id AS point_id, u.unit_id FROM reports r JOIN units u ON r.lon >= u.minx AND r.lon < u.maxx AND r.lat >= u.miny AND r.lat < u.maxy")
