@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,56 @@ def test_words_made_to_collide_are_told_apart(spark):
     rows = [(1, word), (2, word.translate(swap)), (3, word[:2048]), (4, word[:2048].translate(swap))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def full_top(ids, vectors, queries, k):
+    """(query, rank, vec_id, score) from all scores."""
+    w = np.floor(vectors.astype(float) * 64).astype(np.int64)
+    out = []
+    for q in queries:
+        scores = w @ w[q]
+        order = sorted((i for i in range(len(ids)) if i != q), key=lambda i: (-scores[i], ids[i]))[:k]
+        out += [(ids[q], n, ids[i], int(scores[i])) for n, i in enumerate(order, 1)]
+    return sorted(out)
+
+
+@pytest.fixture
+def maxscore_calls(monkeypatch):
+    calls = []
+    real = topk.maxscore
+
+    def counted(queries, postings, lo, hi, thresholds):
+        calls.append(postings.shape[1])
+        return real(queries, postings, lo, hi, thresholds)
+
+    monkeypatch.setattr(topk, "maxscore", counted)
+    return calls
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_maxscore_runs_on_every_given_table(spark, maxscore_calls, sf):
+    """What a task of the query does with the table: all rows but the first few hundred of a shard are searched by bounds."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, vectors = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
+    table = lambda some: pa.table({"id": pa.array([ids[i] for i in some]), "e": pa.array([vectors[i].tolist() for i in some], pa.list_(pa.float64()))})
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    got = topk._search(20)(table(asked), table(range(len(ids)))).to_pylist()
+    assert sum(maxscore_calls) == len(ids) - topk.FIRST_ROWS > 0
+    ranked = sorted((r["query_id"], -r["score"], r["vec_id"]) for r in got)
+    assert [(q, v, -s) for q, s, v in ranked] == [(q, v, s) for q, _, v, s in full_top(ids, vectors, asked, 20)]
+
+
+@pytest.mark.parametrize("kind", ["skewed", "equal", "few"])
+def test_maxscore_on_several_pieces(maxscore_calls, monkeypatch, kind):
+    monkeypatch.setattr(topk, "PIECE_ROWS", 100)
+    monkeypatch.setattr(topk, "FIRST_ROWS", 30)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(630, 24)) * (2.0 ** -np.arange(24) if kind == "skewed" else 1)
+    v = np.round(v) if kind == "equal" else v[:35] if kind == "few" else v
+    ids = rng.permutation(10_000)[: len(v)].tolist()
+    shard = topk.Shard(np.array(ids), np.floor(v * 64))
+    asked = list(range(0, len(v), 7))
+    query, vec, score = shard.best(np.array([ids[q] for q in asked]), np.floor(v[asked] * 64), 20)
+    ranked = sorted((ids[asked[q]], -s, i) for q, s, i in zip(query.tolist(), score.tolist(), vec.tolist(), strict=True))
+    assert [(q, i, -s) for q, s, i in ranked] == [(q, i, s) for q, _, i, s in full_top(ids, v, asked, 20)]
+    assert sum(maxscore_calls) == len(v) - 30

@@ -13,8 +13,9 @@ from .common import staged
 SHARD_ROWS, QUERY_ROWS = 65_536, 65_536
 #: A smaller table is cut finer, so that all cores work, but not below so many vectors.
 LEAST_ROWS = 2048
-#: Rows of a shard and queries that are searched at once. Thresholds rise from one piece of rows to the next.
-PIECE_ROWS, QUERIES_AT_ONCE = 4096, 256
+#: Rows of a shard and queries that are searched at once. Thresholds rise from one piece of rows to the next; the first one,
+#: which is scored in full, is small: it only has to give each query as many rows as are asked for.
+FIRST_ROWS, PIECE_ROWS, QUERIES_AT_ONCE = 256, 4096, 256
 #: Terms of a step, and the share of rows in the race above which a step takes them all.
 STEP, DENSE = 8, 0.05
 #: Components up to this size (after scaling) go into matrices of doubles; vectors with a larger one are scored as whole numbers.
@@ -31,7 +32,8 @@ def maxscore(queries: np.ndarray, postings: np.ndarray, lo: np.ndarray, hi: np.n
     term's contribution to a query lies in an interval. Terms are taken by the width of theirs, over all queries. The
     narrowest ones are not essential as long as all their widths together can't lift a row from the sum of least
     contributions to the threshold. The essential lists are traversed for all rows. The other terms are probed in
-    steps, only while and where their bounds still let a row reach the threshold.
+    steps, only while and where their bounds still let a row reach the threshold: for the rows that compete for any query
+    while many pairs of row and query are left, then pair by pair.
     """
     dims = len(postings)
     high, low = np.maximum(queries * lo, queries * hi), np.minimum(queries * lo, queries * hi)
@@ -44,12 +46,15 @@ def maxscore(queries: np.ndarray, postings: np.ndarray, lo: np.ndarray, hi: np.n
     at = int(enough.argmax()) if enough.any() else dims
     partial = queries[:, :at] @ postings[:at]
     alive = partial + rest[:, at, None] >= thresholds[:, None]
+    rows = np.arange(postings.shape[1])  # those that still compete for some query
     while at < dims and alive.mean() > DENSE:
-        partial += queries[:, at : at + STEP] @ postings[at : at + STEP]
+        if (some := alive.any(0)).mean() < 0.9:
+            rows, partial = rows[some], partial[:, some]
+        partial = partial + queries[:, at : at + STEP] @ postings[at : at + STEP, rows]
         at = min(at + STEP, dims)
         alive = partial + rest[:, at, None] >= thresholds[:, None]
     query, row = np.nonzero(alive)
-    score = partial[query, row]
+    score, row = partial[query, row], rows[row]
     while at < dims and len(row):
         score = score + np.einsum("ij,ji->i", queries[query, at : at + STEP], postings[at : at + STEP, row])
         at = min(at + STEP, dims)
@@ -84,9 +89,10 @@ class Shard:
         self.large = [(i, _whole(v)) for i, v in zip(ids[~plain].tolist(), vectors[~plain], strict=True)]
         self.pieces = []
         ids, vectors = ids[plain], vectors[plain]
-        for a in range(0, len(ids), PIECE_ROWS):
-            p = np.ascontiguousarray(vectors[a : a + PIECE_ROWS].T)
-            self.pieces.append((ids[a : a + PIECE_ROWS], p, p.min(1), p.max(1)))
+        bounds = [0, *range(min(FIRST_ROWS, len(ids)), len(ids), PIECE_ROWS), len(ids)] if len(ids) else [0]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            p = np.ascontiguousarray(vectors[a:b].T)
+            self.pieces.append((ids[a:b], p, p.min(1), p.max(1)))
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vec_id, score): for each query the ``k`` best rows that aren't its own, ties to the smaller vec_id.
