@@ -386,3 +386,47 @@ def test_maxscore_on_several_pieces(maxscore_calls, monkeypatch, kind):
     ranked = sorted((ids[asked[q]], -s, i) for q, s, i in zip(query.tolist(), score.tolist(), vec.tolist(), strict=True))
     assert [(q, i, -s) for q, s, i in ranked] == [(q, i, s) for q, _, i, s in full_top(ids, v, asked, 20)]
     assert sum(maxscore_calls) == len(v) - 30
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("2-clause BSD", {"bsd-2"}), ("the 3-clause BSD license", {"bsd-3"}), ("BSD-3-Clause license", {"bsd-3"}), ("MIT-licensed", {"mit"}), ("MIT licensed software", {"mit"}),
+    ("version 2 of the GNU General Public License", {"gpl-2.0"}), ("version 2.1 of the GNU Lesser General Public License", {"lgpl-2.1"}), ("GPLv2 or later", {"gpl-2.0-or-later"}),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", {"gpl-2.0-or-later", "gpl"}),
+    ("dual licensed under Apache-2.0 OR MIT", {"apache-2.0", "mit"}), ("MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', {"warranty-disclaimer"}), ("used under mit der Hand", set()), ("mit und ohne", set()), ("licensed under MIT", {"mit"}),
+])
+def test_usual_wordings(text, labels):
+    found = licenses.detect(text.lower().encode().translate(licenses._FOLD).split())
+    assert {d.label for d in found} == labels
+
+
+def test_hostile_media_files(spark):
+    """Boxes nested without end, and counts that no file could hold."""
+    nested = b""
+    for _ in range(3000):
+        nested = media._box(b"moov", nested)
+    good = media.pack(bytes(64 * 40))
+    at = good.index(b"stsz") + 8
+    huge = good[:at] + (1).to_bytes(4, "big") + (0xFFFFFFFF).to_bytes(4, "big") + good[at + 8 :]
+    at = good.index(b"stsc") + 12
+    wide = good[:at] + (1).to_bytes(4, "big") + (0xFFFFFFFF).to_bytes(4, "big") + good[at + 8 :]
+    far = good[:at] + (0xFFFFFFF0).to_bytes(4, "big") + good[at + 4 :]
+    files = [(1, nested), (2, good), (3, huge), (4, wide), (5, far), (6, None), (7, b"")]
+    got = {r.media_id: r.n_samples for r in media.media_columns(spark.createDataFrame([(n, None if f is None else bytearray(f)) for n, f in files], "id long, media binary"), "id", "media").collect()}
+    assert got[1] is None and got[2] == 40 and got[3] is None and got.keys() == set(range(1, 8))
+
+
+def test_places_of_categories_keep_their_order(spark):
+    rows = [(i, "t", f"s{i % 90:02}" if i % 11 else None, "en") for i in range(900)] + [(-1, "t", "s00", None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = df.select("source", sharding.places(df, "source").alias("p"), sharding.places(df, "lang").alias("l")).distinct().collect()
+    placed = sorted((r.source, r.p) for r in got if r.source)
+    assert [p for _, p in placed] == sorted(p for _, p in placed) and len({p for _, p in placed}) == 63 and {r.p for r in got if r.source is None} == {0} and {r.l for r in got} == {0, 1}
+    few = df.filter("source < 's40'")
+    assert len({r.p for r in few.select(sharding.places(few, "source").alias("p")).collect()}) == few.select("source").distinct().count()
+
+
+def test_a_row_repeated_often_is_no_hot_window(spark):
+    rows = spark.range(40_000).selectExpr("7L AS doc_id", "'same text' AS text", "'a' AS source", "'en' AS lang")
+    got = sharding.shard_by_curve(rows, shards=10).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {(r.n, r.d, r.m) for r in got} == {(4000, 4000, 3999)} and len(got) == 10

@@ -17,6 +17,9 @@ from .common import slices, text_bytes
 #: The phrases whose every place counts, and their labels.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+#: Words that follow "mit" where it is the German for "with".
+GERMAN = r"(?! (?:der|dem|den|die|das|de[sr]sen|ein\w*|kein\w*|mein\w*|dein\w*|sein\w*|ihr\w*|uns\w*|euch|mir|dir|sich|ihm|ihnen|all\w*|dies\w*|jed\w*|viel\w*|und|hilfe)(?![^ ]))"
+
 #: License families: (label, a name that means the license by itself, a name that does so only with a setting or a version,
 #: whole words of which any such name holds one, versions).
 FAMILIES = (
@@ -25,7 +28,7 @@ FAMILIES = (
     ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", "", "agpl license licence", ("1.0", "3.0")),
     ("gfdl", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", "", "gfdl license licence", ("1.1", "1.2", "1.3")),
     ("apache", r"apache(?: software)? licen[cs]e", "apache", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", r"(?:mit|expat|x11) licen[cs]e", "mit|expat|x11", "mit expat x11", ()),
+    ("mit", r"(?:mit|expat|x11) licen[cs]e", rf"mit{GERMAN}|expat|x11", "mit expat x11", ()),
     ("bsd", r"(?:(?:new|modified|simplified|revised) )?bsd licen[cs]e", r"(?:(?:new|modified|simplified|revised) )?bsd", "bsd", ("0", "1", "2", "3", "4")),
     ("mpl", r"mozilla public licen[cs]e", "mpl", "mpl license licence", ("1.0", "1.1", "2.0")),
     ("epl", r"eclipse public licen[cs]e", "epl", "epl license licence", ("1.0", "2.0")),
@@ -71,6 +74,9 @@ SETTINGS = (
     (r"", "", 0.6),
 )
 
+#: Names that stand for a license among others, one of which a text may choose: "Apache 2.0 or MIT".
+SURE = r"(?:(?:the )?(?:apache(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?|apache licen[cs]e|mit licen[cs]e|bsd(?: [0-4] clause)?(?: licen[cs]e)?|[al]?gpl(?:v| v| version| )?[1-3](?: [0-9])?|[al]?gpl|mpl(?: v?[12](?: [0-9])?)?|unlicen[cs]e|isc licen[cs]e|zlib|boost software licen[cs]e|bsl 1 0|cc0))"
+
 #: Wordings that are a license's text or mean one without its name: (label, wording, a whole word of it, confidence).
 TEXTS = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 1.0),
@@ -78,6 +84,7 @@ TEXTS = (
     ("bsd", r"redistribution and use in source and binary forms", "redistribution", 1.0),
     ("gpl", r"this program is free software you can redistribute it and or modify it", "redistribute", 0.9),
     ("lgpl", r"this library is free software you can redistribute it and or modify it", "redistribute", 0.9),
+    ("warranty-disclaimer", r"the software is provided as is without warranty of any kind", "warranty", 0.6),
     ("zlib", r"this software is provided as is without any express or implied warranty", "warranty", 0.7),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
     ("public-domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", "domain", 0.9),
@@ -109,9 +116,38 @@ def _versioned(label: str, name: str, words: str, version: str) -> tuple[str, st
     return f"{label}-{version}", apart, " ".join([words, *(f"{w}{v}{major}" for w in glued for v in ("v", ""))])
 
 
+def _named(label: str, full: str, short: str, words: str, versions: tuple[str, ...]) -> Iterator[tuple[str, str, str, str, float]]:
+    """Wordings of a family that hold more than its name: (label, wording, words before, words, confidence).
+
+    The version before the name ("version 2 of the GNU General Public License"), after some words ("... as published by ...
+    either version 2 of the License"), clauses before the name ("2-clause BSD"), "or later", and "MIT-licensed".
+    """
+    name = f"{full}|{short}" if short else full
+    later = r"(?: or(?: at your option)?(?: any)? later(?: versions?)?| or newer)"
+    for version in versions:
+        v_label, wording, v_words = _versioned(label, name, words, version)
+        major, _, minor = version.partition(".")
+        number = major + (rf" {minor}" if minor.strip("0") else rf"(?: {minor})?(?! \d\d?(?![^ ]))" if minor else "")
+        of = rf"(?:version|v) ?{number}{later}? of (?:the )?(?:{name})"
+        far = rf"(?:{full})(?: [^ ]+){{1,14}}? version {number} of the licen[cs]e"
+        yield f"{v_label}-or-later", wording + later, "later newer", v_words, 0.95
+        yield f"{v_label}-or-later", far + r"(?: [^ ]+){0,5}? any later version", "later", words, 0.95
+        yield v_label, of, "version v", words, 0.95
+        yield v_label, far, "version", words, 0.9
+        if label == "bsd":
+            yield v_label, rf"{number} clause (?:{name})", "clause", words, 0.9
+    yield label, rf"(?:{name})(?: |)licen[cs]ed(?: (?:software|code|program|library|project|work))?", "licensed licenced", words, 0.85
+    if short:  # a name that is also a word counts beside a sure one
+        licensed = r"licen[cs]ed? (?:[^ ]+ ){0,8}?"
+        yield label, rf"{licensed}(?:or|and) (?:the )?(?P<only>{short})", "license licence licensed licenced", words, 0.8
+        yield label, rf"(?P<only>{short})(?: licen[cs]e)? (?:or|and) {SURE}", "or and", words, 0.8
+        yield label, rf"{SURE} (?:or|and) (?:the )?(?P<only>{short})", "or and", words, 0.8
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: each setting with each family's versions and then the family, then the texts.
+    """All rules in order of priority: what holds more than a name, each setting with each family's versions and then the
+    family, then the texts.
 
     Patterns are over normalised words with one space between them. A name with a version comes before one without.
     A match holds one of the words ``name``, and one of ``before`` if that has any. A name that is also an ordinary
@@ -119,6 +155,8 @@ def rules() -> tuple[Rule, ...]:
     """
     texts = [(label, p, "", word, conf) for label, p, word, conf in TEXTS]
     out: list[tuple[str, str, str, str, float]] = [t for t in texts if t[4] == 1.0]
+    for family in sorted(FAMILIES, key=lambda f: -len(f[0])):
+        out += _named(*family)
     for before, key, conf in SETTINGS:
         for label, full, short, words, versions in sorted(FAMILIES, key=lambda f: -len(f[0])):
             name = f"{full}|{short}" if short else full
@@ -169,7 +207,7 @@ def detect(words: list[bytes]) -> list[Detection]:
         if r.before and r.before.isdisjoint(have):
             continue
         for m in r.pattern.finditer(normal):
-            start, end = m.span()
+            start, end = m.span("only" if "only" in r.pattern.groupindex else 0)  # the other names of a list have rules of their own
             if covered.get(start, 0) < end:
                 kept.append(Detection(start, end, n, r.label, r.confidence))
                 for at in range(start, end):

@@ -17,6 +17,8 @@ from .common import text_bytes
 
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
+#: Levels of boxes that are entered; the tables of samples stand on the fifth.
+DEEPEST = 16
 #: Bytes of a sample, samples a second, samples of a chunk, and every how many samples a keyframe stands.
 UNIT, RATE, CHUNK, KEY_EVERY = 64, 125, 16, 8
 
@@ -64,9 +66,13 @@ def pack(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of each box's content; broken sizes end the walk."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    """(path, start, end) of each box's content; broken sizes end the walk of what holds them. Boxes below ``DEEPEST`` aren't
+    entered, so that a file made of nested ones takes no more than that."""
+    levels = [(at, len(data) if end is None else end, path)]
+    while levels:
+        at, end, path = levels.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1 and at + 16 <= end:
@@ -74,11 +80,11 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
         elif size == 0:
             size = end - at
         if size < head or at + size > end:
-            return
+            continue
         yield (*path, kind), at + head, at + size
-        if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+        levels.append((at + size, end, path))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            levels.append((at + head, at + size, (*path, kind)))
 
 
 class Track:
@@ -95,11 +101,18 @@ class Track:
         stts = u4(b"stts", 8).reshape(-1, 2)
         self.duration = int((stts[:, 0] * stts[:, 1]).sum())
         same, n = struct.unpack_from(">II", boxes[b"stsz"], 4)
-        sizes = np.full(n, same, np.int64) if same else u4(b"stsz", 12)[:n]
+        sizes = np.empty(0, np.int64) if same else u4(b"stsz", 12)[:n]
+        # a count is the file's word: no more samples than its bytes, or its table, can hold
+        if n > (len(data) // same if same else len(sizes)):
+            raise ValueError("more samples than the file holds")
+        sizes = np.full(n, same, np.int64) if same else sizes
         starts = np.frombuffer(boxes[b"co64"], ">u8", offset=8).astype(np.int64) if b"co64" in boxes else u4(b"stco", 8)
         runs = u4(b"stsc", 8).reshape(-1, 3)
-        counts = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(starts) + 1)))
-        chunk = np.repeat(np.arange(len(starts)), counts)[:n]
+        counts = np.minimum(np.repeat(runs[:, 1], np.diff(np.minimum(np.append(runs[:, 0], len(starts) + 1), len(starts) + 1))), n)
+        counts = counts[: int(np.searchsorted(np.cumsum(counts), n)) + 1]
+        chunk = np.repeat(np.arange(len(counts)), counts)[:n]
+        if len(chunk) < n:
+            raise ValueError("fewer chunks than samples")
         ahead = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.start = starts[chunk] + ahead - ahead[np.searchsorted(chunk, chunk)]
         self.end = self.start + sizes

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 #: Bits of each of the three dimensions; the curve has 2 ** 18 cells, however many documents there are.
 BITS, SHARDS, ROW_BYTES, GROUP_ROWS = 6, 40, 16, 4096
@@ -50,39 +50,53 @@ def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(hilbert_index(coords).astype(np.int32))], names=["doc_id", "size", "text_crc32", "cell"])
 
 
+def places(df: DataFrame, column: str, n: int = 1 << BITS) -> Column:
+    """The place of each value of a category among ``n``, in order of name, so that neighbours are alike in name.
+
+    The n - 1 most frequent values have a place of their own, or share one only with rarer values that come next by name;
+    null, and what comes before all of them, is at 0. The names are those few that the driver asks for.
+    """
+    value = F.col(column).cast("string")
+    named = df.select(value.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "v").limit(n - 1)
+    names = F.array(*[F.lit(r.v) for r in named.collect()]).cast("array<string>")  # n - 1 at most
+    return F.coalesce(F.size(F.filter(names, lambda x: x <= value)), F.lit(0)).cast("int")
+
+
 def shard_by_curve(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and cell for each row: runs of the curve of near equal bytes.
 
-    Dimensions: source and language (each value at a fixed place by its checksum, so that a file holds few values)
-    and the logarithm of the size. Order: cell, then a group, then doc_id and checksum. A cell of many documents has
-    a group for each ``GROUP_ROWS``, so no window holds more than about that. Running sums go from documents to groups
+    Dimensions: source and language (by ``places``: in order of name) and the logarithm of the size. Order: cell, then a
+    group, then doc_id and checksum. A cell of many documents has a group for each ``GROUP_ROWS``, and rows that are equal in
+    all this stand as one with their number, so no window holds more than about that. Running sums go from documents to groups
     to cells (at most 2 ** 18 rows, whatever the input), and a document falls in the shard that holds its middle byte.
 
     Null text: size 16, checksum 0. Null source or language: a value of its own. Rows that repeat a doc_id are
     documents of their own. An empty table gives an empty table; of few documents, shards may stay empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    place = lambda c: (F.crc32(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).cast("binary")) % (1 << BITS)).cast("int")
     size = F.octet_length(t).cast("long") + ROW_BYTES
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), place(source).alias("a"), place(lang).alias("b"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), places(df, source).alias("a"), places(df, lang).alias("b"))
     rows = rows.withColumn("c", F.least(F.floor(F.log2("size") * 2), F.lit((1 << BITS) - 1)).cast("int"))
-    rows = staged(rows.mapInArrow(_curve, "doc_id long, size long, text_crc32 long, cell int"), "cells")
+    curve = rows.mapInArrow(_curve, "doc_id long, size long, text_crc32 long, cell int")
+    curve = staged(curve.groupBy("doc_id", "size", "text_crc32", "cell").agg(F.count("*").alias("n")), "cells")
 
-    cells = rows.groupBy("cell").agg(F.sum("size").alias("cell_bytes"), F.count("*").alias("cell_rows"))
+    cells = curve.groupBy("cell").agg(F.sum(F.col("size") * F.col("n")).alias("cell_bytes"), F.sum("n").alias("cell_rows"), F.count("*").alias("different"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** 18 rows
     cells = cells.withColumns({"c_bytes": F.coalesce(F.sum("cell_bytes").over(before), F.lit(0)), "c_rows": F.coalesce(F.sum("cell_rows").over(before), F.lit(0))})
     cells = cells.withColumn("total", F.sum("cell_bytes").over(Window.partitionBy(F.lit(0))))
-    cells = staged(cells.select("cell", "c_bytes", "c_rows", "total", F.ceil(F.col("cell_rows") / GROUP_ROWS).alias("groups")), "cell-sums")
+    cells = staged(cells.select("cell", "c_bytes", "c_rows", "total", F.ceil(F.col("different") / GROUP_ROWS).alias("groups")), "cell-sums")
 
-    rows = rows.join(F.broadcast(cells), "cell")  # 2 ** 18 rows of 40 bytes at most
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text_crc32"), "groups").cast("int"))
-    groups = rows.groupBy("cell", "group").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_rows"))
+    rows = curve.join(F.broadcast(cells), "cell")  # 2 ** 18 rows of 40 bytes at most
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), "groups").cast("int"))
+    groups = rows.groupBy("cell", "group").agg(F.sum(F.col("size") * F.col("n")).alias("group_bytes"), F.sum("n").alias("group_rows"))
     before = Window.partitionBy("cell").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("cell", "group", F.coalesce(F.sum("group_bytes").over(before), F.lit(0)).alias("g_bytes"), F.coalesce(F.sum("group_rows").over(before), F.lit(0)).alias("g_rows"))
     before = Window.partitionBy("cell", "group").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"d_bytes": F.coalesce(F.sum("size").over(before), F.lit(0)), "d_rows": F.count("*").over(before)}).join(groups, ["cell", "group"])
-    middle = F.expr(f"CAST((c_bytes + g_bytes + d_bytes + size div 2) * {shards} div total AS int)")
-    rows = staged(rows.select("doc_id", "size", "text_crc32", "cell", F.least(middle, F.lit(shards - 1)).alias("shard"), (F.col("c_rows") + F.col("g_rows") + F.col("d_rows")).alias("row")), "placed")
+    rows = rows.withColumns({"d_bytes": F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)), "d_rows": F.coalesce(F.sum("n").over(before), F.lit(0))}).join(groups, ["cell", "group"])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    middle = F.expr(f"CAST((c_bytes + g_bytes + d_bytes + copy * size + size div 2) * {shards} div total AS int)")
+    rows = staged(rows.select("doc_id", "size", "text_crc32", "cell", F.least(middle, F.lit(shards - 1)).alias("shard"), (F.col("c_rows") + F.col("g_rows") + F.col("d_rows") + F.col("copy")).alias("row")), "placed")
+    discard(curve, cells)
     first = rows.groupBy("shard").agg(F.min("row").alias("first_row"))
     rows = rows.join(F.broadcast(first), "shard")  # one row a shard
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
