@@ -1,6 +1,7 @@
 """Feeds to one catalogue, in batches and streams; catalogue edits, exports and loads; on rows of our own."""
 
 import datetime
+import gzip
 import json
 import math
 
@@ -264,3 +265,131 @@ def test_simplification_by_brute_force(spark):
         far = max(range(len(r)), key=lambda i: float(((r[i] - r[0]) ** 2).sum()))
         want = keep(r[: far + 1], 0.05)[:-1] + keep(np.vstack([r[far:], r[:1]]), 0.05)[:-1]
         assert got[u] == [tuple(p) for p in want] and 4 < len(want) < 50
+
+
+def damaged_gzip(folder):
+    """A compressed document cut off in the middle."""
+    folder.mkdir(exist_ok=True)
+    whole = gzip.compress(json.dumps(met_doc([(k, 1000 + k, 60 + k / 100, 30.0, 4.0) for k in range(400)])).encode())
+    (folder / "9.json.gz").write_bytes(whole[: len(whole) // 2])
+
+
+@pytest.mark.parametrize("damaged", ["MET", "USGS"])
+def test_a_damaged_file_of_one_feed_does_not_stop_the_other(spark, tmp_path, damaged):
+    good = {"USGS": (feeds.usgs, usgs_doc(BATCHES[0][0]), 2), "MET": (feeds.met, met_doc(BATCHES[0][1]), 1)}
+    for way in ("ingest", "tick"):
+        base = tmp_path / way
+        base.mkdir()
+        both = []
+        for name, (make, doc, _) in good.items():
+            damaged_gzip(base / name) if name == damaged else land(base / name, 0, doc)
+            both.append(make(str(base / name)))
+        c = ingest.Catalogue(spark, str(base / "state"))
+        out = dict(ingest.ingest(c, both) if way == "ingest" else ingest.tick(c, both, str(base / "cp")))
+        other = "USGS" if damaged == "MET" else "MET"
+        assert out[other] is None and out[damaged] and c.read().count() == good[other][2]
+
+
+def test_fallback_from_a_damaged_file(spark, tmp_path):
+    land(tmp_path / "first", 0, met_doc([(7, 10, 60.0, 30.0, 4.0)]))
+    damaged_gzip(tmp_path / "first")
+    land(tmp_path / "second", 0, met_doc(BATCHES[0][1]))
+    first, second = feeds.met(str(tmp_path / "first")), feeds.met(str(tmp_path / "second"))
+    assert [r.source_event_id for r in feeds.with_fallback(lambda: first.fetch(spark), lambda: second.fetch(spark)).collect()] == ["1"]
+    with pytest.raises(Exception, match="(?i)division|divide"):
+        feeds.with_fallback(lambda: second.fetch(spark).select(F.raise_error(F.lit("division"))), lambda: first.fetch(spark))
+
+
+def files_of(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_snapshot_without_news_rewrites_nothing(spark, tmp_path):
+    days = [(k, 86_400 * k + 40_000, 60.0 + k / 10, 30.0, 4.0) for k in range(60)]
+    land(tmp_path / "met", 0, met_doc(days))
+    met, c = feeds.met(str(tmp_path / "met")), ingest.Catalogue(spark, str(tmp_path / "state"))
+    assert ingest.tick(c, [met], str(tmp_path / "cp")) == [("MET", None)] and c.read().count() == 60
+    before = files_of(tmp_path / "state" / "catalog")
+    land(tmp_path / "met", 1, met_doc(days))
+    assert ingest.tick(c, [met], str(tmp_path / "cp")) == [("MET", None)]
+    assert files_of(tmp_path / "state" / "catalog") == before
+    assert [(r.fetched, r.inserted, r.errors) for r in c.sync_state().collect()] == [(60, 0, 0)]
+    land(tmp_path / "met", 2, met_doc([*days, (99, 86_400 * 30 + 40_010, 63.05, 30.0, 4.2)]))
+    ingest.tick(c, [met], str(tmp_path / "cp"))
+    after = files_of(tmp_path / "state" / "catalog")
+    changed = {p.parent.name for p in before.keys() - after.keys()}
+    first = (T0 // 86_400) + 30
+    assert changed == {f"day={first + n}" for n in (-1, 0, 1)} and len(check_state(c)) == 61
+
+
+def test_an_unfinished_run_is_mended_by_the_next(spark, tmp_path, monkeypatch):
+    land(tmp_path / "usgs", 0, usgs_doc(BATCHES[0][0]))
+    land(tmp_path / "met", 0, met_doc(BATCHES[0][1]))
+    usgs, met, c = feeds.usgs(str(tmp_path / "usgs")), feeds.met(str(tmp_path / "met")), ingest.Catalogue(spark, str(tmp_path / "state"))
+    c.add(usgs.fetch(spark), "USGS")
+    real = ingest.Catalogue._put
+
+    def half(self, state, days, touched):  # the rows are there, but with the clusters of before
+        real(self, dedup.conform(state.withColumn("cluster_id", F.col("id")).withColumn("is_canonical", F.lit(False))), days, touched)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest.Catalogue, "_put", half)
+    with pytest.raises(RuntimeError):
+        c.add(met.fetch(spark), "MET")
+    monkeypatch.setattr(ingest.Catalogue, "_put", real)
+    assert {r.is_canonical for r in c.read().collect()} == {False}
+    c.add(met.fetch(spark), "MET")
+    got = check_state(c)
+    assert got["MET", "1"].is_canonical and not got["USGS", "u1"].is_canonical and c._pending().count() == 0
+
+
+def test_rejected_rows_are_kept_with_their_reason(spark, tmp_path):
+    land(tmp_path / "usgs", 0, usgs_doc([*BATCHES[0][0], ("far", 10, 150.0, 0.0, 5.0)]))
+    (tmp_path / "usgs" / "1.json").write_text('{"features": [{"id": "cut')
+    land(tmp_path / "met", 0, met_doc(BATCHES[0][1]))
+    both = [feeds.usgs(str(tmp_path / "usgs")), feeds.met(str(tmp_path / "met"))]
+    c = ingest.Catalogue(spark, str(tmp_path / "state"))
+    assert ingest.tick(c, both, str(tmp_path / "cp")) == [("MET", None), ("USGS", None)]
+    got = {(r.source, r.source_event_id): r for r in c.rejected().collect()}
+    assert {k: r.reason for k, r in got.items()} == {("USGS", "u5"): "missing", ("USGS", "far"): "region", ("USGS", None): "document", ("MET", "4"): "region"}
+    assert json.loads(got["USGS", "far"].document)["geometry"]["coordinates"][0] == 150.0 and got["USGS", None].document.startswith('{"features"')
+    assert {r.source: (r.fetched, r.inserted, r.errors) for r in c.sync_state().collect()} == {"USGS": (2, 2, 3), "MET": (1, 1, 1)}
+    bad = spark.createDataFrame([("OTHER", "x", 5, 4.0, 1.0, 70.0, 30.0), ("USGS", "y", 5, None, 1.0, 70.0, 30.0), ("USGS", "z", 5, 4.0, 1.0, 70.0, 30.0)], "source string, source_event_id string, occurred_us long, magnitude double, depth_km double, lon double, lat double")
+    for _ in range(2):  # a batch that runs again has its rejected rows once
+        c.add(bad, "USGS", now_us=77, batch=77)
+    assert sorted((r.source_event_id, r.reason) for r in c.rejected().filter("batch = 77").collect()) == [("x", "source"), ("y", "missing")]
+
+
+def test_edits_of_the_stored_catalogue(spark, tmp_path):
+    land(tmp_path / "usgs", 0, usgs_doc([("a", 1000, 72.5, 34.0, 5.0), ("b", 1020, 72.52, 34.0, 4.0), ("c", 1040, 72.54, 34.0, 4.0), ("d", 86_400 * 5, 60.0, 20.0, 4.0), ("e", 86_400 * 9, 60.0, 20.0, 4.0)]))
+    c = ingest.Catalogue(spark, str(tmp_path / "state"))
+    ingest.ingest(c, [feeds.usgs(str(tmp_path / "usgs"))])
+    got = check_state(c)
+    a, b, d, e = (got["USGS", k] for k in "abde")
+    assert b.cluster_id == a.id and not b.is_canonical
+    patch = lambda *rows: spark.createDataFrame(rows, "id long, magnitude double, depth_km double, lon double, lat double, occurred_us long")
+    # the first of a cluster moves to another day: its old day keeps the others, which are clustered anew
+    assert c.update(patch((a.id, 6.0, None, None, None, d.occurred_us + 30_000_000))) == 1
+    got = check_state(c)
+    assert got["USGS", "a"].magnitude == 6.0 and got["USGS", "b"].is_canonical and got["USGS", "c"].cluster_id == b.id
+    # onto another report: they are one cluster then
+    assert c.update(patch((a.id, None, None, 60.1, 20.0, None), (10**9, 1.0, None, None, None, None))) == 1
+    got = check_state(c)
+    assert got["USGS", "d"].cluster_id == min(a.id, d.id) == got["USGS", "a"].cluster_id
+    # the only report of a day leaves it: the day's folder goes
+    day = e.occurred_us // 86_400_000_000
+    assert (tmp_path / "state" / "catalog" / f"day={day}").exists()
+    assert c.delete(spark.createDataFrame([(e.id,), (10**9,)], "id long")) == 1 and c.delete(spark.createDataFrame([(e.id,)], "id long")) == 0
+    assert not (tmp_path / "state" / "catalog" / f"day={day}").exists() and ("USGS", "e") not in check_state(c)
+    assert c.delete(spark.createDataFrame([(a.id,), (d.id,)], "id long")) == 2 and set(check_state(c)) == {("USGS", "b"), ("USGS", "c")}
+    event = "magnitude double, depth_km double, lon double, lat double, occurred_us long"
+    assert c.add_manual(spark.createDataFrame([(5.5, 10.0, 72.5, 34.0, b.occurred_us), (4.5, 10.0, 72.5, 34.0, None)], event), now_us=(T0 + 10**6) * 10**6) == 2
+    rows = {r.source_event_id or r.occurred_us: r for r in c.read().collect()}
+    assert rows[b.occurred_us].is_canonical and rows[b.occurred_us].cluster_id == rows[b.occurred_us].id > d.id and rows["b"].is_canonical
+    with pytest.raises(ValueError, match="region"):
+        c.add_manual(spark.createDataFrame([(5.5, 10.0, 0.0, 0.0, None)], event))
+    # a later batch inserts what was deleted anew, as an ingest does
+    ingest.ingest(c, [feeds.usgs(str(tmp_path / "usgs"))], since=0)
+    assert [r.id for r in c.find(mag_min=5.0).collect()] == [rows[b.occurred_us].id]
+    late = c.find(since_us=(T0 + 86_400 * 3) * 10**6, limit=None)
+    assert "PartitionFilters: [isnotnull(day" in late._jdf.queryExecution().toString()

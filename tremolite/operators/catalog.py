@@ -72,6 +72,15 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
+def constrained(df: DataFrame) -> DataFrame:
+    """Adds reject_reason to rows of a catalogue: null for a row that may be stored, else why it may not."""
+    missing = F.lit(False)
+    for c in ("occurred_us", "magnitude", "depth_km", "lon", "lat"):
+        missing = missing | F.col(c).isNull()
+    wrong = F.col("source").isNull() | ~F.col("source").isin("MET", "USGS", "MANUAL")
+    return df.withColumn("reject_reason", F.when(wrong, "source").when(missing, "missing"))
+
+
 def update(catalog: DataFrame, patches: DataFrame) -> DataFrame:
     """Applies patches (id, magnitude, depth_km, lon, lat, occurred_us; null: no change). lon and lat change together only."""
     p = patches.select(F.col("id").alias("p_id"), *[F.col(c).alias(f"p_{c}") for c in ("magnitude", "depth_km", "lon", "lat", "occurred_us")])

@@ -168,6 +168,11 @@ def assign_ids(new: DataFrame, top: Column) -> DataFrame:
     return numbered.withColumn("id", (top + F.col("__d") + F.col("__m") + F.col("__r")).cast("long")).select("id", *[c for c in new.columns if c != "id"])
 
 
+def inserted(fresh: DataFrame, now_us: int, top: int) -> DataFrame:
+    """``fresh`` reports as rows of a catalogue whose largest id is ``top``; checkpointed, as ids have to stay."""
+    return conform(assign_ids(fresh.withColumn("created_us", F.lit(now_us)).drop("id"), F.lit(top))).checkpoint()
+
+
 def add_reports(catalog: DataFrame, arrivals: DataFrame, now_us: int, known: DataFrame | None = None, top: int | None = None, geodesic: str = "haversine") -> tuple[DataFrame, DataFrame]:
     """(catalogue, inserted): ``catalog`` with the arrivals that it lacks, clustered; and those alone, as they were inserted.
 
@@ -175,10 +180,10 @@ def add_reports(catalog: DataFrame, arrivals: DataFrame, now_us: int, known: Dat
     largest one. Clusters change near any arrival, new or known (``known``: what arrived before repeats were taken off), so
     that a run again after a failure ends in the same state. The session needs a checkpoint folder.
     """
-    new = insert_if_absent(catalog, conform(arrivals), ["occurred_us", "magnitude", "lon", "lat"]).withColumn("created_us", F.lit(now_us))
+    new = insert_if_absent(catalog, conform(arrivals), ["occurred_us", "magnitude", "lon", "lat"])
     if top is None:
         top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    new = conform(assign_ids(new.drop("id"), F.lit(top))).checkpoint()
+    new = inserted(new, now_us, top)
     met = (arrivals if known is None else known).select("source", "source_event_id").filter("source_event_id IS NOT NULL").distinct()
     both = conform(catalog).unionByName(new)
     again = catalog.join(met, ["source", "source_event_id"], "left_semi")

@@ -34,16 +34,24 @@ def load_boundaries(units: DataFrame, edges: DataFrame, path: str, expected: dic
     """Replaces the tables ``path``/units and ``path``/edges; False if they are there already and ``force`` isn't given.
 
     Counts by level have to be as ``expected`` before anything is replaced. Rings are simplified and parts promoted on the way.
+    Both tables are written aside; then the old units go first and the new ones come last, so that a load that was cut off in
+    between leaves no units, and the next one loads again.
     """
     spark = units.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/units/_SUCCESS")
-    if not force and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = at("units").getFileSystem(spark._jsc.hadoopConfiguration())
+    if not force and files.exists(at("units/_SUCCESS")):
         return False
     wrong = level_counts(units, expected).filter("NOT ok").collect()  # one row a level
     if wrong:
         raise ValueError("counts by level: " + ", ".join(f"{r.level} {r.n} for {r.expected}" for r in wrong))
-    simplify(promote_parts(edges), tolerance).write.mode("overwrite").parquet(f"{path}/edges")
-    units.write.mode("overwrite").parquet(f"{path}/units")
+    simplify(promote_parts(edges), tolerance).write.mode("overwrite").parquet(f"{path}/aside/edges")
+    units.write.mode("overwrite").parquet(f"{path}/aside/units")
+    for name in ("units", "edges"):
+        files.delete(at(name), True)
+    for name in ("edges", "units"):
+        if not files.rename(at(f"aside/{name}"), at(name)):
+            raise OSError(f"{path}/{name} could not be put in place")
     return True
 
 

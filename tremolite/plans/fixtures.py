@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,11 @@ def footprint_edges(reports: DataFrame) -> DataFrame:
     path = ("lb", "rb", "rq", "mq", "mt", "lt")
     sides = F.array(*[F.struct(F.lit(i).alias("seq"), F.col(p[0]).alias("x1"), F.col(p[1]).alias("y1"), F.col(n[0]).alias("x2"), F.col(n[1]).alias("y2")) for i, (p, n) in enumerate(zip(path, path[1:] + path[:1], strict=True))])
     return r.select("unit_id", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(sides))
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a folder that all executors share, below ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(known or tempfile.mkdtemp(prefix='tremolite-')).rstrip('/')}/tremolite-{label}-{uuid.uuid4().hex}"

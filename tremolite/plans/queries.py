@@ -10,6 +10,7 @@ from ..functions import motion, parse
 from ..operators import catalog as C
 from ..operators import contours, dedup, intensity, stats, zonal
 from ..sources import feeds, rasters
+from ..streaming.ingest import Catalogue
 from . import fixtures as X
 from .registry import BANDS_SQL, CATALOG_SQL, CELLS_SQL, DIST_SQL, FOOTPRINTS_SQL, MMI_SQL, ORACLES, PAIRS_SQL, PGA_SQL, REPORTS_SQL, SURFACE_SQL, every_event, query, units_sql
 
@@ -201,6 +202,54 @@ def k1_export_rows(spark, d):
     return C.ordered(catalog(spark, d).filter("is_canonical")).select("id", "source", "source_event_id", "magnitude", "depth_km", "lon", "lat", "place", "mag_type", "alert", "tsunami", "sig")
 
 
+# --- the stored catalogue: pages that leave other days' folders unread, and edits after which it is as if clustered anew
+
+
+def _stored(spark, d):
+    c = Catalogue(spark, X.new_folder(spark, "catalogue"))
+    c.replace(X.reports(spark, d))
+    return c
+
+
+@query(ORACLES["f6_filter_conjunction"])
+def f6_stored_filter(spark, d):
+    return _stored(spark, d).find(since_us=T10, before_us=T20, limit=None, mag_min=3, mag_max=6, source="USGS", search="NEAR _%c").select(*_SHOWN.split(", "))
+
+
+@query(ORACLES["t2_page_newest"])
+def t2_stored_page(spark, d):
+    return _stored(spark, d).find(since_us=T10, limit=20, offset=40).select("id", "occurred_us", "magnitude")
+
+
+@query(ORACLES["t1_page_by_magnitude"])
+def t1_stored_page(spark, d):
+    return _stored(spark, d).find(by="magnitude").select("id", "occurred_us", "magnitude")
+
+
+def _edited(change: str) -> str:
+    """SQL of the catalogue clustered anew after its reports were changed."""
+    return CATALOG_SQL.replace("), reports AS (", "), before AS (", 1).replace(", pairs AS (", f", reports AS (SELECT {change}), pairs AS (", 1)
+
+
+_CLUSTERED = "id, occurred_us, magnitude, lon, lat, cluster_id, is_canonical"
+
+
+@query(f"WITH {_edited('* REPLACE (CASE WHEN id % 11 = 0 THEN occurred_us + 86400000000 + (id % 3) * 20000000 ELSE occurred_us END AS occurred_us, CASE WHEN id % 11 = 0 THEN magnitude + 1 ELSE magnitude END AS magnitude, CASE WHEN id % 22 = 0 THEN lon + 0.3::DOUBLE ELSE lon END AS lon) FROM before')} SELECT {_CLUSTERED} FROM catalog")
+def d1_stored_update(spark, d):
+    """Events moved by a day and more, some also in place: what they leave and what they meet is clustered anew."""
+    c = _stored(spark, d)
+    patch = X.reports(spark, d).filter("id % 11 = 0").selectExpr("id", "magnitude + 1 AS magnitude", "CAST(NULL AS double) AS depth_km", "if(id % 22 = 0, lon + 0.3D, lon) AS lon", "lat", "occurred_us + 86400000000 + (id % 3) * 20000000 AS occurred_us")
+    c.update(patch)
+    return c.read().select(*_CLUSTERED.split(", "))
+
+
+@query(f"WITH {_edited('* FROM before WHERE id % 7 <> 0')} SELECT {_CLUSTERED} FROM catalog")
+def d2_stored_delete(spark, d):
+    c = _stored(spark, d)
+    c.delete(X.reports(spark, d).filter("id % 7 = 0").select("id"))
+    return c.read().select(*_CLUSTERED.split(", "))
+
+
 # --- feeds: documents derived from the catalogue, with dirty fields by rule
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,24 @@ class Source(Protocol):
     def fetch(self, spark: SparkSession, since: int | None = None, updated_after: int | None = None) -> DataFrame: ...
 
 
-def parse_usgs(docs: DataFrame) -> DataFrame:
-    """Rows of GeoJSON documents (column features): three coordinates, magnitude, time and id are needed, and a place in the region."""
-    f = docs.select(F.explode("features").alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("xyz"))
-    f = f.filter((F.size("xyz") >= 3) & F.col("mag").isNotNull() & F.col("time").isNotNull() & F.col("id").isNotNull())
-    f = f.withColumns({"lon": F.get("xyz", F.lit(0)), "lat": F.get("xyz", F.lit(1)), "depth_km": F.get("xyz", F.lit(2))}).filter(in_coverage(F.col("lon"), F.col("lat")))
-    return f.select(
+def _usgs_features(docs: DataFrame) -> DataFrame:
+    f = docs.select(F.explode("features").alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("xyz"), F.to_json("f").alias("document"))
+    return f.withColumns({"lon": F.get("xyz", F.lit(0)), "lat": F.get("xyz", F.lit(1)), "depth_km": F.get("xyz", F.lit(2))})
+
+
+def usgs_reason() -> Column:
+    """Why a feature of the first feed is rejected, first rule first; null: it isn't."""
+    missing = (F.size("xyz") < 3) | F.col("xyz").isNull() | F.col("mag").isNull() | F.col("time").isNull() | F.col("id").isNull()
+    return F.when(missing, "missing").when(~F.coalesce(in_coverage(F.col("lon"), F.col("lat")), F.lit(False)), "region")
+
+
+def parse_usgs(docs: DataFrame, rejected: bool = False) -> DataFrame:
+    """Rows of GeoJSON documents (column features): three coordinates, magnitude, time and id are needed, and a place in the region.
+    ``rejected`` gives the others: (source_event_id, reason, document)."""
+    f = _usgs_features(docs).withColumn("reason", usgs_reason())
+    if rejected:
+        return f.filter("reason IS NOT NULL").select(F.col("id").alias("source_event_id"), "reason", "document")
+    return f.filter("reason IS NULL").select(
         F.lit("USGS").alias("source"), F.col("id").alias("source_event_id"), (F.col("time") * 1000).alias("occurred_us"), F.col("mag").alias("magnitude"), "depth_km", "lon", "lat", "place",
         F.col("magType").alias("mag_type"), F.col("type").alias("event_type"), "alert", "tsunami", "sig", F.col("status").alias("review_status"), "felt", "cdi", F.col("mmi").alias("mmi_report"),
         "gap", "nst", "url", F.col("detail").alias("detail_url"), (F.col("updated") * 1000).alias("updated_us"),
@@ -70,35 +83,63 @@ def parse_met(docs: DataFrame, rejected: bool = False) -> DataFrame:
     )
 
 
+def rejected_met(docs: DataFrame) -> DataFrame:
+    """(source_event_id, reason, document) of the second feed's rows that ``parse_met`` leaves out."""
+    m = parse_met(docs, rejected=True)
+    row = F.struct("id", "mode", "region", "event_date", "event_time", "magnitude", "depth", "latitude", "longitude")
+    return m.select(F.col("id").cast("string").alias("source_event_id"), "reason", F.to_json(row).alias("document"))
+
+
+#: What a reader puts a document into that isn't JSON of the feed's form.
+CORRUPT = "_corrupt"
+
+
 @dataclass(frozen=True)
 class Feed:
     """A source of documents that land in a folder. ``snapshot``: each document is the whole list, so that what was
-    updated since can't be asked for."""
+    updated since can't be asked for. ``rejects`` gives what ``parse`` leaves out of documents: (source_event_id, reason, document)."""
 
     name: str
     schema: str
     parse: Callable[[DataFrame], DataFrame]
     landing: str
     snapshot: bool = False
+    rejects: Callable[[DataFrame], DataFrame] | None = None
 
-    def fetch(self, spark: SparkSession, since: int | None = None, updated_after: int | None = None) -> DataFrame:
-        """The rows that have landed, since an instant or updated after one (microseconds)."""
-        rows = self.parse(spark.read.schema(self.schema).option("multiLine", True).json(self.landing))
+    def _reader(self, reader):
+        return reader.schema(f"{self.schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True)
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        """The documents that have landed."""
+        return self._reader(spark.read).json(self.landing)
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """The documents that land, as a stream."""
+        return self._reader(spark.readStream).json(self.landing)
+
+    def rows(self, documents: DataFrame, since: int | None = None, updated_after: int | None = None) -> DataFrame:
+        """The rows of documents, since an instant or updated after one (microseconds)."""
+        rows = self.parse(documents)
         if updated_after is not None and not self.snapshot:
             rows = rows.filter(F.col("updated_us") >= updated_after)
         return rows if since is None else rows.filter(F.col("occurred_us") >= since)
 
-    def stream(self, spark: SparkSession) -> DataFrame:
-        """The rows of what lands, as a stream."""
-        return self.parse(spark.readStream.schema(self.schema).option("multiLine", True).json(self.landing))
+    def fetch(self, spark: SparkSession, since: int | None = None, updated_after: int | None = None) -> DataFrame:
+        """The rows that have landed, since an instant or updated after one (microseconds)."""
+        return self.rows(self.documents(spark), since, updated_after)
+
+    def rejected(self, documents: DataFrame) -> DataFrame:
+        """(source_event_id, reason, document) of what the rows of documents leave out; a document that can't be parsed is one."""
+        broken = documents.filter(F.col(CORRUPT).isNotNull()).select(F.lit(None).cast("string").alias("source_event_id"), F.lit("document").alias("reason"), F.col(CORRUPT).alias("document"))
+        return broken.unionByName(self.rejects(documents)) if self.rejects else broken
 
 
 def usgs(landing: str) -> Feed:
-    return Feed("USGS", USGS_SCHEMA, parse_usgs, landing)
+    return Feed("USGS", USGS_SCHEMA, parse_usgs, landing, rejects=lambda docs: parse_usgs(docs, rejected=True))
 
 
 def met(landing: str) -> Feed:
-    return Feed("MET", MET_SCHEMA, parse_met, landing, snapshot=True)
+    return Feed("MET", MET_SCHEMA, parse_met, landing, snapshot=True, rejects=rejected_met)
 
 
 def fetch_windows(bounds: DataFrame, days: int = 1) -> DataFrame:
@@ -114,16 +155,34 @@ def merge_chunks(rows: DataFrame) -> DataFrame:
     return first_seen(rows, "source_event_id", ["chunk", "occurred_us", "magnitude"])
 
 
+#: Conditions of errors by which a source, not the code that reads it, is at fault.
+UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "CANNOT_LOAD_CHECKPOINT_FILE_MANAGER")
+
+
+def unreadable(e: Exception) -> bool:
+    """If an error says that files aren't there or can't be read. A task's error reaches Python as one of Java, with the
+    reason among its causes."""
+    if isinstance(e, PySparkException):
+        return any(c in f"{e.getCondition()} {e}" for c in UNREADABLE)
+    cause = e.java_exception if isinstance(e, Py4JJavaError) else None
+    while cause is not None:
+        if any(c in str(cause) for c in UNREADABLE):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
     """The first source's rows, or the second's if the first can't be read: no such path, or files that can't be read.
 
-    Both are calls that return a DataFrame. Any other error is raised: it isn't the source's. A row is read to find out.
+    Both are calls that return a DataFrame. Any other error is raised: it isn't the source's. All rows are read to find
+    out, as any file may be the damaged one.
     """
     try:
         df = primary()
-        df.limit(1).count()
+        df.write.format("noop").mode("overwrite").save()
         return df
-    except PySparkException as e:
-        if not any(c in f"{e.getCondition()} {e}" for c in ("PATH_NOT_FOUND", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA")):
+    except (PySparkException, Py4JJavaError) as e:
+        if not unreadable(e):
             raise
         return fallback()
