@@ -329,15 +329,16 @@ def test_an_unfinished_run_is_mended_by_the_next(spark, tmp_path, monkeypatch):
     c.add(usgs.fetch(spark), "USGS")
     real = ingest.Catalogue._put
 
-    def half(self, state, days, touched):  # the rows are there, but with the clusters of before
-        real(self, dedup.conform(state.withColumn("cluster_id", F.col("id")).withColumn("is_canonical", F.lit(False))), days, touched)
+    def half(self, state, days, touched):  # the rows are there, but what is near them isn't clustered
+        near = F.col("source_event_id").isin("1", "u1")
+        real(self, dedup.conform(state.withColumns({"cluster_id": F.when(near, F.col("id")).otherwise(F.col("cluster_id")), "is_canonical": ~near & F.col("is_canonical")})), days, touched)
         raise RuntimeError("lost")
 
     monkeypatch.setattr(ingest.Catalogue, "_put", half)
     with pytest.raises(RuntimeError):
         c.add(met.fetch(spark), "MET")
     monkeypatch.setattr(ingest.Catalogue, "_put", real)
-    assert {r.is_canonical for r in c.read().collect()} == {False}
+    assert {r.source_event_id: r.is_canonical for r in c.read().collect()} == {"1": False, "u1": False, "u2": True}
     c.add(met.fetch(spark), "MET")
     got = check_state(c)
     assert got["MET", "1"].is_canonical and not got["USGS", "u1"].is_canonical and c._pending().count() == 0

@@ -78,8 +78,8 @@ def touching(a: DataFrame, b: DataFrame, a_key: list[str], b_key: list[str], til
     right = _in_tiles(b.select(*b_key, *EDGE), tile).withColumnsRenamed({c: f"o{c}" for c in EDGE})
     met = left.hint("merge").join(right, ["tx", "ty"])
     crossing = met.filter(_meet([F.col(c) for c in EDGE], [F.col(f"o{c}") for c in EDGE])).select(*a_key, *b_key).distinct()
-    corner = lambda e, key: e.groupBy(*key, "ring").agg(F.min_by(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), "seq").alias("p")).select(*key, "p.px", "p.py")
-    held = _inside(corner(a, a_key), b, a_key, b_key, tile).unionByName(_inside(corner(b, b_key), a, b_key, a_key, tile))
+    corner = lambda e, key: e.groupBy(*key, "ring").agg(F.min_by(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), "seq").alias("p")).select(*key, F.col("ring").alias("of"), "p.px", "p.py")
+    held = _inside(corner(a, a_key), b, [*a_key, "of"], b_key, tile).select(*a_key, *b_key).unionByName(_inside(corner(b, b_key), a, [*b_key, "of"], a_key, tile).select(*a_key, *b_key))
     return crossing.unionByName(held.select(*a_key, *b_key)).distinct()
 
 

@@ -130,7 +130,8 @@ class Feed:
 
     def rejected(self, documents: DataFrame) -> DataFrame:
         """(source_event_id, reason, document) of what the rows of documents leave out; a document that can't be parsed is one."""
-        broken = documents.filter(F.col(CORRUPT).isNotNull()).select(F.lit(None).cast("string").alias("source_event_id"), F.lit("document").alias("reason"), F.col(CORRUPT).alias("document"))
+        body = self.schema.split()[0]
+        broken = documents.filter(F.col(CORRUPT).isNotNull() & F.col(body).isNull()).select(F.lit(None).cast("string").alias("source_event_id"), F.lit("document").alias("reason"), F.col(CORRUPT).alias("document"))
         return broken.unionByName(self.rejects(documents)) if self.rejects else broken
 
 

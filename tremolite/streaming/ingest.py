@@ -62,15 +62,15 @@ class Catalogue:
 
     def _pending(self) -> DataFrame:
         """(id, day) that an unfinished change touched; read by the marker that is written last."""
-        return self._table("pending", PENDING) if self._there("pending/_SUCCESS") else self.spark.createDataFrame([], PENDING)
+        return self._table("pending", PENDING).distinct() if self._there("pending/_SUCCESS") else self.spark.createDataFrame([], PENDING)
 
     def _around(self, days: Iterable[int]) -> list[int]:
         return sorted({d + n for d in days for n in (-1, 0, 1)})
 
     def _put(self, state: DataFrame, days: list[int], touched: DataFrame) -> DataFrame:
         """Replaces the folders of ``days`` by ``state``, which is written aside first; days without a row lose their folder.
-        Returns the rows as they lie aside. ``touched`` (id, day) are named as pending until ``_done``."""
-        touched.write.mode("overwrite").parquet(f"{self.path}/pending")
+        Returns the rows as they lie aside. ``touched`` (id, day) join those that are pending, until ``_done``."""
+        touched.write.mode("append").parquet(f"{self.path}/pending")
         state.withColumn("day", _day()).write.mode("overwrite").parquet(f"{self.path}/aside")
         aside = self.spark.read.schema(_STORED).parquet(f"{self.path}/aside")
         rows = aside.hint("rebalance", "day")  # a file a day, more for a day with many reports
@@ -164,7 +164,7 @@ class Catalogue:
             again = here.join(pending.select("id"), "id", "left_semi").select(*_PLACE)
             new = dedup.inserted(fresh, now_us, top)
             state = dedup.recluster(dedup.conform(here).unionByName(new), new.select(*_PLACE).unionByName(again))
-            aside = self._put(state, days, new.select("id", _day().alias("day")).unionByName(pending))
+            aside = self._put(state, days, new.select("id", _day().alias("day")))
             return aside.filter(F.col("id") > top).count()
         finally:
             fresh.unpersist()
@@ -186,7 +186,7 @@ class Catalogue:
                 state = dedup.conform(here.join(old.select("id"), "id", "left_anti")).unionByName(new)
                 again = here.join(pending.select("id"), "id", "left_semi").select(*_PLACE)
                 touched = old.select(*_PLACE).unionByName(new.select(*_PLACE)).unionByName(again)
-                named = old.select("id", "day").unionByName(new.select("id", _day().alias("day"))).unionByName(pending)
+                named = old.select("id", "day").unionByName(new.select("id", _day().alias("day")))
                 self._put(dedup.recluster(state, touched), days, named)
                 self._done()
                 return n
@@ -207,7 +207,7 @@ class Catalogue:
         their number. A row that breaks a rule of ``catalog.validate`` is an error, and nothing is added."""
         now_us = time.time_ns() // 1000 if now_us is None else now_us
         with _turns[self.path]:
-            whole, pending = self._whole(), self._pending()
+            whole, unfinished = self._whole(), self._there("pending/_SUCCESS")
             new = dedup.conform(edits.manual_event(whole, rows, F.lit(now_us))).withColumn("created_us", F.lit(now_us)).persist()
             try:
                 wrong = edits.validate(new).filter("reject_reason IS NOT NULL").select("reject_reason").first()
@@ -215,9 +215,8 @@ class Catalogue:
                     raise ValueError(f"manual event: {wrong[0]}")
                 days = sorted({r["day"] for r in new.select(_day().alias("day")).distinct().collect()})
                 here = whole.filter(F.col("day").isin(days)).drop("day")
-                named = new.select("id", _day().alias("day")).unionByName(pending)
-                self._put(dedup.conform(here).unionByName(new), days, named)
-                if pending.isEmpty():  # else the next change clusters what an unfinished one left
+                self._put(dedup.conform(here).unionByName(new), days, new.select("id", _day().alias("day")))
+                if not unfinished:  # else the next change clusters what that one left
                     self._done()
                 return new.count()
             finally:
