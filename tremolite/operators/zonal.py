@@ -45,7 +45,7 @@ def load_boundaries(units: DataFrame, edges: DataFrame, path: str, expected: dic
     wrong = level_counts(units, expected).filter("NOT ok").collect()  # one row a level
     if wrong:
         raise ValueError("counts by level: " + ", ".join(f"{r.level} {r.n} for {r.expected}" for r in wrong))
-    simplify(promote_parts(edges), tolerance).write.mode("overwrite").parquet(f"{path}/aside/edges")
+    simplify_shared(promote_parts(edges), tolerance).write.mode("overwrite").parquet(f"{path}/aside/edges")
     units.write.mode("overwrite").parquet(f"{path}/aside/units")
     for name in ("units", "edges"):
         files.delete(at(name), True)
@@ -230,3 +230,64 @@ def _thin(tolerance: float):
 def simplify(edges: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Rings with fewer vertices, none further than ``tolerance`` degrees off; a ring keeps three corners at least."""
     return edges.groupBy("unit_id", "part", "ring").applyInPandas(_thin(tolerance), "unit_id long, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+
+
+def _border(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a border stay: the same ones whichever way it runs. The one that is furthest off always does, so that
+    no unit between two borders collapses; a border that would cross itself stays as it is."""
+    if len(points) < 3:
+        return np.ones(len(points), bool)
+    ahead, back = tuple(map(tuple, points)), tuple(map(tuple, points[::-1]))
+    if back < ahead:
+        return _border(points[::-1], tolerance)[::-1]
+    side, rel = points[-1] - points[0], points - points[0]
+    off = np.hypot(*(rel - np.clip(rel @ side / (side @ side or 1.0), 0, 1)[:, None] * side).T)
+    far = int(off.argmax())
+    keep = np.concatenate([_kept(points[: far + 1], tolerance)[:-1], _kept(points[far:], tolerance)]) if off[far] > 0 else _kept(points, tolerance)
+    return keep if not _crosses_itself(points[keep]) else np.ones(len(points), bool)
+
+
+def _crosses_itself(line: np.ndarray) -> bool:
+    """If two sides of a line that aren't neighbours cross."""
+    a, b = line[:-1], line[1:]
+    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    for n in range(len(a) - 2):
+        c, d = a[n + 2 :], b[n + 2 :]
+        if ((turn(a[n], b[n], c) * turn(a[n], b[n], d) < 0) & (turn(c, d, a[n]) * turn(c, d, b[n]) < 0)).any():
+            return True
+    return False
+
+
+def _thin_borders(tolerance: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        ring, cut = pdf[["x1", "y1"]].to_numpy(), np.flatnonzero(pdf["junction"].to_numpy())
+        n = len(ring)
+        if not len(cut):  # alone, or an enclave: from its least corner to the one furthest off, and back
+            first = int(np.lexsort((ring[:, 1], ring[:, 0]))[0])
+            far = ((ring - ring[first]) ** 2).sum(1)
+            most = np.flatnonzero(far == far.max())
+            cut = np.sort([first, int(most[np.lexsort((ring[most, 1], ring[most, 0]))[0]])])
+        keep = np.zeros(n, bool)
+        for a, b in zip(cut, np.append(cut[1:], cut[0] + n), strict=True):
+            at = np.arange(a, b + 1) % n
+            keep[at] |= _border(ring[at], tolerance)
+        ring = ring[keep]
+        nxt = np.roll(ring, -1, axis=0)
+        return pd.DataFrame({"unit_id": pdf.unit_id.iloc[0], "part": pdf.part.iloc[0], "ring": pdf.ring.iloc[0], "seq": range(len(ring)), "x1": ring[:, 0], "y1": ring[:, 1], "x2": nxt[:, 0], "y2": nxt[:, 1]})
+
+    return run
+
+
+def simplify_shared(edges: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Rings with fewer vertices, as ``simplify``, but borders that units share stay shared: no gap or overlap comes between them.
+
+    A vertex where more or fewer than two different sides meet is a junction, and stays. The border between two junctions
+    is simplified by itself, alike for the units on both sides of it. Neighbours have to have the same vertices along their border.
+    """
+    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    sides = edges.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).distinct()
+    met = sides.select(F.explode(F.array("p", "q")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    junctions = met.filter("n <> 2").select(F.col("v.x").alias("x1"), F.col("v.y").alias("y1"), F.lit(True).alias("junction"))
+    marked = edges.join(junctions, ["x1", "y1"], "left").withColumn("junction", F.coalesce("junction", F.lit(False)))
+    return marked.groupBy("unit_id", "part", "ring").applyInPandas(_thin_borders(tolerance), "unit_id long, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
