@@ -58,8 +58,9 @@ def places(df: DataFrame, column: str, n: int = 1 << BITS) -> Column:
     """
     value = F.col(column).cast("string")
     named = df.select(value.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "v").limit(n - 1)
-    names = F.array(*[F.lit(r.v) for r in named.collect()]).cast("array<string>")  # n - 1 at most
-    return F.coalesce(F.size(F.filter(names, lambda x: x <= value)), F.lit(0)).cast("int")
+    found = [r.v for r in named.collect()]  # n - 1 at most
+    rank = F.size(F.filter(F.array(*map(F.lit, found)).cast("array<string>"), lambda x: x <= value))
+    return F.coalesce(F.floor(rank * (n - 1) / max(1, len(found))), F.lit(0)).cast("int")  # few values lie far apart
 
 
 def shard_by_curve(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", shards: int = SHARDS) -> DataFrame:
