@@ -19,6 +19,8 @@ from .common import text_bytes
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
 #: Levels of boxes that are entered; the tables of samples stand on the fifth.
 DEEPEST = 16
+#: Samples of one size that a track may have whose bytes aren't in the file.
+ELSEWHERE = 1 << 20
 #: Bytes of a sample, samples a second, samples of a chunk, and every how many samples a keyframe stands.
 UNIT, RATE, CHUNK, KEY_EVERY = 64, 125, 16, 8
 
@@ -102,8 +104,8 @@ class Track:
         self.duration = int((stts[:, 0] * stts[:, 1]).sum())
         same, n = struct.unpack_from(">II", boxes[b"stsz"], 4)
         sizes = np.empty(0, np.int64) if same else u4(b"stsz", 12)[:n]
-        # a count is the file's word: no more samples than its bytes, or its table, can hold
-        if n > (len(data) // same if same else len(sizes)):
+        # a count is the file's word: no more samples than its table or its bytes can hold, or so many if they lie elsewhere
+        if n > (max(len(data) // same, ELSEWHERE) if same else len(sizes)):
             raise ValueError("more samples than the file holds")
         sizes = np.full(n, same, np.int64) if same else sizes
         starts = np.frombuffer(boxes[b"co64"], ">u8", offset=8).astype(np.int64) if b"co64" in boxes else u4(b"stco", 8)
