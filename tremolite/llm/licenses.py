@@ -75,7 +75,7 @@ SETTINGS = (
 )
 
 #: Names that stand for a license among others, one of which a text may choose: "Apache 2.0 or MIT".
-SURE = r"(?:(?:the )?(?:apache(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?|apache licen[cs]e|mit licen[cs]e|bsd(?: [0-4] clause)?(?: licen[cs]e)?|[al]?gpl(?:v| v| version| )?[1-3](?: [0-9])?|[al]?gpl|mpl(?: v?[12](?: [0-9])?)?|unlicen[cs]e|isc licen[cs]e|zlib|boost software licen[cs]e|bsl 1 0|cc0))"
+SURE = r"(?:(?:the )?(?:apache(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?|apache licen[cs]e|mit licen[cs]e|bsd(?: \d clause| licen[cs]e)|[al]?gpl(?:v| v| version| )?\d(?: \d)?|[al]?gpl|mpl(?: v?\d(?: \d)?)?|unlicen[cs]e|isc licen[cs]e|zlib licen[cs]e|boost software licen[cs]e|bsl 1 0|cc0))"
 
 #: Wordings that are a license's text or mean one without its name: (label, wording, a whole word of it, confidence).
 TEXTS = (
@@ -128,26 +128,29 @@ def _named(label: str, full: str, short: str, words: str, versions: tuple[str, .
         v_label, wording, v_words = _versioned(label, name, words, version)
         major, _, minor = version.partition(".")
         number = major + (rf" {minor}" if minor.strip("0") else rf"(?: {minor})?(?! \d\d?(?![^ ]))" if minor else "")
-        of = rf"(?:version|v) ?{number}{later}? of (?:the )?(?:{name})"
-        far = rf"(?:{full})(?: [^ ]+){{1,14}}? version {number} of the licen[cs]e"
-        yield f"{v_label}-or-later", wording + later, "later newer", v_words, 0.95
-        yield f"{v_label}-or-later", far + r"(?: [^ ]+){0,5}? any later version", "later", words, 0.95
-        yield v_label, of, "version v", words, 0.95
+        of = rf"(?:version |v |v){number}{later}? of (?:the )?(?:{name})"
+        far = rf"(?:{full})(?: \w+){{1,14}}? version {number} of the licen[cs]e"
+        yield v_label, wording + later, "later newer", v_words, 0.95
+        yield v_label, far + r"(?: \w+){0,5}? any later version", "later", words, 0.95
+        yield v_label, of, f"version v v{major}", words, 0.95
         yield v_label, far, "version", words, 0.9
         if label == "bsd":
             yield v_label, rf"{number} clause (?:{name})", "clause", words, 0.9
-    yield label, rf"(?:{name})(?: |)licen[cs]ed(?: (?:software|code|program|library|project|work))?", "licensed licenced", words, 0.85
-    if short:  # a name that is also a word counts beside a sure one
-        licensed = r"licen[cs]ed? (?:[^ ]+ ){0,8}?"
-        yield label, rf"{licensed}(?:or|and) (?:the )?(?P<only>{short})", "license licence licensed licenced", words, 0.8
-        yield label, rf"(?P<only>{short})(?: licen[cs]e)? (?:or|and) {SURE}", "or and", words, 0.8
-        yield label, rf"{SURE} (?:or|and) (?:the )?(?P<only>{short})", "or and", words, 0.8
+    yield label, rf"(?:{name}) licen[cs]ed(?: (?:software|code|program|library|project|work))?", "licensed licenced", words, 0.85
+
+
+def _listed(label: str, full: str, short: str, words: str, versions: tuple[str, ...]) -> Iterator[tuple[str, str, str, str, float]]:
+    """Lists of licenses: a name that is also a word counts beside a sure one, or at the end of what something is licensed under."""
+    if short:
+        yield label, rf"licen[cs]ed? (?:\w+ ){{0,8}}?(?:or|and) (?:the )?(?:{short})", "license licence licensed licenced", words, 0.8
+        yield label, rf"(?:{short})(?: licen[cs]e)? (?:or|and) {SURE}", "or and", words, 0.8
+        yield label, rf"{SURE} (?:or|and) (?:the )?(?:{short})", "or and", words, 0.8
 
 
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: what holds more than a name, each setting with each family's versions and then the
-    family, then the texts.
+    family, then lists and texts.
 
     Patterns are over normalised words with one space between them. A name with a version comes before one without.
     A match holds one of the words ``name``, and one of ``before`` if that has any. A name that is also an ordinary
@@ -164,6 +167,8 @@ def rules() -> tuple[Rule, ...]:
                 v_label, wording, v_words = _versioned(label, name, words, version)
                 out.append((v_label, before + wording, key, v_words, conf))
             out.append((label, f"{before}(?:{name if before else full})", key, words, conf))
+    for family in FAMILIES:  # after all names, which would else be suppressed within a list
+        out += _listed(*family)
     out += [t for t in texts if t[4] < 1.0]
     words = lambda w: frozenset(w.encode().split())
     return tuple(Rule(n, label, words(key), words(name), re.compile((r"(?<![^ ])(?:" + p + r")(?![^ ])").encode()), conf) for n, (label, p, key, name, conf) in enumerate(out))
@@ -207,7 +212,7 @@ def detect(words: list[bytes]) -> list[Detection]:
         if r.before and r.before.isdisjoint(have):
             continue
         for m in r.pattern.finditer(normal):
-            start, end = m.span("only" if "only" in r.pattern.groupindex else 0)  # the other names of a list have rules of their own
+            start, end = m.span()
             if covered.get(start, 0) < end:
                 kept.append(Detection(start, end, n, r.label, r.confidence))
                 for at in range(start, end):
