@@ -63,3 +63,14 @@ def test_spheroid_and_manual_reports(spark):
     pairs = dedup.neighbour_pairs(spark.createDataFrame(rows, REPORTS), "lambert").groupBy("id").agg(F.min("other_id").alias("c"))
     assert found(spark, rows, "lambert") == {r.id: r.c for r in pairs.collect()}
     assert found(spark, []) == {}
+
+
+def test_reports_of_one_instant_and_place_stand_once(spark, monkeypatch):
+    """Copies, however many, neither enlarge cells nor meet each other."""
+    rng = np.random.default_rng(5)
+    points = [(int(rng.integers(0, 200)) * 1_000_000, 70 + float(rng.normal(0, 0.4)), 30 + float(rng.normal(0, 0.3))) for _ in range(40)]
+    ids = rng.permutation(40 * 30) + 1
+    rows = [(int(ids[k]), ["USGS", "MET", "MANUAL"][k // 40 % 3], *points[k % 40]) for k in range(40 * 30)]
+    near, met = dedup._in_buckets_near, []
+    monkeypatch.setattr(dedup, "_in_buckets_near", lambda boxes: met.append(boxes.agg(F.sum("n")).first()[0]) or near(boxes))
+    assert found(spark, rows) == brute(rows) and met == [40]
