@@ -169,3 +169,31 @@ def test_no_exploded_rows_are_broadcast(spark, few, name):
 def test_units_are_not_broadcast(spark, name):
     """There are as many as reports."""
     assert "BroadcastExchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY if n != "g3_isolines"), "k3_band_export", "k6_band_features", "j10_compare_events_every_event"])
+def test_cells_of_every_event_are_not_shuffled(spark, few, name, monkeypatch):
+    """A strip's task makes them and returns what is asked of them."""
+    monkeypatch.setattr(intensity, "surfaces", None)
+    assert QUERIES[name](spark, few).columns
+
+
+def test_sums_of_pairs_in_strips(spark, few):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{few}/events.parquet/*.parquet'")
+    name = "j10_compare_events_every_event"
+    df = QUERIES[name](spark, few)
+    cols = sorted(df.columns)
+    assert plain(df.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_a_level_at_the_maximum_is_no_band_in_strips(spark):
+    """The strongest cell has intensity 10, its bound, in one strip; the other one doesn't reach it."""
+    e = spark.createDataFrame([(1, 8.0, 0.0, 70.05, 49.65)], "id long, magnitude double, depth_km double, lon double, lat double")
+    cells = queries.sites(spark)
+    want = {(r.mmi_lower, r["count"]) for r in intensity.banded(intensity.surfaces(cells, e)).groupBy("mmi_lower").count().collect()}
+    tops = intensity.surfaces(cells, e).agg(F.max("mmi")).first()[0]
+    assert tops == 10.0 and 10 not in {k for k, _ in want}
+    assert {(r.mmi_lower, r.n) for r in queries.strips.band_digests(cells, e).collect()} == want
+    runs = queries.strips.export_bands(cells, e).groupBy("mmi_low").agg(F.sum(F.col("col1") - F.col("col0") + 1).alias("n"))
+    assert {(r.mmi_low, r.n) for r in runs.collect()} == want
