@@ -172,7 +172,7 @@ def test_units_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY if n != "g3_isolines"), "k3_band_export", "k6_band_features", "j10_compare_events_every_event"])
+@pytest.mark.parametrize("name", [*(f"{n}_every_event" for n in EVERY), "k3_band_export", "k6_band_features", "j10_compare_events_every_event"])
 def test_cells_of_every_event_are_not_shuffled(spark, few, name, monkeypatch):
     """A strip's task makes them and returns what is asked of them."""
     monkeypatch.setattr(intensity, "surfaces", None)
