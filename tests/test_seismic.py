@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremolite.functions import motion, parse
-from tremolite.operators import dedup, intensity, zonal
+from tremolite.operators import contours, dedup, intensity, zonal
 from tremolite.plans import fixtures, queries
 from tremolite.plans.registry import ORACLES, QUERIES
 
@@ -223,3 +223,22 @@ def test_rings_at_once_keep_what_each_line_keeps():
                 keep = k if k.sum() >= 3 else keep
             want += keep.tolist()
         assert zonal._kept_of_rings(np.concatenate(rings), np.cumsum([len(r) for r in rings]), tolerance).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["g4_band_regions_every_event", "g4_band_regions_fine_every_event"])
+def test_cells_of_regions_are_not_shuffled(spark, few, name, monkeypatch):
+    monkeypatch.setattr(intensity, "surfaces", None)
+    assert QUERIES[name](spark, few).columns
+
+
+@pytest.mark.parametrize("strip", [1, 37, None])
+def test_regions_do_not_depend_on_strips(spark, few, strip):
+    """Events that lie in one strip and those that reach several, each once."""
+    e, cells = queries.canonical(spark, few).cache(), queries.sites(spark)
+    runs = contours.region_runs(intensity.banded(intensity.surfaces(cells, e)))
+    key = ["event_id", "mmi_lower", F.col("region_id.row").alias("region_row"), F.col("region_id.col").alias("region_col")]
+    want = runs.groupBy(*key).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_cells"), F.min("row"), F.max("row"), F.min("c0"), F.max("c1")).collect()
+    got = queries.strips.region_digests(cells, e, queries.GRID, strip).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.event_id for r in got}) > 3
+    by = queries.strips.Parted(e, queries.GRID, strip=strip)
+    assert (by.others.count() == 0) == (strip is None)
