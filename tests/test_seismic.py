@@ -225,8 +225,8 @@ def test_rings_at_once_keep_what_each_line_keeps():
         assert zonal._kept_of_rings(np.concatenate(rings), np.cumsum([len(r) for r in rings]), tolerance).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["g4_band_regions_every_event", "g4_band_regions_fine_every_event"])
-def test_cells_of_regions_are_not_shuffled(spark, few, name, monkeypatch):
+@pytest.mark.parametrize("name", ["g4_band_regions_every_event", "g4_band_regions_fine_every_event", "g2_band_polygons_every_event", "k6_polygon_features_every_event"])
+def test_cells_of_regions_and_polygons_are_not_shuffled(spark, few, name, monkeypatch):
     monkeypatch.setattr(intensity, "surfaces", None)
     assert QUERIES[name](spark, few).columns
 
@@ -242,3 +242,15 @@ def test_regions_do_not_depend_on_strips(spark, few, strip):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.event_id for r in got}) > 3
     by = queries.strips.Parted(e, queries.GRID, strip=strip)
     assert (by.others.count() == 0) == (strip is None)
+
+
+@pytest.mark.parametrize("strip", [37, None])
+def test_polygons_do_not_depend_on_strips(spark, few, strip):
+    e, cells = queries.canonical(spark, few).cache(), queries.sites(spark)
+    rings = contours.band_rings(intensity.surfaces(cells, e, margin=fixtures.STEP + 0.01), queries.GRID).cache()
+    shape = lambda df: sorted((r.event_id, r.mmi_lower, r.hole, round(r.area, 9)) for r in df.collect())
+    assert shape(queries.strips.ring_areas(cells, e, queries.GRID, strip=strip)) == shape(rings)
+    size = [F.size(F.get("geometry", F.lit(0))).alias("n"), F.transform("geometry", lambda r: F.size(r)).alias("sizes")]
+    of = lambda df: sorted((r.event_id, r.mmi_lower, round(r.area, 9), r.n_holes, r.n, sorted(r.sizes)) for r in df.select("*", *size).collect())
+    got, want = queries.strips.polygons(cells, e, queries.GRID, strip=strip), contours.band_polygons(rings)
+    assert got.schema["geometry"].dataType == want.schema["geometry"].dataType and of(got) == of(want)
