@@ -74,3 +74,17 @@ def test_reports_of_one_instant_and_place_stand_once(spark, monkeypatch):
     near, met = dedup._in_buckets_near, []
     monkeypatch.setattr(dedup, "_in_buckets_near", lambda boxes: met.append(boxes.agg(F.sum("n")).first()[0]) or near(boxes))
     assert found(spark, rows) == brute(rows) and met == [40]
+
+
+def test_reports_near_a_change_are_never_paired(spark, monkeypatch):
+    """Copies at few instants and places, a share of them moved: as if clustered anew."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    at = [(int(rng.integers(0, 900)) * 1_000_000, 60 + float(rng.uniform(0, 3)), 30 + float(rng.uniform(0, 2))) for _ in range(60)]
+    rows = [(k + 1, "MANUAL" if k % 10 == 9 else ["USGS", "MET"][k % 2], *at[int(rng.integers(0, 60))]) for k in range(n)]
+    before = dedup.cluster(spark.createDataFrame(rows, REPORTS)).cache()
+    moved = before.withColumn("occurred_us", F.when(F.col("id") % 11 == 0, F.col("occurred_us") + 130_000_000).otherwise(F.col("occurred_us"))).filter("id % 13 <> 0")
+    touched = before.filter("id % 11 = 0 OR id % 13 = 0").unionByName(moved.filter("id % 11 = 0"))
+    monkeypatch.setattr(dedup, "near_pairs", None)
+    found = lambda df: sorted(map(tuple, df.select("id", "cluster_id", "is_canonical").collect()))
+    assert found(dedup.recluster(moved, touched)) == found(dedup.cluster(moved))
