@@ -254,3 +254,13 @@ def test_polygons_do_not_depend_on_strips(spark, few, strip):
     of = lambda df: sorted((r.event_id, r.mmi_lower, round(r.area, 9), r.n_holes, r.n, sorted(r.sizes)) for r in df.select("*", *size).collect())
     got, want = queries.strips.polygons(cells, e, queries.GRID, strip=strip), contours.band_polygons(rings)
     assert got.schema["geometry"].dataType == want.schema["geometry"].dataType and of(got) == of(want)
+
+
+@pytest.mark.parametrize("name", ["d1_partial_update", "d2_delete"])
+def test_edits_cluster_once(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2, "what clustering checkpoints is read by one clustering only"
+    assert plain(df.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
