@@ -88,3 +88,24 @@ def test_reports_near_a_change_are_never_paired(spark, monkeypatch):
     monkeypatch.setattr(dedup, "near_pairs", None)
     found = lambda df: sorted(map(tuple, df.select("id", "cluster_id", "is_canonical").collect()))
     assert found(dedup.recluster(moved, touched)) == found(dedup.cluster(moved))
+
+
+def test_reports_that_share_an_id_are_not_multiplied(spark):
+    """Ids of echoes meet those of events above ten million events; each report keeps the cluster of its own place."""
+    rows = [(7, "USGS", 0, 70.0, 30.0), (7, "MET", 900_000_000, 80.0, 40.0), (7, "MANUAL", 0, 70.0, 30.0), (3, "USGS", 10_000_000, 70.1, 30.1), (9, "MET", 910_000_000, 80.1, 40.1), (1, "USGS", None, 70.0, 30.0)]
+    got = dedup.cluster(spark.createDataFrame(rows, REPORTS)).select("id", "source", "occurred_us", "cluster_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, "USGS", 0, 3), (7, "MET", 900_000_000, 7), (7, "MANUAL", 0, 7), (3, "USGS", 10_000_000, 3), (9, "MET", 910_000_000, 7), (1, "USGS", None, 1)], key=str)
+
+
+def test_distances_close_to_the_limit_and_instants_before_1970(spark):
+    """Single reports around 50 km from each other, and cells of several, at places of all signs."""
+    rng = np.random.default_rng(8)
+    rows, ids = [], iter(rng.permutation(100_000) + 1)
+    for n in range(150):
+        us, lon, lat = int(rng.integers(-(10**15), 10**15)), float(rng.uniform(-180, 180)), float(rng.uniform(-85, 85))
+        for _ in range(8):
+            km, way = rng.choice([0.0, 49.0, 49.999, 50.001, 51.0]) + rng.choice([0.0, 0.0004]), rng.uniform(0, 2 * np.pi)
+            y = lat + np.degrees(km * 1000 / R) * np.sin(way)
+            x = lon + np.degrees(km * 1000 / R) * np.cos(way) / np.cos(np.radians((lat + y) / 2))
+            rows.append((int(next(ids)), "USGS", us + int(rng.choice([0, 1, 30_000_000, 60_000_000, 60_000_001])), float((x + 180) % 360 - 180), float(y)))
+    assert found(spark, rows) == brute(rows)
