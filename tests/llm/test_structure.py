@@ -160,6 +160,30 @@ def test_phrases_are_brute_force_however_ids_reach_tasks(spark, sent_rows):
     assert {tuple(r) for r in got.collect()} == brute_collocations(rows, 40, 4, 6)
 
 
+def test_ids_of_many_chunks_are_never_collected(spark, monkeypatch):
+    """What a join finds for the chunks reaches a task chunk by chunk, however many there are."""
+    plans, real = [], phrases.staged
+    monkeypatch.setattr(phrases, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, label))
+    df = spark.createDataFrame([(n, t, lang) for n, (t, lang) in enumerate(random_texts(60, 5))], "doc_id long, text string, lang string")
+    phrases.frequent_phrases(df, longest=3, least=6, sent_rows=0)
+    of_chunks = [p for label, p in plans if label in ("chunks", "spelt")]
+    assert of_chunks and any("CoGroup" in p for p in of_chunks), "ids aren't joined"
+    assert not any("collect_list" in p or "array<" in p for p in of_chunks)
+
+
+def test_pairs_are_sent_by_their_size(spark):
+    """A pair takes a twelfth of what a word takes, so that pairs are joined with the text only where they are very many."""
+    pairs = spark.range(20).selectExpr("'en' AS lang", "CAST(id AS int) AS i", "CAST(id AS int) AS j", "CAST(id AS int) AS id")
+    chunks = spark.createDataFrame([], phrases.CHUNK)
+    seen, real = [], phrases._sent
+    phrases._sent = lambda *a: seen.append(real(*a)) or seen[-1]
+    try:
+        assert phrases.extend(chunks, pairs, 1, sent_rows=4).count() == 0 and phrases.extend(chunks, pairs, 1, sent_rows=2).count() == 0
+    finally:
+        phrases._sent = real
+    assert seen[0] is not None and seen[0].value["en"][1].tolist() == list(range(20)) and seen[1] is None
+
+
 def test_tiles_count_as_a_counter_does():
     rng = np.random.default_rng(1)
     i, j = (rng.zipf(1.3, 400_000) % 3000 for _ in range(2))

@@ -24,12 +24,14 @@ LEAST_COUNT = 100
 TILE, DENSE = 1 << 9, 4
 #: Pairs that a task gathers before it adds them to its counts, and counts that it holds before it hands them on.
 GATHER, HELD = 1 << 20, 1 << 21
-#: Ids are sent to every task if the table of them has so many rows at most (16 bytes a pair, some 150 a word, so 80 MB);
-#: of larger ones each chunk of text is joined with those that it holds.
-SENT_ROWS = 1 << 19
+#: Words' ids are sent to every task if there are so many at most (some 150 bytes each, so 80 MB), and pairs' ids if there are
+#: so many times more (12 bytes each, so 50 MB); of larger tables each chunk of text is joined with those that it holds.
+SENT_ROWS, PAIRS_FOR_WORD = 1 << 19, 8
 
 #: Ids as compressed 32-bit integers, ``size`` of them; heads are null where they are the words themselves.
 CHUNK = "chunk long, lang string, size int, words binary, heads binary"
+#: A chunk before its words have ids: its distinct words with spaces between, and the place of each of ``size`` tokens among them.
+SPELT = "chunk long, lang string, size int, distinct binary, places binary"
 
 
 def _tokens(raw: np.ndarray) -> list[bytes]:
@@ -55,7 +57,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
             for gone in (b"", b"\xff"):
                 c.pop(gone, None)
-            yield pa.record_batch([pa.array([lang] * len(c)), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+            yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
         counts.clear()
 
     for batch in batches:
@@ -85,12 +87,12 @@ def _sent(spark: SparkSession, table: DataFrame, most: int) -> Broadcast | None:
     """The staged ``table`` for every task, if it has ``most`` rows at most: words as dictionaries, pairs as sorted arrays."""
     if table.count() > most:
         return None
-    got = table.toArrow()
-    langs = np.array(got.column("lang").to_pylist(), dtype=object)
+    got = table.toArrow().combine_chunks()
+    langs = got.column("lang").combine_chunks().dictionary_encode()
     ids = got.column("id").to_numpy()
     out = {}
-    for lang in set(langs):
-        at = np.flatnonzero(langs == lang)
+    for n, lang in enumerate(langs.dictionary.to_pylist()):
+        at = np.flatnonzero(langs.indices.to_numpy() == n)
         if "word" in got.column_names:
             out[lang] = dict(zip((w.encode() for w in got.column("word").take(at).to_pylist()), ids[at].tolist(), strict=True))
         else:
@@ -231,60 +233,64 @@ def _extend_sent(sent: Broadcast, width: int) -> Callable[[Iterator[pa.RecordBat
 
 
 def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk for each slice of texts and language: its distinct words, and the place of each token's among them."""
+    """A chunk (``SPELT``) for each slice of texts and language."""
     for batch in batches:
         for lang, tokens in _by_lang(batch):
             tokens = [t for t in tokens if t]
-            distinct = list(dict.fromkeys(tokens))
-            place = {w: n for n, w in enumerate(distinct)}
-            places = np.fromiter(map(place.__getitem__, tokens), np.int32).astype("<i4").tobytes()
-            # the byte that ends a piece is no word: as an empty one it isn't found
-            spelt = pa.array([[b"" if w == b"\xff" else w for w in distinct]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.record_batch([pa.array([lang]), spelt, pa.array([places], pa.binary())], names=["lang", "distinct", "places"])
+            place = {w: n for n, w in enumerate(dict.fromkeys(tokens))}
+            places = np.fromiter(map(place.__getitem__, tokens), np.int32)
+            columns = [pa.array([None], pa.int64()), pa.array([lang]), pa.array([len(tokens)], pa.int32()), pa.array([b" ".join(place)], pa.binary()), pa.array([_packed(places)], pa.binary())]
+            yield pa.record_batch(columns, names=["chunk", "lang", "size", "distinct", "places"])
 
 
-def _spelt_pairs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, lang, word, place) of the distinct words of each chunk."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            chunk, lang, distinct = (batch.column(c)[n].as_py() for c in ("chunk", "lang", "distinct"))
+            # the byte that ends a piece is no word: its place has no id
+            at, words = zip(*((k, w) for k, w in enumerate(distinct.split(b" ")) if w != b"\xff"), strict=True) if distinct != b"\xff" else ((), ())
+            yield pa.record_batch([pa.array([chunk] * len(at), pa.int64()), pa.array([lang] * len(at), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(at, pa.int32())], names=["chunk", "lang", "word", "place"])
+
+
+def _pairs_of(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, lang, i, j) of the distinct pairs of each chunk."""
         for batch in batches:
-            for n, (_, words, heads) in enumerate(_chunks_of(iter([batch]))):
-                distinct = np.unique(_pairs(words, heads, width)[1])
-                one = batch.slice(n, 1)
-                pairs = pa.array([[{"i": c >> 32, "j": c & 0xFFFFFFFF} for c in distinct.tolist()]], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
-                yield pa.record_batch([*one.columns, pairs], names=[*one.schema.names, "distinct"])
+            for n, (lang, words, heads) in enumerate(_chunks_of(iter([batch]))):
+                c = np.unique(_pairs(words, heads, width)[1])
+                yield pa.record_batch([pa.array([batch.column("chunk")[n].as_py()] * len(c), pa.int64()), pa.array([lang] * len(c), pa.string()), pa.array((c >> 32).astype(np.int32)), pa.array((c & 0xFFFFFFFF).astype(np.int32))], names=["chunk", "lang", "i", "j"])
 
     return run
 
 
-def _encode_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids = np.full(r["size"] + 1, -1, np.int32)
-            for x in r["met"] or []:
-                ids[x["place"]] = x["id"]
-            words = ids[np.frombuffer(r["places"], "<i4")]
-            yield _chunk(r["lang"], _short(words, words, 1)[0], None)
+def _encode_met(met: pa.Table, chunk: pa.Table) -> pa.Table:
+    lang, size, places = (chunk.column(c)[0].as_py() for c in ("lang", "size", "places"))
+    places = np.frombuffer(pa.decompress(places, decompressed_size=4 * size, codec="zstd"), "<i4")
+    ids = np.full(places.max() + 1, -1, np.int32)
+    ids[met.column("place").to_numpy()] = met.column("id").to_numpy()
+    return pa.Table.from_batches([_chunk(lang, _short(ids[places], ids[places], 1)[0], None)])
 
 
-def _extend_met(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, (lang, words, heads) in enumerate(_chunks_of(iter([batch]))):
-                met = batch.column("met")[n].as_py() or []
-                code = _code(np.array([x["i"] for x in met], np.int64), np.array([x["j"] for x in met], np.int64))
-                order, ids = np.argsort(code), np.array([x["id"] for x in met], np.int32)
-                at, codes = _pairs(words, heads, width)
-                longer = np.full(len(words), -1, np.int32)
-                longer[at] = _found(codes, (code[order], ids[order]))
-                if (longer >= 0).any():
-                    yield _chunk(lang, *_short(words, longer, width + 1))
+def _extend_met(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(met: pa.Table, chunk: pa.Table) -> pa.Table:
+        ((lang, words, heads),) = _chunks_of(chunk.to_batches())
+        code = _code(met.column("i").to_numpy(), met.column("j").to_numpy())
+        order = np.argsort(code)
+        at, codes = _pairs(words, heads, width)
+        longer = np.full(len(words), -1, np.int32)
+        longer[at] = _found(codes, (code[order], met.column("id").to_numpy()[order]))
+        out = _chunk(lang, *_short(words, longer, width + 1))
+        return pa.Table.from_batches([out] if (longer >= 0).any() else [], out.schema)
 
     return run
 
 
-def _met(chunks: DataFrame, distinct: DataFrame, table: DataFrame, key: list[str], value: F.Column) -> DataFrame:
-    """``chunks`` with met: of its distinct words or pairs those that ``table`` has. A chunk's are as many as a slice of texts holds."""
-    met = distinct.join(table, ["lang", *key]).groupBy("chunk").agg(F.collect_list(value).alias("met"))
-    return chunks.join(met, "chunk", "left")
+def _met(met: DataFrame, chunks: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """What ``work`` makes of each chunk and of the ids that ``met`` has for its distinct words or pairs; staged. A task holds
+    those of one chunk at a time, as many as a slice of texts has."""
+    out = met.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(work, CHUNK)
+    return staged(out.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
 def encode(docs: DataFrame, words: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
@@ -292,10 +298,10 @@ def encode(docs: DataFrame, words: DataFrame, sent_rows: int = SENT_ROWS) -> Dat
     texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
     if (sent := _sent(docs.sparkSession, words.select("lang", "word", "id"), sent_rows)) is not None:
         return staged(texts.mapInArrow(_encode_sent(sent), CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    spelt = staged(texts.mapInArrow(_spelt, "lang string, distinct array<string>, places binary").withColumn("chunk", F.monotonically_increasing_id()), "spelt")
-    distinct = spelt.select("chunk", "lang", F.posexplode("distinct").alias("place", "word"))
-    met = _met(spelt.select("chunk", "lang", "places", F.size("distinct").alias("size")), distinct, words.select("lang", "word", "id"), ["word"], F.struct("place", "id"))
-    out = staged(met.mapInArrow(_encode_met, CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    spelt = staged(texts.mapInArrow(_spelt, SPELT).withColumn("chunk", F.monotonically_increasing_id()), "spelt")
+    distinct = spelt.mapInArrow(_words_of, "chunk long, lang string, word string, place int")
+    met = distinct.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "place", "id")
+    out = _met(met, spelt.drop("distinct"), _encode_met)
     discard(spelt)
     return out
 
@@ -303,14 +309,10 @@ def encode(docs: DataFrame, words: DataFrame, sent_rows: int = SENT_ROWS) -> Dat
 def extend(chunks: DataFrame, pairs: DataFrame, width: int, sent_rows: int = SENT_ROWS) -> DataFrame:
     """``chunks`` with heads of ``width`` + 1 words instead of ``width``; staged."""
     table = pairs.select("lang", "i", "j", "id")
-    if (sent := _sent(chunks.sparkSession, table, sent_rows)) is not None:
+    if (sent := _sent(chunks.sparkSession, table, sent_rows * PAIRS_FOR_WORD)) is not None:
         return staged(chunks.mapInArrow(_extend_sent(sent, width), CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    spelt = staged(chunks.mapInArrow(_spelt_pairs(width), f"{CHUNK}, distinct array<struct<i:int,j:int>>"), "spelt")
-    distinct = spelt.select("chunk", "lang", F.inline("distinct"))
-    met = _met(spelt.drop("distinct"), distinct, table, ["i", "j"], F.struct("i", "j", "id"))
-    out = staged(met.mapInArrow(_extend_met(width), CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    discard(spelt)
-    return out
+    distinct = chunks.mapInArrow(_pairs_of(width), "chunk long, lang string, i int, j int")
+    return _met(distinct.join(table, ["lang", "i", "j"]).select("chunk", "i", "j", "id"), chunks, _extend_met(width))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, list[DataFrame]]:
