@@ -151,3 +151,26 @@ def test_margin_holds_the_neighbours(spark):
     wide = {tuple(r) for r in intensity.surfaces(cells, events, margin=0.11).select("event_id", "row", "col").collect()}
     for e, r, c in strong.collect():
         assert all((e, s, d) in wide for s in range(max(0, r - 1), min(60, r + 2)) for d in range(max(0, c - 1), min(60, c + 2)))
+
+
+def test_rings_of_one_strip_are_those_of_pieces():
+    """Parts by what links crossings on rows of centres, and by all sides: on any ground, cut by the raster's edge or not, with saddles, levels met exactly and holes."""
+    rng, holes = np.random.default_rng(7), 0
+    for k in range(300):
+        h, w = (int(n) for n in rng.integers(2, 14, 2))
+        ground = rng.uniform(1, 6, (h, w)) if k % 2 else rng.integers(1, 5, (h, w)) + 0.5 * rng.integers(0, 2, (h, w))
+        grid, levels = (44.0, 56.0, 0.1, 0.1, w, h), (2, 3, 4, 5)
+        if k % 3 == 0:
+            ground = np.pad(ground, 1, constant_values=-1.0)
+            grid = (*grid[:4], w + 9, h + 9)
+        at = 2 if k % 3 == 0 else 0
+        of = {}
+        for event, lower, part, kind, _, _, area, x, y, _ in contours.pieces_of(1, 0, ground, at, at, grid, levels, 1000):
+            assert kind == "ring"
+            of.setdefault((0, lower, part), []).append((round(area, 9), len(x), round(x.min(), 9), round(y.max(), 9)))
+        for lower, part, area, x, y in contours.rings_of(ground, at, at, grid, levels):
+            of.setdefault((1, lower, part), []).append((round(area, 9), len(x), round(x.min(), 9), round(y.max(), 9)))
+        old, new = (sorted((key[1], sorted(rings)) for key, rings in of.items() if key[0] == n) for n in (0, 1))
+        assert old == new
+        holes += sum(area < 0 for _, rings in new for area, *_ in rings)
+    assert holes > 300
