@@ -264,3 +264,29 @@ def test_edits_cluster_once(spark, name):
     cols = sorted(df.columns)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2, "what clustering checkpoints is read by one clustering only"
     assert plain(df.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_pairs_are_held_one_at_a_time(monkeypatch):
+    """However many pairs a task gets, only the surfaces of one are there at a time."""
+    import weakref
+
+    import pyarrow as pa
+
+    strips, alive, most = queries.strips, weakref.WeakSet(), []
+
+    class Here:
+        def __init__(self, rows):
+            pass
+
+        def boxes(self, events):
+            for n in range(events.num_rows):
+                box = strips.Box(0, n % 3, np.full((2, 2), 1.0))
+                alive.add(box)
+                most.append(len(alive))
+                yield n, box
+                del box
+
+    monkeypatch.setattr(strips, "Raster", Here)
+    pairs = 50
+    events = pa.table({"first_id": [*range(pairs)] * 2, "second_id": [*range(1, pairs + 1)] * 2, "later": [False] * pairs + [True] * pairs})
+    assert len(list(strips._differences((), events, None))) == pairs and max(most) <= 5
