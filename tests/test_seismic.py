@@ -266,6 +266,32 @@ def test_edits_cluster_once(spark, name):
     assert plain(df.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
 
 
+def test_surfaces_of_events_alike_are_made_once(spark, few, monkeypatch):
+    """Reports of one place, depth and magnitude at other times are events of their own, with the same bands; their surface is made once."""
+    e = queries.canonical(spark, few)
+    far = [e.withColumns({"id": F.col("id") + n * 1000, "cluster_id": F.col("id") + n * 1000}) for n in range(3)]
+    every = far[0].unionByName(far[1]).unionByName(far[2])
+    one, each = queries.strips.alike(every)
+    assert one.count() == each.select("like").distinct().count() == each.count() / 3 > 3
+    want = {name: sorted(map(tuple, QUERIES[name](spark, few).collect())) for name in ("g2_band_polygons_every_event", "k6_polygon_features_every_event", "k6_band_features")}
+    made, real = [], queries.strips.Parted
+    monkeypatch.setattr(queries.strips, "Parted", lambda events, *a, **k: made.append(events.count()) or real(events, *a, **k))
+    monkeypatch.setattr(queries, "canonical", lambda spark, d: every)
+    for name, rows in want.items():
+        got = sorted(map(tuple, QUERIES[name](spark, few).collect()))
+        assert got == sorted((r[0] + n * 1000, *r[1:]) for r in rows for n in range(3))
+    assert made == [one.count()] * 3
+
+
+@pytest.mark.parametrize("strip", [37, None])
+def test_boxes_of_runs_do_not_depend_on_strips(spark, few, strip):
+    e, cells = queries.canonical(spark, few).cache(), queries.sites(spark)
+    want = intensity.band_features(intensity.banded(intensity.surfaces(cells, e)), fixtures.STEP / 2)
+    got = queries.strips.band_features(cells, e, fixtures.STEP / 2, queries.GRID, strip)
+    rows = lambda df: sorted((r.event_id, r.mmi_lower, r.feature) for r in df.select("event_id", "mmi_lower", "feature").collect())
+    assert rows(got) == rows(want) and len({r.event_id for r in got.collect()}) > 3
+
+
 def test_pairs_are_held_one_at_a_time(monkeypatch):
     """However many pairs a task gets, only the surfaces of one are there at a time."""
     import weakref
